@@ -1,5 +1,5 @@
 """All named queries; importing the catalogue modules registers them."""
 
-from poolpick.plans import catalog_prepare, catalog_scores, catalog_selection  # noqa: F401
+from poolpick.plans import catalog_eval, catalog_prepare, catalog_scores, catalog_selection  # noqa: F401
 from poolpick.plans.catalog_selection import flagship  # noqa: F401
 from poolpick.plans.registry import ORACLES, QUERIES  # noqa: F401
