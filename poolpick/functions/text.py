@@ -21,4 +21,11 @@ def squad_tokens(c: Column) -> Column:
 
 
 def whitespace_tokens(c: Column) -> Column:
-    return F.filter(F.split(c, r"\s+"), lambda t: t != "")
+    """Whitespace-separated tokens, no empty strings.
+
+    Built from codegen'd ``regexp_replace`` + ``split`` (no per-token lambda):
+    outer whitespace is stripped first, so only an empty text would yield
+    an empty token, and that case maps to an empty array.
+    """
+    stripped = F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+"))

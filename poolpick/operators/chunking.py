@@ -22,9 +22,11 @@ def window_starts(n_tokens: Column, window: int, overlap: int) -> Column:
 
 def chunk_windows(df: DataFrame, tokens_col: str, window: int, overlap: int, id_col: str = "row_id") -> DataFrame:
     """CHK-1: one feature row per window, carrying the example id, window index and start."""
-    n = F.size(tokens_col)
-    x = df.select(id_col, tokens_col, F.posexplode(window_starts(n, window, overlap)).alias("win", "start"))
-    return x.select(id_col, "win", "start", F.slice(tokens_col, F.col("start") + 1, F.lit(window)).alias("window"))
+    toks = F.col(tokens_col)
+    wins = F.transform(window_starts(F.size(toks), window, overlap),
+                       lambda s: F.struct(s.alias("start"), F.slice(toks, s + 1, window).alias("window")))
+    x = df.select(id_col, F.posexplode(wins).alias("win", "w"))  # exploded rows hold one window each
+    return x.select(id_col, "win", "w.start", "w.window")
 
 
 def fixed_offsets(start_tok: Column, n_tok: Column, width: int, text_len: Column) -> Column:

@@ -100,34 +100,53 @@ def qa_summary(scores: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ BLEU
+def ngram_arrays(df: DataFrame, tokens_col: str, max_n: int = 4) -> DataFrame:
+    """Add ``g1..g<max_n>`` n-gram string arrays with MLlib's JVM-side ``NGram`` transformer."""
+    from pyspark.ml.feature import NGram
+
+    out = df.withColumn("g1", F.col(tokens_col))
+    for n in range(2, max_n + 1):
+        out = NGram(n=n, inputCol=tokens_col, outputCol=f"g{n}").transform(out)
+    return out
+
+
 def ngram_counts(df: DataFrame, tokens_col: str, id_col: str, max_n: int = 4) -> DataFrame:
     """(id, n, gram, cnt) for n = 1..max_n."""
-    ns = F.sequence(F.lit(1), F.lit(max_n))
-    x = df.select(id_col, tokens_col, F.explode(ns).alias("n"))
-    starts = F.sequence(F.lit(1), F.size(tokens_col) - F.col("n") + 1)
-    x = x.where(F.size(tokens_col) >= F.col("n")).select(id_col, "n", tokens_col, F.explode(starts).alias("i"))
-    g = x.select(id_col, "n", F.array_join(F.slice(tokens_col, F.col("i"), F.col("n")), " ").alias("gram"))
-    return g.groupBy(id_col, "n", "gram").agg(F.count("*").alias("cnt"))
+    g = ngram_arrays(df.select(id_col, tokens_col), tokens_col, max_n)
+    per_n = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"g{n}").alias("grams"))
+                               for n in range(1, max_n + 1)]))
+    x = g.select(id_col, per_n.alias("p")).select(id_col, "p.n", F.explode("p.grams").alias("gram"))
+    return x.groupBy(id_col, "n", "gram").agg(F.count("*").alias("cnt"))
 
 
 def corpus_bleu(df: DataFrame, hyp_col: str, ref_col: str, id_col: str = "row_id", max_n: int = 4) -> DataFrame:
     """Corpus BLEU (x100) on whitespace tokens of stripped text, with clipped counts,
-    brevity penalty and exponential smoothing of zero-match orders."""
+    brevity penalty and exponential smoothing of zero-match orders.
+
+    Hypothesis and reference grams are unioned and counted in ONE grouped
+    aggregate per (pair, n, gram) -- the clipped match is least(h, r) of the
+    two conditional counts, so no join is needed.
+    """
     t = df.select(id_col, whitespace_tokens(F.col(hyp_col)).alias("h"), whitespace_tokens(F.col(ref_col)).alias("r"))
-    hc = ngram_counts(t, "h", id_col, max_n)
-    rc = ngram_counts(t, "r", id_col, max_n).withColumnRenamed("cnt", "rcnt")
-    m = hc.join(rc, [id_col, "n", "gram"], "left").fillna(0, ["rcnt"])
-    per_n = m.groupBy("n").agg(F.sum(F.least("cnt", "rcnt")).alias("correct"), F.sum("cnt").alias("total"))
-    ref_n = rc.groupBy("n").agg(F.sum("rcnt").alias("rtotal"))
-    orders = df.sparkSession.range(1, max_n + 1).select(F.col("id").alias("n"))
-    per_n = orders.join(per_n, "n", "left").join(ref_n, "n", "left").fillna(0, ["correct", "total", "rtotal"])
+    both = ngram_arrays(ngram_arrays(t, "h", max_n).select(id_col, "r", *[F.col(f"g{n}").alias(f"h{n}")
+                                                                           for n in range(1, max_n + 1)]),
+                        "r", max_n)
+    side = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(s).alias("side"), F.col(f"{c}{n}").alias("grams"))
+                               for n in range(1, max_n + 1) for s, c in (("h", "h"), ("r", "g"))]))
+    x = both.select(id_col, side.alias("p")).select(id_col, "p.n", "p.side", F.explode("p.grams").alias("gram"))
+    c = x.groupBy(id_col, "n", "gram").agg(F.count_if(F.col("side") == "h").alias("hc"),
+                                           F.count_if(F.col("side") == "r").alias("rc"))
+    per_n = c.groupBy("n").agg(F.sum(F.least("hc", "rc")).alias("correct"), F.sum("hc").alias("total"),
+                               F.sum("rc").alias("rtotal"))
+    orders = df.sparkSession.range(1, max_n + 1).select(F.col("id").cast("int").alias("n"))
+    per_n = orders.join(per_n, "n", "left").fillna(0, ["correct", "total", "rtotal"])
     w = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)  # max_n rows
     per_n = per_n.withColumn("zeros", F.sum((F.col("correct") == 0).cast("int")).over(w))
     prec = F.when(F.col("total") == 0, F.lit(None)) \
         .when(F.col("correct") == 0, 100.0 / (F.pow(F.lit(2.0), F.col("zeros")) * F.col("total"))) \
         .otherwise(100.0 * F.col("correct") / F.col("total"))
     per_n = per_n.withColumn("p", prec)
-    at = lambda i, c: F.max(F.when(F.col("n") == i, F.col(c)))
+    at = lambda i, col: F.max(F.when(F.col("n") == i, F.col(col)))
     out = per_n.agg(at(1, "total").alias("sys_len"), at(1, "rtotal").alias("ref_len"),
                     *[at(i, "p").alias(f"p{i}") for i in range(1, max_n + 1)])
     bp = F.when(F.col("sys_len") >= F.col("ref_len"), F.lit(1.0)) \

@@ -42,10 +42,11 @@ def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_l
 
     ``contexts`` holds one row per example (example_id, context).
     """
+    best = best_feature_span(F.col(start_col), F.col(end_col), F.col(offsets_col), n_best, max_len)
+    # explode of a one-element array: a Generate node evaluates the span search once per
+    # row (a plain alias would be inlined into every later reference) and drops NULLs
     f = features.select(example_col, feature_col, offsets_col,
-                        best_feature_span(F.col(start_col), F.col(end_col), F.col(offsets_col), n_best, max_len)
-                        .alias("b"))
-    f = f.where(F.col("b").isNotNull())
+                        F.explode(F.filter(F.array(best), lambda x: x.isNotNull())).alias("b"))
     key = F.struct(F.col("b.score").alias("score"), (-F.col(feature_col)).alias("nf"),
                    F.col("b.ns").alias("ns"), F.col("b.ne").alias("ne"))
     per_ex = f.groupBy(example_col).agg(F.max_by(F.struct(F.col(feature_col).alias("fid"), F.col("b.score")
