@@ -71,12 +71,21 @@ def _pairs_exact(p, t, rows, cols):
     return out
 
 
-def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str):
-    """Per-task running top-k of pool rows for every target of one chunk."""
+def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str, bounds_bc=None):
+    """Per-task running top-k of pool rows for every target of one chunk.
+
+    With ``bounds_bc`` (target id -> an upper bound of its k-th distance),
+    only rows within the bound are kept, so a task emits fewer than k rows
+    per target when other tasks hold the true neighbours.
+    """
 
     def run(batches):
         t_ids, t = bc.value
         m = len(t_ids)
+        bound = None
+        if bounds_bc is not None:
+            bmap = bounds_bc.value
+            bound = np.array([bmap.get(int(i), np.inf) for i in t_ids])
         t_sq = np.einsum("ij,ij->i", t, t)
         t_norm = np.sqrt(t_sq)
         best_d = np.full((m, k), np.inf)
@@ -109,6 +118,8 @@ def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str):
                 best_d = np.take_along_axis(all_d, order, 1)
                 best_i = np.take_along_axis(all_i, order, 1)
         keep = np.isfinite(best_d)
+        if bound is not None:
+            keep &= best_d <= bound[:, None]
         if keep.any():
             tg = np.broadcast_to(t_ids[:, None], best_d.shape)[keep]
             dist = best_d[keep] if metric != "cosine" else -best_d[keep]
@@ -117,19 +128,56 @@ def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str):
     return run
 
 
+PRUNE_MIN_EDGES = 20_000_000   # estimated partial-top-k rows above which sample pruning pays off
+PRUNE_SAMPLE_ROWS = 200_000     # pool rows sampled to bound each target's k-th distance
+
+
+def _kth_bounds(pool, target, k, id_col, vec_col, metric, max_bytes, n_pool, seed=17):
+    """Upper bound of each target's k-th neighbour distance from a pool sample.
+
+    The sample is a subset of the pool, so its k-th nearest row is never
+    nearer than the pool's: the bound is exact-safe. Targets whose sample
+    has fewer than k rows get no bound (infinity).
+    """
+    frac = min(1.0, max(PRUNE_SAMPLE_ROWS, 50 * k) / max(1, n_pool))
+    sample = pool.sample(False, frac, seed)
+    e = knn_edges(sample, target, k, id_col, vec_col, metric, max_bytes, prune=False)
+    kth = e.where(F.col("rk") == k).select("tgt_id", "dist")
+    if metric == "cosine":  # bounds are kept as "smaller is nearer" scores
+        kth = kth.select("tgt_id", (-F.col("dist")).alias("dist"))
+    # one value per target: bounded by the target size, which is already broadcast
+    return {int(r["tgt_id"]): float(r["dist"]) for r in kth.collect()}
+
+
 def knn_edges(pool: DataFrame, target: DataFrame, k: int, id_col: str = "row_id", vec_col: str = "emb",
-              metric: str = "l2", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+              metric: str = "l2", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
+              prune: bool | str = "auto") -> DataFrame:
     """k nearest pool rows of every target row: (tgt_id, src_id, dist, rk).
 
     Ties are broken by ``src_id``; ``rk`` is 1-based. For ``metric='cosine'``
     ``dist`` holds the similarity and nearer means larger.
+
+    Each pool task emits at most k rows per target. When (pool tasks x
+    targets x k) is large, ``prune`` first bounds every target's k-th
+    distance on a pool sample; tasks then emit only rows within the bound,
+    which keeps the shuffle near (targets x k / sample fraction) however
+    many tasks scan the pool. The result is exact either way.
     """
     schema = "tgt_id long, src_id long, dist double"
     chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
     src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = [src.mapInPandas(_knn_task(ch.bc, k, id_col, vec_col, metric), schema) for ch in chunks]
-    if not parts:
+    if not chunks:
         return pool.sparkSession.createDataFrame([], schema + ", rk long")
+    bounds_bc = None
+    if prune:
+        n_tasks = src.rdd.getNumPartitions()
+        m = sum(ch.n for ch in chunks)
+        if prune is True or n_tasks * m * k > PRUNE_MIN_EDGES:
+            n_pool = src.count()
+            if n_pool > PRUNE_SAMPLE_ROWS or prune is True:
+                bounds = _kth_bounds(src, target, k, id_col, vec_col, metric, max_broadcast_bytes, n_pool)
+                bounds_bc = pool.sparkSession.sparkContext.broadcast(bounds)
+    parts = [src.mapInPandas(_knn_task(ch.bc, k, id_col, vec_col, metric, bounds_bc), schema) for ch in chunks]
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)

@@ -51,6 +51,33 @@ def _without(df: DataFrame, prev: DataFrame) -> DataFrame:
     return df.join(prev.select(ID), ID, "left_anti")
 
 
+TOPN_DIRECT_MAX = 10_000  # below this, per-task top-n lists are small enough to merge in one task
+
+
+def top_n(df: DataFrame, n: int, score_col: str, ascending: bool = True) -> DataFrame:
+    """The first ``n`` rows by (score, row_id), NULL scores last -- exact.
+
+    Small n: ``orderBy().limit()`` (a TakeOrderedAndProject: per-task top-n,
+    one merge). Large n: the merge would receive n rows from every task, so
+    an approximate quantile of the score first cuts the table to a little
+    over n rows (``score <= threshold`` keeps all ties); only those are
+    ordered. Falls back to the direct plan if the cut keeps too few rows.
+    """
+    sc = F.col(score_col).asc_nulls_last() if ascending else F.col(score_col).desc_nulls_last()
+    order = [sc, F.col(ID)]
+    if n <= TOPN_DIRECT_MAX:
+        return df.orderBy(*order).limit(n)
+    total, live = df.agg(F.count(F.lit(1)), F.count(score_col)).first()
+    if n >= live:
+        return df.orderBy(*order).limit(n)
+    q = min(1.0, 1.02 * n / live + 2e-4)
+    t = df.agg(F.percentile_approx(score_col, q if ascending else 1.0 - q, 10000)).first()[0]
+    cut = df.where(F.col(score_col) <= t) if ascending else df.where(F.col(score_col) >= t)
+    if cut.count() < n:
+        return df.orderBy(*order).limit(n)
+    return cut.orderBy(*order).limit(n)
+
+
 def select_top_score(scores: DataFrame, prev: DataFrame, budget: int, score_col: str = "uncertainty",
                      ascending: bool = True) -> DataFrame:
     """Rows with the smallest (or largest) score first; NULL scores last."""
@@ -58,7 +85,7 @@ def select_top_score(scores: DataFrame, prev: DataFrame, budget: int, score_col:
     need = max(0, budget - n_prev)
     sc = F.col(score_col).asc_nulls_last() if ascending else F.col(score_col).desc_nulls_last()
     order = [sc, F.col(ID)]
-    new = _without(scores, prev).orderBy(*order).limit(need)
+    new = top_n(_without(scores, prev), need, score_col, ascending)
     return _append(prev, n_prev, new, order)
 
 
@@ -133,7 +160,7 @@ def select_knn_uncertainty(pool: DataFrame, target: DataFrame, scores: DataFrame
     cand = fresh.where(F.col("best") <= k_star).select(ID)
     need = max(0, budget - n_prev)
     order = [F.col("uncertainty").asc_nulls_last(), F.col(ID)]
-    new = scores.join(cand, ID, "left_semi").orderBy(*order).limit(need)
+    new = top_n(scores.join(cand, ID, "left_semi"), need, "uncertainty")
     return _append(prev, n_prev, new, order)
 
 
@@ -151,10 +178,18 @@ def select_random(pool: DataFrame, prev: DataFrame, budget: int, seed: int = 42,
     n_prev = prev.count()
     need = max(0, budget - n_prev)
     order = [hash_key(seed), F.col(ID)]
-    new = _without(pool, prev).orderBy(*order).limit(need)
+    new = _random_n(_without(pool, prev), need, seed)
     return _append(prev, n_prev, new, order)
 
 
+def _random_n(df: DataFrame, n: int, seed) -> DataFrame:
+    """n rows in md5 order; large n uses the exact hash-prefix cut instead of a global sort."""
+    if n <= TOPN_DIRECT_MAX:
+        return df.orderBy(hash_key(seed), F.col(ID)).limit(n)
+    from poolpick.operators.prepare import smallest_by_hash
+    return smallest_by_hash(df, n, seed, ID)
+
+
 def gold_languages(strategy: str) -> list[str]:
     """'gold_ur_ar' -> ['ur', 'ar']."""
     parts = strategy.split("_")
@@ -192,9 +227,12 @@ def select_allocated(pool: DataFrame, allocation: DataFrame, dataset: str, confi
     """
     q = allocation.where((F.col("dataset") == dataset) & (F.col("config") == config)
                          & (F.col("iteration") == iteration)).select("language", "quota")
+    max_quota = q.agg(F.max("quota")).first()[0] or 0  # small: one row per language
     j = pool.select(ID, "language").join(F.broadcast(q), "language")
     w = Window.partitionBy("language").orderBy(hash_key(seed), F.col(ID))
-    picked = j.withColumn("lrank", F.row_number().over(w)).where(F.col("lrank") <= F.col("quota"))
+    # the literal bound lets Spark cut every language to max_quota rows per task before the shuffle
+    picked = j.withColumn("lrank", F.row_number().over(w)) \
+        .where((F.col("lrank") <= int(max_quota)) & (F.col("lrank") <= F.col("quota")))
     order = Window.orderBy("language", "lrank")  # output bounded by the quotas
     return picked.select(F.col(ID).cast("long").alias(ID), F.row_number().over(order).cast("long").alias("rank"))
 
@@ -217,7 +255,10 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
     rest = _without(pool.select(ID, "language"), prev).join(F.broadcast(sizes), "language")
     w = Window.partitionBy("language").orderBy(hash_key(seed), F.col(ID))
     ranked = rest.withColumn("lrank", F.row_number().over(w))
-    phase1 = ranked.where((F.col("lang_n") <= small) | (F.col("lrank") <= quota))
+    # literal rank bound first (a WindowGroupLimit: a hot language is cut per task before
+    # the shuffle); small languages (<= small rows) are wholly inside it
+    phase1 = ranked.where((F.col("lrank") <= max(quota, small))
+                          & ((F.col("lang_n") <= small) | (F.col("lrank") <= quota)))
     need1 = max(0, budget - n_prev)
     p1 = phase1.orderBy("language", "lrank").limit(need1).select(ID, "language", "lrank")
     p1_ranked = _append(prev, n_prev, p1, [F.col("language"), F.col("lrank")])
@@ -225,5 +266,5 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
     if n_now >= budget:
         return p1_ranked
     order = [hash_key(seed), F.col(ID)]
-    fill = _without(pool.select(ID), p1_ranked).orderBy(*order).limit(budget - n_now)
+    fill = _random_n(_without(pool.select(ID), p1_ranked), budget - n_now, seed)
     return _append(p1_ranked.select(ID, F.col("rank").alias("prev_order")), n_now, fill, order)

@@ -56,3 +56,15 @@ def test_rounds_are_prefixes(spark):
     rounds = [x["round"] for x in r]
     assert rounds == sorted(rounds)
     assert [x["rank"] for x in r] == list(range(1, len(r) + 1))
+
+
+def test_egalitarian_and_allocated_windows_are_limited(spark):
+    assert "WindowGroupLimit" in plan(Q["select_allocated"](spark, SF_SMALL))
+    pool = fx.pool_df(spark, SF_SMALL)
+    sizes = pool.groupBy("language").count()
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+    w = Window.partitionBy("language").orderBy(st.hash_key(42), "row_id")
+    ranked = pool.join(sizes, "language").withColumn("lrank", F.row_number().over(w))
+    cut = ranked.where((F.col("lrank") <= 9) & ((F.col("count") <= 3) | (F.col("lrank") <= 4)))
+    assert "WindowGroupLimit" in plan(cut)

@@ -139,3 +139,28 @@ def test_knn_level_rule_is_strict():
     # 4 candidates at level 4 with budget 4 is not "more than the budget": go to 8
     assert st.knn_level_for_budget({0: 1, 1: 1, 2: 2, 3: 5}, levels, 0, 4, 100) == 8
     assert st.knn_level_for_budget({0: 1, 1: 1, 2: 3}, levels, 0, 4, 100) == 4
+
+
+def test_knn_pruning_by_sample_bound_is_exact(spark):
+    rng = np.random.default_rng(11)
+    p = _pool(spark, rng.normal(size=(400, 5))).repartition(6)
+    t = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12, 5)))],
+                              "row_id long, emb array<double>")
+    plain = nb.knn_edges(p, t, 7, prune=False).orderBy("tgt_id", "rk").collect()
+    pruned = nb.knn_edges(p, t, 7, prune=True).orderBy("tgt_id", "rk").collect()
+    assert [(r.tgt_id, r.src_id, r.rk) for r in plain] == [(r.tgt_id, r.src_id, r.rk) for r in pruned]
+
+
+def test_large_budget_top_n_paths_agree(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vals = rng.random(3000)
+    vals[::17] = 0.5  # ties at many places
+    df = spark.createDataFrame([(i, float(v) if i % 101 else None) for i, v in enumerate(vals)],
+                               "row_id long, uncertainty double").repartition(5)
+    want = _sel(st.select_uncertainty(df, st.empty_prev(spark), 900))
+    monkeypatch.setattr(st, "TOPN_DIRECT_MAX", 10)
+    assert _sel(st.select_uncertainty(df, st.empty_prev(spark), 900)) == want
+    p = _pool(spark, np.zeros((3000, 1)))
+    r_small = _sel(st.select_random(p, st.empty_prev(spark), 700))
+    monkeypatch.setattr(st, "TOPN_DIRECT_MAX", 10_000)
+    assert _sel(st.select_random(p, st.empty_prev(spark), 700)) == r_small
