@@ -83,7 +83,7 @@ def _word_ids(t):
 
 
 @register("align_labels", with_views(
-    "SELECT row_id, pos, CAST(CASE WHEN word_id IS NOT NULL AND (pw IS NULL OR pw <> word_id) THEN word_label "
+    "SELECT row_id, CAST(pos AS INTEGER) AS pos, CAST(CASE WHEN word_id IS NOT NULL AND (pw IS NULL OR pw <> word_id) THEN word_label "
     "ELSE -100 END AS INTEGER) AS aligned FROM (SELECT *, lag(word_id) OVER (PARTITION BY row_id ORDER BY pos) AS pw "
     "FROM (SELECT row_id, pos, CASE WHEN pos = 0 OR pos = 15 THEN NULL ELSE pos // 2 END AS word_id, "
     "(row_id + CASE WHEN pos = 0 OR pos = 15 THEN NULL ELSE pos // 2 END) % 4 AS word_label FROM tok))", "tok"))
@@ -112,7 +112,7 @@ def q_pad_truncate(spark, sf_dir):
 
 
 @register("unmask_labels", with_views(
-    "SELECT row_id, pos, CASE WHEN lab = -100 THEN 1 ELSE lab END AS label FROM tok", "tok"))
+    "SELECT row_id, CAST(pos AS INTEGER) AS pos, CASE WHEN lab = -100 THEN 1 ELSE lab END AS label FROM tok", "tok"))
 def q_unmask_labels(spark, sf_dir):
     """CHK-6: -100 becomes the pad id (1) before decoding."""
     l = _label_lists(spark, sf_dir)

@@ -131,7 +131,7 @@ def q_id_contains_lang(spark, sf_dir):
 
 
 @register("masked_token_pairs", with_views(
-    "SELECT row_id, pos, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, lab FROM tok "
+    "SELECT row_id, CAST(pos AS INTEGER) AS pos, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred, lab FROM tok "
     "WHERE lab <> -100", "tok"))
 def q_masked_token_pairs(spark, sf_dir):
     t = fx.tok_df(spark, sf_dir)
