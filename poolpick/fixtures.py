@@ -123,15 +123,16 @@ def docs_df(spark, sf_dir) -> DataFrame:
 def answers_df(spark, sf_dir) -> DataFrame:
     """B9: benchmark passages found inside documents: item_id, row_id, answer_start, answer.
 
-    The containment test is a theta join; the benchmark side is small and
-    is broadcast by the planner's size estimate.
+    The containment theta join runs as one Aho-Corasick pass per document
+    against the (size-checked, broadcast) benchmark passages.
     """
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("dtext"))
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("btext"))
-    j = d.join(b, F.col("dtext").contains(F.col("btext")))
-    return j.select("item_id", F.col("doc_id").alias("row_id"),
-                    (F.instr(F.col("dtext"), F.col("btext")).cast("bigint") - 1).alias("answer_start"),
-                    F.col("btext").alias("answer"))
+    from poolpick.operators.textmatch import find_passages
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    hits = find_passages(d, b)
+    return hits.join(F.broadcast(b), "item_id").select(
+        "item_id", F.col("doc_id").alias("row_id"), F.col("start").alias("answer_start"), F.col("text").alias("answer"))
 
 
 STRATEGY_BY_PRIORITY = {"1": "gold_ur", "2": "egalitarian", "3": "knn_uncertainty_k_1", "4": "average_dist"}
