@@ -164,11 +164,25 @@ def steps_df(spark, sf_dir) -> DataFrame:
                     F.col("value").alias("loss"), F.col("ts").alias("mtime"))
 
 
+def vec_logits_df(spark, sf_dir) -> DataFrame:
+    """B1 and B2 columns from ONE scan of the embeddings table: row_id, language, side, z, gold.
+
+    Both views are projections of the same row, so no self-join is needed.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    langs = F.array(*[F.lit(c) for c in LANGUAGE_CODES])
+    return e.select(
+        F.col("vec_id").alias("row_id"),
+        F.try_element_at(langs, (F.col("label") + 1).cast("int")).alias("language"),
+        F.when(F.col("vec_id") % 5 == 0, F.lit("target")).otherwise(F.lit("pool")).alias("side"),
+        _dslice("embedding", 1, 3).alias("z"), (F.col("label") % 3).alias("gold"))
+
+
 def uncertainty_df(spark, sf_dir) -> DataFrame:
     """Per pool row: margin of the two largest seqlog logits (FIXTURES part C)."""
     from poolpick.functions.scores import top2_margin
-    s = seqlog_df(spark, sf_dir).select("row_id", top2_margin(F.col("z")).alias("uncertainty"))
-    return pool_df(spark, sf_dir).select("row_id", "language").join(s, "row_id")
+    v = vec_logits_df(spark, sf_dir).where(F.col("side") == "pool")
+    return v.select("row_id", "language", top2_margin(F.col("z")).alias("uncertainty"))
 
 
 def prev_df(spark, sf_dir) -> DataFrame:

@@ -131,12 +131,17 @@ def _level_index(best, k0: int):
 
 
 def knn_best(pool: DataFrame, target: DataFrame, budgets: list[int], k0: int = 1,
-             max_neighbors: int | None = None, n_pool: int | None = None, **kw):
-    """Best neighbour rank per pool row, ranked just deep enough for the largest budget."""
-    n_pool = pool.count() if n_pool is None else n_pool
-    width = min(n_pool, max_neighbors) if max_neighbors else n_pool
+             max_neighbors: int | None = None, **kw):
+    """Best neighbour rank per pool row, ranked just deep enough for the largest budget.
+
+    The neighbour-list width is the cap when one is given, else unbounded:
+    the pool size is not needed, because once k reaches the number of pool
+    rows every level holds the same (complete) candidate set, so stopping
+    at "k > pool size" or at a later level selects the same rows.
+    """
+    width = max_neighbors if max_neighbors else float("inf")
     levels = knn_levels(k0, max(budgets), width)
-    depth = max(1, min(levels[-1], width))
+    depth = int(max(1, min(levels[-1], width)))
     edges = nb.knn_edges(pool, target, depth, **kw)
     return nb.best_rank(edges), levels, width
 

@@ -270,6 +270,6 @@ def q_corpus_bleu(spark, sf_dir):
     "AS n_correct FROM seqlog s JOIN vec v USING (row_id) GROUP BY v.language", "seqlog", "vec"))
 def q_predictions_by_language(spark, sf_dir):
     """MET-7: predictions pooled per language."""
-    s = fx.seqlog_df(spark, sf_dir).join(fx.vec_df(spark, sf_dir).select("row_id", "language"), "row_id")
+    s = fx.vec_logits_df(spark, sf_dir)
     return s.groupBy("language").agg(F.count("*").alias("n"),
                                      F.count_if(argmax(F.col("z")) == F.col("gold")).alias("n_correct"))

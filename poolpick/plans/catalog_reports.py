@@ -147,7 +147,7 @@ def q_wide_metrics(spark, sf_dir):
     "AS n_labels FROM seqlog s JOIN vec v USING (row_id) GROUP BY v.language", "seqlog", "vec"))
 def q_write_predictions(spark, sf_dir):
     """SNK-5: predictions written one per line, a folder per language, read back and counted."""
-    s = fx.seqlog_df(spark, sf_dir).join(fx.vec_df(spark, sf_dir).select("row_id", "language"), "row_id")
+    s = fx.vec_logits_df(spark, sf_dir)
     path = scratch_path(spark, "predictions")
     sk.write_predictions(s.select("language", argmax(F.col("z")).alias("prediction")), path)
     back = spark.read.text(path)
