@@ -20,12 +20,15 @@ def squad_tokens(c: Column) -> Column:
     return F.filter(toks, lambda t: (t != "") & ~t.isin(*ARTICLES))
 
 
+# The characters matched by the regex class \s (space, tab, LF, VT, FF, CR).
+WHITESPACE = " \t\n\x0b\f\r"
+
+
 def whitespace_tokens(c: Column) -> Column:
     """Whitespace-separated tokens, no empty strings.
 
-    Built from codegen'd ``regexp_replace`` + ``split`` (no per-token lambda):
-    outer whitespace is stripped first, so only an empty text would yield
-    an empty token, and that case maps to an empty array.
+    Built only from codegen'd functions: trim the whitespace characters off
+    both ends, split on whitespace runs, and drop the one empty string an
+    all-blank text leaves.
     """
-    stripped = F.regexp_replace(c, r"^\s+|\s+$", "")
-    return F.when(stripped == "", F.array().cast("array<string>")).otherwise(F.split(stripped, r"\s+"))
+    return F.array_remove(F.split(F.trim(c, F.lit(WHITESPACE)), r"\s+"), "")

@@ -198,10 +198,19 @@ def q_dedupe_source(spark, sf_dir):
 
 @register("union_languages", with_views("SELECT row_id, language, config FROM docs", "docs"))
 def q_union_languages(spark, sf_dir):
-    """SET-1: per-language frames (one per distinct language) concatenated by name."""
+    """SET-1: per-language tables (one folder per language) concatenated by name.
+
+    Each frame reads only its own partition, so the union is one pass over the data.
+    """
+    from poolpick.session import scratch_path
+    from poolpick.sources import readers, sinks
+
     d = fx.docs_df(spark, sf_dir).select("row_id", "language", "config")
-    langs = [r["language"] for r in d.select("language").distinct().collect()]
-    return pr.union_languages([d.where(F.col("language") == l) for l in sorted(langs)])
+    path = scratch_path(spark, "per_language")
+    sinks.write_parquet(d, path, ["language"])
+    langs = sorted(r["language"] for r in spark.read.parquet(path).select("language").distinct().collect())
+    frames = [readers.read_languages(spark, path, [l]).select("row_id", "language", "config") for l in langs]
+    return pr.union_languages(frames)
 
 
 @register("distinct_languages", with_views("SELECT DISTINCT language FROM docs", "docs"))
