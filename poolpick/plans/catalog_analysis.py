@@ -14,6 +14,8 @@ from poolpick.operators import qa
 from poolpick.operators import strategies as st
 from poolpick.operators.projection import fit_pca, tagged_projection
 from poolpick.plans import rounds as rd
+from poolpick.operators import chunking as ch
+from poolpick.plans.catalog_eval import CH, QA_Q, QA_STRIDE, qa_window_offsets
 from poolpick.plans.catalog_selection import _DIST_CTE, _RANKED_CTE, _knn_sql, flagship
 from poolpick.plans.registry import r6, register
 from poolpick.session import scratch_path
@@ -109,17 +111,19 @@ def q_feature_to_example(spark, sf_dir):
 
 
 N_BEST, MAX_ANS = 20, 30
+_WS = f"(feature_id % 3) * {QA_STRIDE}"   # context start token of a feature: its index in the example x stride
 _SPAN_CTES = [
-    ("ctx", "SELECT row_id AS example_id, least(length(text), 128) AS clen, substring(text, 1, 128) AS context "
-            "FROM docs"),
-    ("stp", "SELECT feature_id, example_id, i - 1 AS p, zs[i] AS v, row_number() OVER (PARTITION BY feature_id "
-            "ORDER BY zs[i] DESC, i) AS rk FROM qafeat, range(1, 33) t(i)"),
+    ("ctx", "SELECT row_id AS example_id, length(text) AS len, text AS context FROM docs"),
+    ("stp", f"SELECT feature_id, example_id, {_WS} AS ws, i - 1 AS p, zs[i] AS v, row_number() OVER "
+            f"(PARTITION BY feature_id ORDER BY zs[i] DESC, i) AS rk FROM qafeat, range(1, 33) t(i)"),
     ("enp", "SELECT feature_id, i - 1 AS p, ze[i] AS v, row_number() OVER (PARTITION BY feature_id "
             "ORDER BY ze[i] DESC, i) AS rk FROM qafeat, range(1, 33) t(i)"),
-    ("cand", f"SELECT s.feature_id, s.example_id, s.p AS si, e.p AS ei, s.v + e.v AS score FROM stp s "
+    ("cand", f"SELECT s.feature_id, s.example_id, s.p AS si, e.p AS ei, s.v + e.v AS score, "
+             f"{CH} * (s.ws + s.p - {QA_Q}) AS cs, {CH} * (s.ws + e.p - {QA_Q}) + 3 AS ce FROM stp s "
              f"JOIN enp e USING (feature_id) JOIN ctx c ON c.example_id = s.example_id "
              f"WHERE s.rk <= {N_BEST} AND e.rk <= {N_BEST} AND e.p >= s.p AND e.p - s.p + 1 <= {MAX_ANS} "
-             f"AND s.p >= 4 AND e.p >= 4 AND 4 * s.p < c.clen AND 4 * e.p < c.clen"),
+             f"AND s.p >= {QA_Q} AND e.p >= {QA_Q} AND {CH} * (s.ws + s.p - {QA_Q}) < c.len "
+             f"AND {CH} * (s.ws + e.p - {QA_Q}) < c.len"),
     ("bst", "SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, feature_id, si, ei) AS rn "
             "FROM cand"),
 ]
@@ -128,20 +132,19 @@ _SPAN_CTES = [
 @register("qa_best_span", with_views(
     "SELECT x.example_id, b.feature_id, CAST(b.si AS INTEGER) AS start, CAST(b.ei AS INTEGER) AS \"end\", "
     "round(b.score, 6) AS score, CASE WHEN b.feature_id IS NULL THEN '' "
-    "ELSE substring(c.context, 4 * b.si + 1, 4 * b.ei + 3 - 4 * b.si) END AS answer "
+    "ELSE substring(c.context, b.cs + 1, b.ce - b.cs) END AS answer "
     "FROM (SELECT DISTINCT example_id FROM qafeat) x LEFT JOIN bst b ON b.example_id = x.example_id AND b.rn = 1 "
     "LEFT JOIN ctx c ON c.example_id = x.example_id", "qafeat", "docs", extra=_SPAN_CTES))
 def q_qa_best_span(spark, sf_dir):
-    """MET-6 / JOIN-9: n-best start x end candidates per feature, best per example, text by offsets."""
+    """MET-6 / JOIN-9: n-best start x end candidates per feature (a window over the whole
+    document), best per example, answer cut from the whole text by character offsets."""
     f = fx.qafeat_df(spark, sf_dir)
-    docs = fx.docs_df(spark, sf_dir).select(F.col("row_id").alias("example_id"),
-                                            F.substring("text", 1, 128).alias("context"))
+    docs = fx.docs_df(spark, sf_dir).select(F.col("row_id").alias("example_id"), F.col("text").alias("context"))
     ex = f.select("example_id").distinct().join(docs, "example_id", "left")
-    f = f.join(docs.select("example_id", F.length("context").alias("clen")), "example_id")
-    pos = F.sequence(F.lit(0), F.lit(31))
-    offs = F.transform(pos, lambda p: F.when((p >= 4) & (p * 4 < F.col("clen")),
-                                             F.struct((p * 4).alias("s"), (p * 4 + 3).alias("e"))))
-    f = f.withColumn("offsets", offs)
+    f = f.join(docs.select("example_id", F.length("context").alias("len")), "example_id")
+    ws = (F.col("feature_id") % 3).cast("int") * QA_STRIDE
+    offs, seq = qa_window_offsets(ws, F.col("len"))
+    f = f.withColumn("offsets", ch.mask_offsets(offs, seq))
     b = qa.best_spans(f, ex, N_BEST, MAX_ANS)
     return b.select("example_id", "feature_id", "start", "end", r6("score").alias("score"), "answer")
 

@@ -61,19 +61,45 @@ def q_span_in_window(spark, sf_dir):
                     lab["end_positions"].cast("int").alias("end_positions"))
 
 
+# QA feature layout of the fixture: positions 0..3 hold the question, positions 4..31 are
+# 28 context tokens of 4 characters; consecutive windows start 14 context tokens apart.
+QA_Q, QA_POS, QA_STRIDE = 4, 32, 14
+
+
+def qa_window_offsets(ws, text_len):
+    """(offsets, sequence ids) of one 32-position feature whose context starts at token ``ws``.
+
+    Question positions get question-relative spans (sequence id 0); context
+    positions map into the whole text (id 1); positions past the end of the
+    text are padding (id NULL)."""
+    pos = F.sequence(F.lit(0), F.lit(QA_POS - 1))
+    q = lambda p: ws + p - QA_Q
+    offs = F.transform(pos, lambda p: F.when(p < QA_Q, F.struct((p * CH).alias("s"), (p * CH + 3).alias("e")))
+                       .otherwise(F.struct((q(p) * CH).alias("s"), (q(p) * CH + 3).alias("e"))))
+    seq = F.transform(pos, lambda p: F.when(p < QA_Q, F.lit(0)).when(q(p) * CH < text_len, F.lit(1)))
+    return offs, seq
+
+
 @register("mask_offsets", with_views(
-    "SELECT row_id, CAST(p AS INTEGER) AS pos, CASE WHEN p >= 4 AND 4 * p < clen THEN CAST(4 * p AS INTEGER) END AS s, "
-    "CASE WHEN p >= 4 AND 4 * p < clen THEN CAST(4 * p + 3 AS INTEGER) END AS e "
-    "FROM (SELECT row_id, least(length(text), 128) AS clen FROM docs), range(32) t(p)", "docs"))
+    f"SELECT row_id, win, count(*) FILTER (WHERE live) AS n_live, "
+    f"CAST(min(s) FILTER (WHERE live) AS INTEGER) AS first_s, CAST(max(e) FILTER (WHERE live) AS INTEGER) AS last_e "
+    f"FROM (SELECT row_id, win, p >= {QA_Q} AND {CH} * (ws + p - {QA_Q}) < len AS live, {CH} * (ws + p - {QA_Q}) AS s, "
+    f"{CH} * (ws + p - {QA_Q}) + 3 AS e FROM (SELECT row_id, len, "
+    f"CAST(row_number() OVER (PARTITION BY row_id ORDER BY ws) - 1 AS INTEGER) AS win, ws FROM "
+    f"(SELECT row_id, len, unnest(range(0, greatest(ntok - {QA_STRIDE}, 1), {QA_STRIDE})) AS ws FROM "
+    f"(SELECT row_id, length(text) AS len, CAST(ceil(length(text) / {CH}) AS BIGINT) AS ntok FROM docs))), "
+    f"range({QA_POS}) t(p)) GROUP BY row_id, win", "docs"))
 def q_mask_offsets(spark, sf_dir):
-    """CHK-3: question positions (p < 4) and padding past the context lose their offsets."""
-    d = fx.docs_df(spark, sf_dir).select("row_id", F.least(F.length("text"), F.lit(128)).alias("clen"))
-    pos = F.sequence(F.lit(0), F.lit(31))
-    d = d.withColumn("offsets", F.transform(pos, lambda p: F.struct((p * 4).alias("s"), (p * 4 + 3).alias("e"))))
-    d = d.withColumn("seq", F.transform(pos, lambda p: F.when(p < 4, F.lit(0))
-                                        .when(p * 4 < F.col("clen"), F.lit(1))))
-    m = d.select("row_id", F.posexplode(ch.mask_offsets(F.col("offsets"), F.col("seq"))).alias("pos", "o"))
-    return m.select("row_id", "pos", F.col("o.s").alias("s"), F.col("o.e").alias("e"))
+    """CHK-3: every QA window over every whole document; question and padding positions
+    lose their offsets. Reported per window: live positions and the covered span."""
+    d = fx.docs_df(spark, sf_dir).select("row_id", F.length("text").alias("len"))
+    n_tok = F.ceil(F.col("len") / CH).cast("int")
+    w = d.select("row_id", "len", F.posexplode(ch.window_starts(n_tok, 2 * QA_STRIDE, QA_STRIDE)).alias("win", "ws"))
+    offs, seq = qa_window_offsets(F.col("ws"), F.col("len"))
+    m = w.select("row_id", "win", F.filter(ch.mask_offsets(offs, seq), lambda o: o.isNotNull()).alias("live"))
+    return m.select("row_id", "win", F.size("live").cast("long").alias("n_live"),
+                    F.array_min(F.transform("live", lambda o: o["s"])).alias("first_s"),
+                    F.array_max(F.transform("live", lambda o: o["e"])).alias("last_e"))
 
 
 def _word_ids(t):
