@@ -233,6 +233,9 @@ def q_delta_averages(spark, sf_dir):
 def q_seed_avg_variance(spark, sf_dir):
     """AGG-7: across seeds, mean (also shown to one decimal) and population variance."""
     a = rp.seed_avg_variance(fx.runs_df(spark, sf_dir))
+    line = F.format_string("%s: Average = %.1f, Variance = %s", "strategy", "average", F.col("variance").cast("string"))
+    sk.write_report(a.select("config", line.alias("line")), scratch_path(spark, "last_iter_avg"), sep="\t",
+                    header=False)  # SNK-6: one small text report (strategies x configs rows)
     return a.select("config", "strategy", r6("average").alias("average"), F.round("average", 1).alias("average_1dp"),
                     r6("variance").alias("variance"), "n_seeds")
 
