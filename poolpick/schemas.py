@@ -53,8 +53,8 @@ def load_registry(path: str) -> dict[str, DatasetConfig]:
 
     with open(path, encoding="utf-8") as f:
         raw = yaml.safe_load(f) or {}
-    return {name: DatasetConfig(name=name, **{k: v for k, v in (body or {}).items()
-                                              if k in DatasetConfig.__dataclass_fields__})}
+    fields = DatasetConfig.__dataclass_fields__
+    return {name: DatasetConfig(name=name, **{k: v for k, v in (body or {}).items() if k in fields})
             for name, body in raw.items()}
 
 
