@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from poolpick.operators import neighbors as nb
+from poolpick.session import materialise
 
 ID = "row_id"
 
@@ -157,8 +158,10 @@ def select_knn_uncertainty(pool: DataFrame, target: DataFrame, scores: DataFrame
     small grouped count picks the level without a loop of jobs.
     """
     best, levels, width = knn_best(pool, target, [budget], k0, max_neighbors, **kw)
+    # the best-rank table (at most targets x depth rows) feeds two actions: write it once
+    best = materialise(best.withColumnRenamed("src_id", ID), "knn_best")
     n_prev = prev.count()
-    fresh = _without(best.withColumnRenamed("src_id", ID), prev)
+    fresh = _without(best, prev)
     counts = {r["lvl"]: r["n"] for r in
               fresh.groupBy(_level_index(F.col("best"), k0).alias("lvl")).agg(F.count("*").alias("n")).collect()}
     k_star = knn_level_for_budget(counts, levels, n_prev, budget, width)

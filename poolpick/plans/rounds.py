@@ -17,18 +17,11 @@ from pyspark.sql import functions as F
 
 from poolpick.functions.scores import top2_margin
 from poolpick.operators import strategies as st
-from poolpick.session import scratch_path
+from poolpick.session import materialise
 
 ID = "row_id"
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read back (lineage cut, executor-loss safe)."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def run_rounds(spark, select: Callable[[int, DataFrame, int], DataFrame], budget: int, rounds: int,
                prev: DataFrame | None = None) -> DataFrame:
     """SEL-8: ``per_round = budget // rounds``; round r selects up to r * per_round rows
@@ -78,7 +71,7 @@ def multi_budget_top(scores: DataFrame, budgets: list[int], score_col: str = "un
     is a prefix. Returns (budget, row_id, rank)."""
     order = [F.col(score_col).asc_nulls_last(), F.col(ID)]
     sel = st._append(st.empty_like(st.empty_prev(scores.sparkSession)), 0,
-                     scores.orderBy(*order).limit(max(budgets)), order)
+                     st.top_n(scores, max(budgets), score_col), order)
     b = F.explode(F.array(*[F.lit(int(x)) for x in sorted(budgets)])).alias("budget")
     return sel.select(b, ID, "rank").where(F.col("rank") <= F.col("budget"))
 
@@ -91,7 +84,7 @@ def multi_budget_knn(pool: DataFrame, target: DataFrame, scores: DataFrame, budg
     from pyspark.sql import Window
 
     best, levels, width = st.knn_best(pool, target, budgets, k0, max_neighbors)
-    best = best.withColumnRenamed("src_id", ID)
+    best = materialise(best.withColumnRenamed("src_id", ID), "knn_best")  # one distance pass for both uses
     counts = {r["lvl"]: r["n"] for r in
               best.groupBy(st._level_index(F.col("best"), k0).alias("lvl")).agg(F.count("*").alias("n")).collect()}
     kb = [(b, st.knn_level_for_budget(counts, levels, 0, b, width)) for b in sorted(budgets)]
@@ -100,4 +93,6 @@ def multi_budget_knn(pool: DataFrame, target: DataFrame, scores: DataFrame, budg
         .select(ID, F.col("bk.budget").alias("budget"))
     w = Window.partitionBy("budget").orderBy(F.col("uncertainty").asc_nulls_last(), F.col(ID))
     ranked = cand.join(scores.select(ID, "uncertainty"), ID).withColumn("rank", F.row_number().over(w).cast("long"))
-    return ranked.where(F.col("rank") <= F.col("budget")).select("budget", ID, "rank")
+    # the literal bound (largest budget) lets Spark cut each budget's candidates per task
+    return ranked.where((F.col("rank") <= max(budgets)) & (F.col("rank") <= F.col("budget"))) \
+        .select("budget", ID, "rank")

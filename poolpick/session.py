@@ -64,6 +64,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/tables/{name}-{os.getpid()}-{next(_counter)}"
 
 
+def materialise(df, name: str):
+    """Write ``df`` to the shared checkpoint folder and read it back.
+
+    Used where one expensive intermediate feeds several actions: it is
+    computed once, its lineage is cut, and it survives executor loss
+    (unlike a cache or a local checkpoint).
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _count():
     i = 0
     while True:
