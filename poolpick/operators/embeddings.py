@@ -1,9 +1,10 @@
 """Pooled embeddings from token states held as tables (EMB-1..4).
 
 States arrive in long form ``(row_id, pos, h array<double>, mask)``.
-Pooling is a grouped, dimension-wise sum: ``posexplode`` the vector,
-``groupBy(row_id, dim)``; the result is re-assembled into an ordered
-array with ``array_sort`` on (dim, value) structs -- no Python.
+Pooling groups whole vectors: MLlib's ``Summarizer`` computes the
+(weighted) mean per group with map-side partial aggregation, so the
+shuffle carries one buffer per group and task -- never one row per
+dimension.
 """
 
 from __future__ import annotations
@@ -17,11 +18,22 @@ def cls_embedding(states: DataFrame, id_col="row_id", pos_col="pos", vec_col="h"
     return states.where(F.col(pos_col) == 0).select(id_col, F.col(vec_col).alias("embedding"))
 
 
+def masked_mean(states: DataFrame, mask, id_col="row_id", vec_col="h") -> DataFrame:
+    """EMB-2 (attention mask) / EMB-3 (label != -100): sum(h * mask) / max(sum(mask), 1e-9)
+    per row, as ``embedding array<double>``; an all-masked row pools to zeros."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    x = states.select(id_col, array_to_vector(vec_col).alias("_v"), mask.cast("double").alias("_m"))
+    g = x.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("_m")).alias("_mean"), F.sum("_m").alias("_w"))
+    mean = vector_to_array("_mean")
+    zeros = F.transform(mean, lambda _: F.lit(0.0))
+    return g.select(id_col, F.when(F.col("_w") > 0, mean).otherwise(zeros).alias("embedding"))
+
+
 def masked_mean_long(states: DataFrame, mask, id_col="row_id", vec_col="h") -> DataFrame:
-    """EMB-2/3 in long form: (row_id, dim, value) = sum(h*mask) / max(sum(mask), 1e-9)."""
-    x = states.select(id_col, mask.cast("double").alias("_m"), F.posexplode(vec_col).alias("dim", "_v"))
-    return x.groupBy(id_col, "dim").agg(
-        (F.sum(F.col("_v") * F.col("_m")) / F.greatest(F.sum("_m"), F.lit(1e-9))).alias("value"))
+    """EMB-2/3 in long form (row_id, dim, value), exploded only at the output."""
+    return masked_mean(states, mask, id_col, vec_col).select(id_col, F.posexplode("embedding").alias("dim", "value"))
 
 
 def to_vector(long: DataFrame, id_col="row_id", dim_col="dim", value_col="value", out="embedding") -> DataFrame:
@@ -30,12 +42,17 @@ def to_vector(long: DataFrame, id_col="row_id", dim_col="dim", value_col="value"
     return long.groupBy(id_col).agg(F.transform(pairs, lambda s: s["v"]).alias(out))
 
 
-def masked_mean(states: DataFrame, mask, id_col="row_id", vec_col="h") -> DataFrame:
-    """EMB-2 (attention mask) / EMB-3 (label != -100) pooled vector per row."""
-    return to_vector(masked_mean_long(states, mask, id_col, vec_col), id_col)
+def example_mean(features: DataFrame, vec_col: str, example_col="example_id") -> DataFrame:
+    """EMB-4: element-wise mean over the feature rows of each example."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    g = features.select(example_col, array_to_vector(vec_col).alias("_v")).groupBy(example_col) \
+        .agg(Summarizer.mean(F.col("_v")).alias("_mean"))
+    return g.select(example_col, vector_to_array("_mean").alias("embedding"))
 
 
 def example_mean_long(features: DataFrame, vec_col: str, example_col="example_id") -> DataFrame:
-    """EMB-4 in long form: element-wise mean over the feature rows of each example."""
-    x = features.select(example_col, F.posexplode(vec_col).alias("dim", "_v"))
-    return x.groupBy(example_col, "dim").agg(F.avg("_v").alias("value"))
+    """EMB-4 in long form (example_id, dim, value), exploded only at the output."""
+    return example_mean(features, vec_col, example_col).select(example_col,
+                                                                F.posexplode("embedding").alias("dim", "value"))

@@ -132,3 +132,13 @@ def test_validation_fallback_overlaps_train(spark):
     v = sorted(r.row_id for r in out.where("split = 'validation'").collect())
     assert v == [0, 1, 7]
     assert out.count() == 12
+
+
+def test_masked_mean_pools_and_all_masked_gives_zeros(spark):
+    from poolpick.operators import embeddings as emb
+
+    s = spark.createDataFrame([(1, 0, [1.0, 2.0], 1), (1, 1, [3.0, 6.0], 1), (1, 2, [9.0, 9.0], 0),
+                               (2, 0, [5.0, 5.0], 0)], "row_id long, pos int, h array<double>, attn int")
+    got = {r.row_id: r.embedding for r in emb.masked_mean(s, F.col("attn")).collect()}
+    assert got[1] == [2.0, 4.0]
+    assert got[2] == [0.0, 0.0]
