@@ -24,11 +24,11 @@ def masked_mean(states: DataFrame, mask, id_col="row_id", vec_col="h") -> DataFr
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    x = states.select(id_col, array_to_vector(vec_col).alias("_v"), mask.cast("double").alias("_m"))
-    g = x.groupBy(id_col).agg(Summarizer.mean(F.col("_v"), F.col("_m")).alias("_mean"), F.sum("_m").alias("_w"))
-    mean = vector_to_array("_mean")
-    zeros = F.transform(mean, lambda _: F.lit(0.0))
-    return g.select(id_col, F.when(F.col("_w") > 0, mean).otherwise(zeros).alias("embedding"))
+    m = mask.cast("double")
+    x = states.select(id_col, array_to_vector(F.transform(vec_col, lambda v: v * m)).alias("_v"), m.alias("_m"))
+    g = x.groupBy(id_col).agg(Summarizer.sum(F.col("_v")).alias("_sum"), F.sum("_m").alias("_w"))
+    den = F.greatest(F.col("_w"), F.lit(1e-9))
+    return g.select(id_col, F.transform(vector_to_array("_sum"), lambda v: v / den).alias("embedding"))
 
 
 def masked_mean_long(states: DataFrame, mask, id_col="row_id", vec_col="h") -> DataFrame:
