@@ -18,6 +18,7 @@ def get_spark(master: str | None = None, app: str = "poolpick",
     """Return the active session or build one tuned for this library."""
     active = SparkSession.getActiveSession()
     if active is not None:
+        ship_package(active)
         return active
     builder = SparkSession.builder.appName(app)
     if master:
@@ -34,9 +35,35 @@ def get_spark(master: str | None = None, app: str = "poolpick",
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``poolpick`` importable in the Python workers (as ``--py-files`` would).
+
+    Arrow-batched functions are pickled by reference to their module, so the
+    workers must import the package; it is zipped once on the driver and
+    added with ``SparkContext.addPyFile``, which Spark distributes to every
+    executor. Idempotent per SparkContext.
+    """
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = tempfile.mkdtemp(prefix="poolpick-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out, "poolpick"), "zip", root_dir=os.path.dirname(pkg_dir),
+                                  base_dir=os.path.basename(pkg_dir))
+    sc.addPyFile(archive)
+    _SHIPPED.add(key)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
