@@ -7,8 +7,6 @@ layouts are produced only at the edge, by pivoting with explicit values.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType

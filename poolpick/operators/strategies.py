@@ -14,8 +14,6 @@ join against it is broadcast by the planner.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 

@@ -11,7 +11,6 @@ from poolpick.functions.stats import pearson_p, t_statistic
 from poolpick.operators import neighbors as nb
 from poolpick.operators import prepare as pr
 from poolpick.operators import qa
-from poolpick.operators import strategies as st
 from poolpick.operators.projection import fit_pca, tagged_projection
 from poolpick.plans import rounds as rd
 from poolpick.operators import chunking as ch
