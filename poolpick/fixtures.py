@@ -21,7 +21,8 @@ BUDGETS = [5, 10, 50, 100]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from poolpick.session import spread
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
 
 
 def _dbl(c: str) -> Column:

@@ -39,6 +39,21 @@ def get_spark(master: str | None = None, app: str = "poolpick",
     return spark
 
 
+def spread(df):
+    """Spread a scan that yields fewer splits than the cluster has cores.
+
+    A small file with one row group is read by one task, which would then
+    run all per-row work (vector kernels, text functions) alone. Such an
+    input is small, so a round-robin repartition to the default parallelism
+    is cheap; a large input already has many splits and is left as it is
+    (no extra shuffle at scale).
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 _SHIPPED: set[str] = set()
 
 

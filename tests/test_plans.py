@@ -28,7 +28,13 @@ def test_knn_has_no_cartesian_product(spark):
 
 
 def test_mean_distance_needs_no_shuffle_for_one_target_chunk(spark):
-    assert "Exchange" not in plan(Q["pairwise_l2"](spark, SF_SMALL))
+    p = plan(Q["pairwise_l2"](spark, SF_SMALL))
+    assert "hashpartitioning" not in p  # only the round-robin spread of a one-split input, no aggregation shuffle
+
+
+def test_small_single_split_inputs_are_spread(spark):
+    from poolpick.fixtures import table
+    assert table(spark, SF_SMALL, "documents").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
 
 
 def test_dedupe_aggregates_map_side(spark):
