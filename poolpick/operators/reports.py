@@ -200,8 +200,10 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, partitions: int
 
     A hot key must not land in one task, so rows are range-partitioned on
     (key, order): a key spans several partitions. Each partition computes
-    local running sums; per-(partition, key) totals (a small table) give
-    the offsets of earlier partitions, broadcast back.
+    local running sums; per-(partition, key) totals give the offsets of
+    earlier partitions. That table has about one row per distinct key
+    (plus one per partition boundary), so it is joined back without a
+    forced broadcast: the planner broadcasts it only when it is small.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
     x = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
@@ -211,7 +213,7 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, partitions: int
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select("_pid", key, F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"),
                      F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"))
-    y = x.join(F.broadcast(off), ["_pid", key])
+    y = x.join(off, ["_pid", key])
     return y.withColumn("running_sum", F.col("_s") + F.col("_os")) \
         .withColumn("running_count", F.col("_c") + F.col("_oc")) \
         .drop("_pid", "_s", "_c", "_os", "_oc")
