@@ -117,7 +117,7 @@ def resolve_pair_config(requests: DataFrame, configs: DataFrame, req_col="reques
     reverse 'tgt-src' one when only that exists (NULL when neither)."""
     s, t = pair_languages(req_col)
     r = requests.select(req_col, s.alias("src"), t.alias("tgt"))
-    c = F.broadcast(configs.select(F.lower(F.col(cfg_col)).alias("_c")).distinct())
+    c = configs.select(F.lower(F.col(cfg_col)).alias("_c")).distinct()
     fwd = c.select(F.col("_c").alias("_fwd"))
     rev = c.select(F.col("_c").alias("_rev"))
     j = r.join(fwd, F.concat_ws("-", "src", "tgt") == F.col("_fwd"), "left") \
@@ -192,7 +192,7 @@ def validation_fallback(df: DataFrame, n: int, split_col="split", lang_col="lang
     Train is not reduced, so the two splits overlap (as in the reference).
     """
     has_val = df.where(F.col(split_col) == "validation").select(lang_col).distinct()
-    train = df.where(F.col(split_col) == "train").join(F.broadcast(has_val), lang_col, "left_anti")
+    train = df.where(F.col(split_col) == "train").join(has_val, lang_col, "left_anti")
     extra = first_n_per_language(train, n, order_col, lang_col).withColumn(split_col, F.lit("validation"))
     return df.unionByName(extra)
 

@@ -189,7 +189,7 @@ def eval_table(runs: DataFrame, n_val_languages: int = 5) -> DataFrame:
     lang_rank = F.dense_rank().over(Window.orderBy("language"))  # over distinct languages only
     langs = runs.select("language").distinct().withColumn("lrank", lang_rank)
     lo, hi = runs.agg(F.min("iteration"), F.max("iteration")).first()
-    r = runs.join(F.broadcast(langs), "language")
+    r = runs.join(langs, "language")
     keep = (F.col("split") == "test") | ((F.col("lrank") <= n_val_languages) & F.col("iteration").isin(lo, hi))
     return r.where(keep).groupBy("language", "split", "iteration").agg(F.avg("value").alias("value"))
 

@@ -50,6 +50,7 @@ def _without(df: DataFrame, prev: DataFrame) -> DataFrame:
     return df.join(prev.select(ID), ID, "left_anti")
 
 
+BROADCAST_MAX_ROWS = 100_000  # per-language tables broadcast below this many rows
 TOPN_DIRECT_MAX = 10_000  # below this, per-task top-n lists are small enough to merge in one task
 
 
@@ -258,7 +259,9 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
         return _prev_ranked(prev)
     quota = (budget - n_prev) // n_lang
     small = budget // n_lang
-    rest = _without(pool.select(ID, "language"), prev).join(F.broadcast(sizes), "language")
+    # one row per language: broadcast only when that count is small (it was just counted)
+    rest = _without(pool.select(ID, "language"), prev).join(
+        F.broadcast(sizes) if n_lang <= BROADCAST_MAX_ROWS else sizes, "language")
     w = Window.partitionBy("language").orderBy(hash_key(seed), F.col(ID))
     ranked = rest.withColumn("lrank", F.row_number().over(w))
     # literal rank bound first (a WindowGroupLimit: a hot language is cut per task before
