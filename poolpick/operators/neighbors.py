@@ -88,8 +88,9 @@ def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str, bounds_bc=Non
             bound = np.array([bmap.get(int(i), np.inf) for i in t_ids])
         t_sq = np.einsum("ij,ij->i", t, t)
         t_norm = np.sqrt(t_sq)
-        best_d = np.full((m, k), np.inf)
-        best_i = np.full((m, k), np.iinfo(np.int64).max, dtype=np.int64)
+        # grown lazily: a task holding fewer than k rows never allocates m x k
+        best_d = np.empty((m, 0))
+        best_i = np.empty((m, 0), dtype=np.int64)
         for pdf in batches:
             if len(pdf) == 0:
                 continue

@@ -269,7 +269,8 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
     phase1 = ranked.where((F.col("lrank") <= max(quota, small))
                           & ((F.col("lang_n") <= small) | (F.col("lrank") <= quota)))
     need1 = max(0, budget - n_prev)
-    p1 = phase1.orderBy("language", "lrank").limit(need1).select(ID, "language", "lrank")
+    # phase 1 (<= budget rows) feeds a count and the result: one pass over the pool, written once
+    p1 = materialise(phase1.orderBy("language", "lrank").limit(need1).select(ID, "language", "lrank"), "egal_p1")
     p1_ranked = _append(prev, n_prev, p1, [F.col("language"), F.col("lrank")])
     n_now = n_prev + p1.count()
     if n_now >= budget:
