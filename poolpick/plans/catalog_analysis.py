@@ -197,11 +197,11 @@ def q_write_selection(spark, sf_dir):
     pool = fx.pool_df(spark, sf_dir)
     sel = flagship(spark, sf_dir).select("row_id", "rank")
     out = scratch_path(spark, "selection")
-    paths = sk.write_selection(sel, pool, pool.select("row_id", "emb"), out)
+    paths = sk.write_selection(sel, pool, pool.select("row_id", "emb"), out, all_embeddings=True)
     back = spark.read.parquet(paths["parquet"])
     emb_n = spark.read.parquet(paths["embeddings"]).count()
-    if emb_n != back.count():
-        raise RuntimeError("selected embeddings do not match the selected rows")
+    if emb_n != back.count() or spark.read.parquet(paths["all_embeddings"]).count() != pool.count():
+        raise RuntimeError("written embeddings do not match the selection / the pool")
     return back.select("row_id", "rank", "language")
 
 

@@ -22,9 +22,10 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_selection(selection: DataFrame, raw: DataFrame, embeddings: DataFrame | None, out: str,
-                    id_col: str = "row_id") -> dict[str, str]:
-    """SNK-1/SNK-2: selected raw rows to CSV and Parquet, and the embeddings of the
-    selected rows (a semi join on the selection, which is bounded by the budget)."""
+                    id_col: str = "row_id", all_embeddings: bool = False) -> dict[str, str]:
+    """SNK-1/SNK-2: selected raw rows to CSV and Parquet, the embeddings of the selected
+    rows (a semi join on the selection, which is bounded by the budget) and, optionally,
+    the embeddings of every row (a plain parallel write)."""
     rows = raw.join(selection.select(id_col, "rank"), id_col)
     paths = {"csv": f"{out}/selected_csv", "parquet": f"{out}/selected_parquet"}
     write_csv(rows.select(*[c for c in rows.columns if c != "emb"]), paths["csv"])
@@ -32,6 +33,9 @@ def write_selection(selection: DataFrame, raw: DataFrame, embeddings: DataFrame
     if embeddings is not None:
         paths["embeddings"] = f"{out}/selected_embeddings"
         write_parquet(embeddings.join(selection.select(id_col), id_col, "left_semi"), paths["embeddings"])
+        if all_embeddings:
+            paths["all_embeddings"] = f"{out}/all_embeddings"
+            write_parquet(embeddings, paths["all_embeddings"])
     return paths
 
 
