@@ -26,7 +26,11 @@ def write_selection(selection: DataFrame, raw: DataFrame, embeddings: DataFrame
     """SNK-1/SNK-2: selected raw rows to CSV and Parquet, the embeddings of the selected
     rows (a semi join on the selection, which is bounded by the budget) and, optionally,
     the embeddings of every row (a plain parallel write)."""
-    rows = raw.join(selection.select(id_col, "rank"), id_col)
+    from poolpick.session import materialise
+
+    # the selection (<= budget rows) feeds three writes: compute it once
+    selection = materialise(selection.select(id_col, "rank"), "selection")
+    rows = raw.join(selection, id_col)
     paths = {"csv": f"{out}/selected_csv", "parquet": f"{out}/selected_parquet"}
     write_csv(rows.select(*[c for c in rows.columns if c != "emb"]), paths["csv"])
     write_parquet(rows, paths["parquet"])
