@@ -67,6 +67,8 @@ def top_n(df: DataFrame, n: int, score_col: str, ascending: bool = True) -> Data
     order = [sc, F.col(ID)]
     if n <= TOPN_DIRECT_MAX:
         return df.orderBy(*order).limit(n)
+    # several passes follow (counts, quantile, cut): score the rows once (e.g. mean distances)
+    df = materialise(df, "topn_scores")
     total, live = df.agg(F.count(F.lit(1)), F.count(score_col)).first()
     if n >= live:
         return df.orderBy(*order).limit(n)
