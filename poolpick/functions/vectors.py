@@ -40,6 +40,23 @@ def to_matrix(series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in series])
 
 
+def arrow_matrix(col) -> np.ndarray:
+    """A pyarrow list<double> column of equal-length vectors as a float64 matrix,
+    straight from the values buffer (no per-row Python)."""
+    n = len(col)
+    if n == 0:
+        return np.zeros((0, 0), dtype=np.float64)
+    if col.null_count:
+        raise ValueError("NULL vector in input")
+    offs = col.offsets.to_numpy()
+    lens = np.diff(offs)
+    d = int(lens[0])
+    if not np.all(lens == d):
+        raise ValueError("vectors differ in length")
+    vals = col.values.to_numpy(zero_copy_only=False)[offs[0]:offs[-1]]
+    return vals.astype(np.float64, copy=False).reshape(n, d)
+
+
 def block_rows(n_targets: int) -> int:
     return max(1, BLOCK_CELLS // max(1, n_targets))
 

@@ -7,7 +7,7 @@ Plan shape
   target larger than the bound becomes several chunks (one pass of the
   pool per chunk), never one oversized broadcast.
 * The pool side is never shuffled before the distance step: each
-  ``mapInPandas`` task scores its own pool rows against the chunk with a
+  ``mapInArrow`` task scores its own pool rows against the chunk with a
   BLAS matrix product and keeps only a partial result -- the running
   top-k per target (kNN), or per-row / per-target sums (mean distance).
   The pool x target matrix is never emitted.
@@ -22,11 +22,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolpick.functions.vectors import block_rows, cosine_sims, sq_dists, to_matrix
+from poolpick.functions.vectors import arrow_matrix, block_rows, cosine_sims, sq_dists, to_matrix
 
 DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
 _PAIR_BLOCK = 1 << 20
@@ -91,11 +91,11 @@ def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str, bounds_bc=Non
         # grown lazily: a task holding fewer than k rows never allocates m x k
         best_d = np.empty((m, 0))
         best_i = np.empty((m, 0), dtype=np.int64)
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            ids = pdf[src_col].to_numpy(dtype=np.int64)
-            p = to_matrix(pdf[vec_col])
+            ids = rb.column(src_col).to_numpy().astype(np.int64, copy=False)
+            p = arrow_matrix(rb.column(vec_col))
             step = block_rows(m)
             for s in range(0, len(ids), step):
                 pb, ib = p[s:s + step], ids[s:s + step]
@@ -124,7 +124,7 @@ def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str, bounds_bc=Non
         if keep.any():
             tg = np.broadcast_to(t_ids[:, None], best_d.shape)[keep]
             dist = best_d[keep] if metric != "cosine" else -best_d[keep]
-            yield pd.DataFrame({"tgt_id": tg, "src_id": best_i[keep], "dist": dist})
+            yield pa.RecordBatch.from_pydict({"tgt_id": tg, "src_id": best_i[keep], "dist": dist})
 
     return run
 
@@ -178,7 +178,7 @@ def knn_edges(pool: DataFrame, target: DataFrame, k: int, id_col: str = "row_id"
             if n_pool > PRUNE_SAMPLE_ROWS or prune is True:
                 bounds = _kth_bounds(src, target, k, id_col, vec_col, metric, max_broadcast_bytes, n_pool)
                 bounds_bc = pool.sparkSession.sparkContext.broadcast(bounds)
-    parts = [src.mapInPandas(_knn_task(ch.bc, k, id_col, vec_col, metric, bounds_bc), schema) for ch in chunks]
+    parts = [src.mapInArrow(_knn_task(ch.bc, k, id_col, vec_col, metric, bounds_bc), schema) for ch in chunks]
     edges = parts[0]
     for p in parts[1:]:
         edges = edges.unionByName(p)
@@ -195,11 +195,11 @@ def _row_dist_task(bc, src_col: str, vec_col: str, metric: str):
         m = len(t_ids)
         t_sq = np.einsum("ij,ij->i", t, t)
         t_norm = np.sqrt(t_sq)
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            ids = pdf[src_col].to_numpy(dtype=np.int64)
-            p = to_matrix(pdf[vec_col])
+            ids = rb.column(src_col).to_numpy().astype(np.int64, copy=False)
+            p = arrow_matrix(rb.column(vec_col))
             n = len(ids)
             sums, mins, maxs = np.empty(n), np.empty(n), np.empty(n)
             step = block_rows(m)
@@ -211,8 +211,8 @@ def _row_dist_task(bc, src_col: str, vec_col: str, metric: str):
                 sums[s:s + step] = d.sum(axis=1)
                 mins[s:s + step] = d.min(axis=1)
                 maxs[s:s + step] = d.max(axis=1)
-            yield pd.DataFrame({"src_id": ids, "dist_sum": sums, "dist_min": mins,
-                                "dist_max": maxs, "n_tgt": np.full(n, m, dtype=np.int64)})
+            yield pa.RecordBatch.from_pydict({"src_id": ids, "dist_sum": sums, "dist_min": mins,
+                                              "dist_max": maxs, "n_tgt": np.full(n, m, dtype=np.int64)})
 
     return run
 
@@ -224,7 +224,7 @@ def mean_distance_per_source(pool: DataFrame, target: DataFrame, id_col: str = "
     schema = "src_id long, dist_sum double, dist_min double, dist_max double, n_tgt long"
     chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
     src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = [src.mapInPandas(_row_dist_task(ch.bc, id_col, vec_col, metric), schema) for ch in chunks]
+    parts = [src.mapInArrow(_row_dist_task(ch.bc, id_col, vec_col, metric), schema) for ch in chunks]
     if not parts:
         return pool.sparkSession.createDataFrame([], "src_id long, mean_dist double, min_dist double, "
                                                      "max_dist double, n_tgt long")
@@ -249,16 +249,17 @@ def _tgt_dist_task(bc, src_col: str, vec_col: str):
         t_sq = np.einsum("ij,ij->i", t, t)
         sums = np.zeros(m)
         n = 0
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            p = to_matrix(pdf[vec_col])
+            p = arrow_matrix(rb.column(vec_col))
             step = block_rows(m)
             for s in range(0, len(p), step):
                 sums += np.sqrt(sq_dists(p[s:s + step], t, t_sq)).sum(axis=0)
             n += len(p)
         if n:
-            yield pd.DataFrame({"tgt_id": t_ids, "dist_sum": sums, "n_src": np.full(m, n, dtype=np.int64)})
+            yield pa.RecordBatch.from_pydict({"tgt_id": t_ids, "dist_sum": sums,
+                                              "n_src": np.full(m, n, dtype=np.int64)})
 
     return run
 
@@ -273,7 +274,7 @@ def mean_distance_per_target(pool: DataFrame, target: DataFrame, id_col: str = "
     schema = "tgt_id long, dist_sum double, n_src long"
     chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
     src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = [src.mapInPandas(_tgt_dist_task(ch.bc, id_col, vec_col), schema) for ch in chunks]
+    parts = [src.mapInArrow(_tgt_dist_task(ch.bc, id_col, vec_col), schema) for ch in chunks]
     u = parts[0]
     for p in parts[1:]:
         u = u.unionByName(p)
