@@ -1,8 +1,9 @@
-"""User batch functions (UDF-1, UDF-2) run as Arrow-batched ``mapInPandas``.
+"""User batch functions (UDF-1 on ``mapInArrow``, UDF-2 on ``mapInPandas``).
 
 A scorer is created once per task (``make_model`` runs inside the task,
 so a model is loaded once per partition, not per row) and applied to each
-Arrow batch. Only the columns the function needs cross into Python.
+Arrow batch as one matrix taken from the batch's values buffer. Only the
+columns the function needs cross into Python.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from poolpick.functions.vectors import to_matrix
+from poolpick.functions.vectors import arrow_matrix
 
 
 def linear_scorer(weights: np.ndarray) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
@@ -33,13 +36,17 @@ def score_batches(df: DataFrame, make_model, id_col: str = "row_id", vec_col: st
 
     def run(batches):
         model = make_model()
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            logits = model(to_matrix(pdf[vec_col]))
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), out_col: list(logits)})
-
-    return df.select(id_col, vec_col).mapInPandas(run, f"{id_col} long, {out_col} array<double>")
+            logits = np.asarray(model(arrow_matrix(rb.column(vec_col))), dtype=np.float64)
+            n, c = logits.shape
+            offsets = pa.array(np.arange(0, n * c + 1, c, dtype=np.int32))
+            values = pa.ListArray.from_arrays(offsets, pa.array(logits.ravel()))
+            yield pa.RecordBatch.from_arrays([rb.column(id_col).cast(pa.int64()), values], names=[id_col, out_col])
+
+    return df.select(F.col(id_col).cast("long").alias(id_col), vec_col) \
+        .mapInArrow(run, f"{id_col} long, {out_col} array<double>")
 
 
 def map_batches(df: DataFrame, fn: Callable[..., pd.DataFrame], schema: str,
