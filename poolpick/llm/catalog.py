@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import quality_classifier, quality_rules
+from poolpick.llm import mixing, quality_classifier, quality_rules
 from poolpick.llm.common import table
 
 QUERIES: dict = {}
@@ -19,6 +19,11 @@ def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op4_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -6,9 +6,9 @@ labelled text and carry a guarantee: in every stratum (language), the
 share of good documents that the rules reject is at most ``risk``, with
 confidence ``1 - delta`` over all strata together.
 
-1. Design half of the labelled good documents: for a ladder of tail shares,
-   from lenient to strict, each rule's cutoff is that tail quantile in the
-   stratum. One rung fixes the cutoffs of all rules.
+1. Design half of the labelled good documents: for each rung of a ladder from
+   lenient to strict, a rule's cutoff is a tail quantile in the stratum, moved
+   outward by a slack. One rung fixes the cutoffs of all rules.
 2. Holdout half (never used in 1): for every rung, count the good documents
    that any rule rejects. The exact binomial tail ``P(Bin(n, risk) <= k)`` is the
    p-value of "this rung rejects more than ``risk``".
@@ -37,7 +37,9 @@ from poolpick.llm.common import write_out
 from poolpick.llm.features import COUNTS, STATS, column_features
 
 RISK, DELTA = 0.01, 0.05
-LADDER = (0.0002, 0.0005, 0.001, 0.0015, 0.002, 0.003, 0.005, 0.0075, 0.01)
+#: rungs (tail share, slack), lenient to strict: the cutoff is the quantile that leaves the tail share of good
+#: documents beyond it, moved outward by slack times its distance from the median
+LADDER = ((0, 2.0), (0, 1.0), (0, 0.5), (0, 0.25), (0, 0.1), (0, 0.0), (0.0005, 0.0), (0.001, 0.0))
 #: statistic -> side on which a text is bad
 RULES = {"symbol_ratio": "high", "symbol_word_ratio": "high", "pipe_ratio": "high", "exclaim_ratio": "high",
          "upper_ratio": "high", "dup_line_ratio": "high", "repeat_word_ratio": "high", "distinct_word_ratio": "low"}
@@ -103,19 +105,20 @@ def _ladder_map(cuts: dict, rung=None):
 
 def calibrate(good: DataFrame, risk: float = RISK, delta: float = DELTA, ladder=LADDER) -> dict:
     """stratum -> certified cutoffs, from rows (stratum, design, rule statistics) of good documents."""
-    shares = list(ladder)
-    quantiles = [F.percentile_approx(r, F.array(*[F.lit(1 - s if side == "high" else s) for s in shares]), 100_000).alias(r)
+    shares = sorted({share for share, _ in ladder})
+    quantiles = [F.percentile_approx(r, F.array(*[F.lit(float(1 - s if side == "high" else s)) for s in [*shares, 0.5]]), 100_000).alias(r)
                  for r, side in RULES.items()]
     rows = good.where("design").groupBy("stratum").agg(*quantiles).collect()
-    cuts = {r.stratum: [[r[rule][j] for rule in RULES] for j in range(len(shares))] for r in rows}
+    cuts = {r.stratum: [[r[rule][shares.index(share)] + slack * (r[rule][shares.index(share)] - r[rule][-1]) for rule in RULES]
+                        for share, slack in ladder] for r in rows}
     if not cuts:
         return {}
     held = good.where("NOT design").where(F.col("stratum").isin(list(cuts)))
-    marks = [F.sum(_violates(_ladder_map(cuts, j)[F.col("stratum")]).cast("int")).alias(f"r{j}") for j in range(len(shares))]
+    marks = [F.sum(_violates(_ladder_map(cuts, j)[F.col("stratum")]).cast("int")).alias(f"r{j}") for j in range(len(ladder))]
     tests = held.groupBy("stratum").agg(F.count("*").alias("n"), *marks).collect()
     out = {}
     for t in tests:
-        rung = choose_rung([t[f"r{j}"] for j in range(len(shares))], t.n, risk, delta / len(cuts))
+        rung = choose_rung([t[f"r{j}"] for j in range(len(ladder))], t.n, risk, delta / len(cuts))
         if rung >= 0:
             out[t.stratum] = [cuts[t.stratum][rung]]
     return out
