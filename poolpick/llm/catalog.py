@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import mixing, quality_classifier, quality_rules
+from poolpick.llm import mixing, quality_classifier, quality_rules, topk_search
 from poolpick.llm.common import table
 
 QUERIES: dict = {}
@@ -27,3 +27,26 @@ def op4_mixing(spark, sf_dir):
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_topk_search(spark, sf_dir):
+    rows = topk_search.quantised(table(spark, sf_dir, "embeddings"))
+    return topk_search.top_k(rows.where("vec_id % 50 = 0"), rows)
+
+
+ORACLES["op10_topk_search"] = """
+WITH q AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
+         CAST(list_inner_product(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM q a JOIN q b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+) WHERE rank <= 5
+"""
