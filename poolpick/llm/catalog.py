@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from poolpick.llm import mixing, quality_classifier, quality_rules, topk_search
-from poolpick.llm.common import table
+from poolpick.llm import mixing, quality_classifier, quality_rules, token_output, topk_search
+from poolpick.llm.common import fresh_path, table
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public tokenizer file (installed alike on every machine)."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -29,6 +37,13 @@ def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op7_token_output(spark, sf_dir):
+    path = fresh_path(spark, "token_orc")
+    token_output.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"))
+    return token_output.document_digests(token_output.read_tokens(spark, path))
+
+
 @query
 def op10_topk_search(spark, sf_dir):
     rows = topk_search.quantised(table(spark, sf_dir, "embeddings"))

@@ -20,15 +20,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def write_out(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: lineage is cut, a lost executor costs nothing.
 
-    The table is removed with the application (see ``drop_tables``); queries
-    keep theirs, as their result still reads them.
+    A query's result still reads its tables, so they go with the shared folder.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+
+
 def has(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 
