@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import mixing, quality_classifier, quality_rules, token_output, topk_search
+from poolpick.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, token_output, topk_search
 from poolpick.llm.common import fresh_path, table
 
 
@@ -22,6 +22,11 @@ def query(fn):
     return fn
 
 
+@query
+def op2_sentencepiece(spark, sf_dir):
+    return sentencepiece_codec.encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 @query
 def op3_quality_classifier(spark, sf_dir):
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -32,9 +32,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from poolpick.llm import bytekit as B
+from poolpick.llm.piece_memo import PieceMemo
 
 END_ID = 0
-CACHE_PIECES = 1_500_000
 OUT = "doc_id {kind}, first long, ids array<int>"
 _state: dict = {}
 
@@ -125,13 +125,7 @@ class PieceEncoder:
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)
-        self.clear()
-
-    def clear(self):
-        self.names = np.zeros(0, np.uint64)  # sorted
-        self.first = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.int32)
+        self.memo = PieceMemo()
 
     def encode_new(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id counts) of distinct pieces.
@@ -166,29 +160,9 @@ class PieceEncoder:
         """(ids, id offsets per document) of a block, without end ids."""
         sp = pieces(data, offs)
         names = B.span_hashes(B.prefix_sums(data), sp.starts, sp.ends)
-        distinct, where, back = np.unique(names, return_index=True, return_inverse=True)
-        pos = np.searchsorted(self.names, distinct)
-        known = np.zeros(len(distinct), bool)
-        inside = pos < len(self.names)
-        known[inside] = self.names[pos[inside]] == distinct[inside]
-        if not known.all():
-            if len(self.names) > CACHE_PIECES:
-                self.clear()
-                known[:] = False
-            new = np.flatnonzero(~known)
-            raw = data.tobytes()
-            ids, counts = self.encode_new([raw[sp.starts[w]:sp.ends[w]] for w in where[new]])
-            first = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64) + len(self.ids)
-            place = np.searchsorted(self.names, distinct[new])  # the new names are sorted too
-            self.names = np.insert(self.names, place, distinct[new])
-            self.first = np.insert(self.first, place, first)
-            self.count = np.insert(self.count, place, counts)
-            self.ids = np.concatenate([self.ids, ids])
-            pos = np.searchsorted(self.names, distinct)
-        first, count = self.first[pos][back], self.count[pos][back]
-        upto = np.concatenate([[0], np.cumsum(count)])
-        take = np.repeat(first - upto[:-1], count) + np.arange(upto[-1])
-        return self.ids[take], upto[sp.offs]
+        raw = data.tobytes()
+        ids, upto = self.memo.lay_out(names, lambda at: self.encode_new([raw[sp.starts[w]:sp.ends[w]] for w in at]))
+        return ids, upto[sp.offs]
 
 
 def encoder(path: str) -> PieceEncoder:
