@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from poolpick.llm import mixing, quality_classifier, quality_rules, sentencepiece_codec, token_output, topk_search
+from poolpick.llm import (license_scan, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_output,
+                          topk_search)
 from poolpick.llm.common import fresh_path, table
 
 
@@ -22,6 +23,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_license_scan(spark, sf_dir):
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op2_sentencepiece(spark, sf_dir):
     return sentencepiece_codec.encode_and_check(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
@@ -55,6 +61,8 @@ def op10_topk_search(spark, sf_dir):
     return topk_search.top_k(rows.where("vec_id % 50 = 0"), rows)
 
 
+ORACLES["op1_license_scan"] = license_scan.oracle()
+
 ORACLES["op10_topk_search"] = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
