@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import (license_scan, mixing, quality_classifier, quality_rules, sentencepiece_codec, token_output,
+from poolpick.llm import (license_scan, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
                           topk_search)
 from poolpick.llm.common import fresh_path, table
 
@@ -55,6 +55,11 @@ def op7_token_output(spark, sf_dir):
     return token_output.document_digests(token_output.read_tokens(spark, path))
 
 
+@query
+def op8_secret_scan(spark, sf_dir):
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @query
 def op10_topk_search(spark, sf_dir):
     rows = topk_search.quantised(table(spark, sf_dir, "embeddings"))
