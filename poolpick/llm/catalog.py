@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import (license_scan, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
+from poolpick.llm import (license_scan, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
                           topk_search)
 from poolpick.llm.common import fresh_path, table
 
@@ -60,6 +60,12 @@ def op8_secret_scan(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return out.selectExpr("doc_id", "__lines as n_lines", "__removed as n_removed", "text")
+
+
 @query
 def op10_topk_search(spark, sf_dir):
     rows = topk_search.quantised(table(spark, sf_dir, "embeddings"))
