@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import (license_scan, line_dedup, mixing, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
+from poolpick.llm import (license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
                           topk_search)
 from poolpick.llm.common import fresh_path, table
 
@@ -43,6 +43,11 @@ def op4_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_near_dedup(spark, sf_dir):
+    return near_dedup.link(table(spark, sf_dir, "documents"), k=2)
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
