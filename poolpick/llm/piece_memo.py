@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-CACHE_PIECES = 1_500_000  # emptied beyond: a worker's memory stays bounded
+CACHE_PIECES = 500_000  # emptied beyond: a worker's memory stays bounded
 
 
 class PieceMemo:

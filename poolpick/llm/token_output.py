@@ -35,6 +35,7 @@ from poolpick.llm import bytekit as B
 from poolpick.llm.piece_memo import PieceMemo
 
 END_ID = 0
+CALL_TEXTS = 64  # texts in one call of the library, whose results are large objects
 OUT = "doc_id {kind}, first long, ids array<int>"
 _state: dict = {}
 
@@ -145,15 +146,16 @@ class PieceEncoder:
             texts.append(spans[i].decode("utf-8", "replace"))
         counts = np.zeros(len(spans), np.int64)
         found: list = [None] * len(spans)
-        for group, enc in zip(groups, self.lib.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(enc.ids, np.int32)
-            if len(group) == 1:
-                found[group[0]], counts[group[0]] = ids, len(ids)
-                continue
-            upto = np.cumsum(self.width[ids])
-            cuts = np.searchsorted(upto, np.cumsum([len(spans[i]) for i in group])) + 1
-            for i, part in zip(group, np.split(ids, cuts[:-1])):
-                found[i], counts[i] = part, len(part)
+        for lo in range(0, len(texts), CALL_TEXTS):
+            some = groups[lo:lo + CALL_TEXTS]
+            for group, enc in zip(some, self.lib.encode_batch_fast(texts[lo:lo + CALL_TEXTS], add_special_tokens=False)):
+                ids = np.array(enc.ids, np.int32)
+                if len(group) == 1:
+                    found[group[0]], counts[group[0]] = ids, len(ids)
+                    continue
+                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(spans[i]) for i in group])) + 1
+                for i, part in zip(group, np.split(ids, cuts[:-1])):
+                    found[i], counts[i] = part, len(part)
         return (np.concatenate(found) if found else np.zeros(0, np.int32)), counts
 
     def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
