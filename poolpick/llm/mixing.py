@@ -98,8 +98,17 @@ def flight(p: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def reserve(size: np.ndarray, k: int = RESERVE) -> np.ndarray:
-    """Places of documents kept for the landing, evenly spaced over sizes (sorted descending)."""
-    return np.unique(np.linspace(0, len(size) - 1, min(k, len(size))).astype(int))
+    """Places of documents kept for the landing (sizes sorted descending).
+
+    Half are spaced evenly over the words, so that large documents can offset each
+    other, and half over the documents, for the small change.
+    """
+    if len(size) <= k:
+        return np.arange(len(size))
+    share = np.cumsum(size) / max(size.sum(), 1)
+    by_words = np.searchsorted(share, (np.arange(k // 2) + 0.5) / (k // 2))
+    by_place = np.linspace(0, len(size) - 1, k - k // 2).astype(int)
+    return np.unique(np.minimum(np.concatenate([by_words, by_place]), len(size) - 1))
 
 
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
