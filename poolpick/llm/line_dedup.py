@@ -53,6 +53,7 @@ def _repeated(rows: DataFrame) -> DataFrame:
 
 def doubling(lines: DataFrame) -> list[DataFrame]:
     """Repeated windows of 1, 2, 4, ... lines, as (position, name, words)."""
+    lines = write_out(lines, "lines")  # texts are cut and hashed once
     level = write_out(_repeated(lines).dropDuplicates(POS), "lines_1")  # equal rows are one document
     levels = []
     while has(level):
