@@ -118,7 +118,8 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         return docs.withColumns({"__lines": F.size(lines).cast("long"), "__removed": F.lit(0).cast("long")})
     cuts = write_out(deletions(runs), "line_cuts").select(F.col("doc_id").alias("__id"), F.col("dk").alias("__dk"), F.col("cuts").alias("__cuts"))
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    keyed = keyed.join(cuts, (F.col("__key") == F.col("__dk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    # merge at every size: the cuts grow with the corpus, and texts are dealt once
+    keyed = keyed.join(cuts.hint("merge"), (F.col("__key") == F.col("__dk")) & F.col("doc_id").eqNullSafe(F.col("__id")), "left")
     kept = F.filter(lines, lambda _, i: ~F.exists("__cuts", lambda c: (i >= c["s"]) & (i < c["e"])))
     left = F.when(F.col("__cuts").isNull(), lines).otherwise(kept)
     return (keyed.withColumn("__lines", F.size(lines).cast("long")).withColumn("__left", left)
