@@ -26,11 +26,10 @@ _TABLES: dict = {}
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One read of a (read-only) driver table per application; DataFrames are immutable,
     so every view shares the same scan definition instead of re-listing the files."""
-    from poolpick.session import spread
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
-        _TABLES[key] = spread(spark.read.parquet(path), key=path)
+        _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
 

@@ -1,7 +1,7 @@
 """Column builders for log-softmax, margins and cross entropy on logit arrays.
 
 All builders are JVM-side higher-order functions (``transform``,
-``aggregate``, ``sort_array``), so they stay inside whole-stage codegen.
+``aggregate``, ``sort_array``), so no row leaves the JVM.
 """
 
 from __future__ import annotations
@@ -20,17 +20,21 @@ def array_sum(z) -> Column:
     return F.aggregate(_col(z), F.lit(0.0), lambda acc, x: acc + x)
 
 
+def _bind(value, use) -> Column:
+    """``use(x)`` with ``value`` evaluated once: Spark re-evaluates an expression at each mention
+    (inside a lambda: for each element), a lambda variable not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def logsumexp(z) -> Column:
-    """log(sum(exp(z))), shifted by the maximum for stability."""
+    """log(sum(exp(z))), shifted by the maximum for stability; linear in the number of classes."""
     z = _col(z)
-    m = F.array_max(z)
-    return m + F.log(array_sum(F.transform(z, lambda x: F.exp(x - m))))
+    return _bind(F.array_max(z), lambda m: m + F.log(F.aggregate(z, F.lit(0.0), lambda acc, x: acc + F.exp(x - m))))
 
 
 def log_softmax(z) -> Column:
     z = _col(z)
-    lse = logsumexp(z)
-    return F.transform(z, lambda x: x - lse)
+    return _bind(logsumexp(z), lambda lse: F.transform(z, lambda x: x - lse))
 
 
 def top2_margin(z) -> Column:

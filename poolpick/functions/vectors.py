@@ -1,45 +1,17 @@
-"""Vector arithmetic: Column builders for short vectors and numpy block kernels.
+"""Vector arithmetic: numpy block kernels.
 
-The block kernels run inside ``mapInPandas`` tasks against a broadcast
-target matrix; they never materialise the whole pool x target matrix, only
-one pool block x target chunk at a time.
+The block kernels run inside one pool block x target block cell at a
+time; the whole pool x target matrix never exists.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 # pool rows x target rows handled per numpy block (bounds task memory)
 BLOCK_CELLS = 1 << 22
 
 
-def l2_distance(a, b) -> Column:
-    """sqrt(sum((a-b)^2)) as a higher-order function (any dimension)."""
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    sq = F.zip_with(a, b, lambda x, y: (x - y) * (x - y))
-    return F.sqrt(F.aggregate(sq, F.lit(0.0), lambda acc, x: acc + x))
-
-
-def dot(a, b) -> Column:
-    a = F.col(a) if isinstance(a, str) else a
-    b = F.col(b) if isinstance(b, str) else b
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def cosine_similarity(a, b) -> Column:
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
-
-
-def to_matrix(series) -> np.ndarray:
-    """Stack an Arrow/pandas column of equal-length arrays into a float64 matrix."""
-    if len(series) == 0:
-        return np.zeros((0, 0), dtype=np.float64)
-    return np.stack([np.asarray(v, dtype=np.float64) for v in series])
-
-
 def arrow_matrix(col) -> np.ndarray:
     """A pyarrow list<double> column of equal-length vectors as a float64 matrix,
     straight from the values buffer (no per-row Python)."""
@@ -61,24 +33,28 @@ def block_rows(n_targets: int) -> int:
     return max(1, BLOCK_CELLS // max(1, n_targets))
 
 
-def sq_dists(p: np.ndarray, t: np.ndarray, t_sq: np.ndarray | None = None) -> np.ndarray:
-    """Squared L2 distances [len(p), len(t)] via one matrix product (clamped at 0)."""
-    if t_sq is None:
-        t_sq = np.einsum("ij,ij->i", t, t)
-    p_sq = np.einsum("ij,ij->i", p, p)
+def sq_dists(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared L2 distances [len(p), len(t)] via one matrix product, and a bound of their error.
+
+    Both sides are shifted by the targets' mean first, so vectors far from the
+    origin lose no digits to cancellation.
+    """
+    mean = t.mean(axis=0)
+    p, t = p - mean, t - mean
+    p_sq, t_sq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", t, t)
     d2 = p_sq[:, None] + t_sq[None, :] - 2.0 * (p @ t.T)
     np.maximum(d2, 0.0, out=d2)
-    return d2
+    return d2, 1e-13 * max(1, p.shape[1]) * (p_sq.max(initial=0.0) + t_sq.max(initial=0.0))
 
 
-def exact_dists(p: np.ndarray, t: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
-    """sqrt(sum((p[r]-t[c])^2)) for paired index arrays, by direct differences."""
-    diff = p[rows] - t[cols]
+def pair_dists(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """L2 distance of row i of ``p`` to row i of ``t`` by direct differences: the same for a pair in any block."""
+    diff = p - t
     return np.sqrt(np.einsum("ij,ij->i", diff, diff))
 
 
-def cosine_sims(p: np.ndarray, t: np.ndarray, t_norm: np.ndarray | None = None) -> np.ndarray:
-    if t_norm is None:
-        t_norm = np.sqrt(np.einsum("ij,ij->i", t, t))
-    p_norm = np.sqrt(np.einsum("ij,ij->i", p, p))
-    return (p @ t.T) / (p_norm[:, None] * t_norm[None, :])
+MIN_NORM = 1e-8  # norms below count as this, so a zero vector has similarity 0
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), MIN_NORM)[:, None]

@@ -26,7 +26,7 @@ def token_spans(df: DataFrame, tag_col: str, id_col: str = "row_id", pos_col: st
     """
     tag = F.col(tag_col)
     has_prefix = tag.rlike("^[BI]-")
-    typ = F.when(tag == "O", F.lit(None)).when(has_prefix, F.substring(tag, 3, 1 << 20)).otherwise(tag)
+    typ = F.when(tag == "O", F.lit(None)).when(has_prefix, F.substr(tag, F.lit(3))).otherwise(tag)
     w = Window.partitionBy(id_col).orderBy(pos_col)
     x = df.withColumn("_t", typ).withColumn("_pt", F.lag("_t").over(w))
     opens = F.col("_t").isNotNull() & (tag.startswith("B-") | F.col("_pt").isNull() | (F.col("_pt") != F.col("_t")))

@@ -1,285 +1,236 @@
-"""Distance operators between a (large) pool and a (smaller) target set.
+"""Distance operators between a pool and a target set.
 
 Plan shape
 ----------
-* The target side is collected in chunks whose byte size is checked
-  against ``max_broadcast_bytes`` and shipped as broadcast variables; a
-  target larger than the bound becomes several chunks (one pass of the
-  pool per chunk), never one oversized broadcast.
-* The pool side is never shuffled before the distance step: each
-  ``mapInArrow`` task scores its own pool rows against the chunk with a
-  BLAS matrix product and keeps only a partial result -- the running
-  top-k per target (kNN), or per-row / per-target sums (mean distance).
-  The pool x target matrix is never emitted.
-* One shuffle on ``tgt_id`` merges partial top-k lists
-  (``row_number`` + filter, planned as a ``WindowGroupLimit``); mean
-  distances need no shuffle at all when the target fits one chunk.
+* Pool and target rows are dealt by id hash into blocks of bounded bytes, and
+  every (pool block, target block) pair is one cell of a grid: a cogroup, so
+  neither side passes through the driver or a broadcast, and a target of
+  any size is one pass.
+* A cell computes its distances by matrix products on sub-blocks and keeps a
+  partial result only: the k nearest per target, or sums per row. The
+  pool x target matrix is never emitted.
+* With several pool blocks, the first block alone gives every target an
+  upper bound of its k-th distance; the cells then return only rows
+  within the bound, so the merge stays near (targets x k).
+* Distances that decide a rank are measured again by direct differences of the
+  pair, so results do not depend on the blocks; all rows that may tie with the
+  k-th are measured, and ties go to the smaller id.
+
+Rows whose vector is NULL, or holds a NULL, NaN or infinite component, take no part as
+neighbours or targets; per-source means are NULL for such pool rows.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolpick.functions.vectors import arrow_matrix, block_rows, cosine_sims, sq_dists, to_matrix
-
-DEFAULT_MAX_BROADCAST_BYTES = 256 << 20
-_PAIR_BLOCK = 1 << 20
-
-
-@dataclass
-class TargetChunk:
-    bc: object  # Broadcast[(ids int64[m], mat float64[m, d])]
-    n: int
-
-
-def broadcast_targets(target: DataFrame, id_col: str = "row_id", vec_col: str = "emb",
-                      max_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> list[TargetChunk]:
-    """Collect the target vectors in size-checked chunks and broadcast each."""
-    spark = target.sparkSession
-    st = target.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec_col)).alias("dmax"),
-                    F.min(F.size(vec_col)).alias("dmin")).first()
-    n, dmax, dmin = int(st["n"]), st["dmax"], st["dmin"]
-    if n == 0:
-        return []
-    if dmax != dmin:
-        raise ValueError(f"vectors in {vec_col} differ in length ({dmin}..{dmax})")
-    row_bytes = 8 * (dmax + 1) + 48
-    n_chunks = 1 if n * row_bytes <= max_bytes else math.ceil(1.25 * n * row_bytes / max_bytes)
-    chunks = []
-    for c in range(n_chunks):
-        part = target if n_chunks == 1 else target.where(F.pmod(F.xxhash64(id_col), F.lit(n_chunks)) == c)
-        pdf = part.select(id_col, vec_col).toPandas()
-        if len(pdf) * row_bytes > 2 * max_bytes:
-            raise RuntimeError("target chunk exceeds the broadcast bound; lower skew in target ids")
-        ids = pdf[id_col].to_numpy(dtype=np.int64)
-        mat = to_matrix(pdf[vec_col])
-        chunks.append(TargetChunk(spark.sparkContext.broadcast((ids, mat)), len(ids)))
-    return chunks
-
-
-def _pairs_exact(p, t, rows, cols):
-    out = np.empty(len(rows), dtype=np.float64)
-    for s in range(0, len(rows), _PAIR_BLOCK):
-        diff = p[rows[s:s + _PAIR_BLOCK]] - t[cols[s:s + _PAIR_BLOCK]]
-        out[s:s + _PAIR_BLOCK] = np.sqrt(np.einsum("ij,ij->i", diff, diff))
-    return out
-
-
-def _knn_task(bc, k: int, src_col: str, vec_col: str, metric: str, bounds_bc=None):
-    """Per-task running top-k of pool rows for every target of one chunk.
-
-    With ``bounds_bc`` (target id -> an upper bound of its k-th distance),
-    only rows within the bound are kept, so a task emits fewer than k rows
-    per target when other tasks hold the true neighbours.
-    """
-
-    def run(batches):
-        t_ids, t = bc.value
-        m = len(t_ids)
-        bound = None
-        if bounds_bc is not None:
-            bmap = bounds_bc.value
-            bound = np.array([bmap.get(int(i), np.inf) for i in t_ids])
-        t_sq = np.einsum("ij,ij->i", t, t)
-        t_norm = np.sqrt(t_sq)
-        # grown lazily: a task holding fewer than k rows never allocates m x k
-        best_d = np.empty((m, 0))
-        best_i = np.empty((m, 0), dtype=np.int64)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids = rb.column(src_col).to_numpy().astype(np.int64, copy=False)
-            p = arrow_matrix(rb.column(vec_col))
-            step = block_rows(m)
-            for s in range(0, len(ids), step):
-                pb, ib = p[s:s + step], ids[s:s + step]
-                if metric == "cosine":
-                    score = -cosine_sims(pb, t, t_norm)      # smaller = nearer
-                else:
-                    score = sq_dists(pb, t, t_sq)
-                c = min(len(ib), 2 * k + 8)
-                if c < len(ib):
-                    cand = np.argpartition(score, c - 1, axis=0)[:c]
-                else:
-                    cand = np.broadcast_to(np.arange(len(ib))[:, None], (len(ib), m))
-                cols = np.broadcast_to(np.arange(m)[None, :], cand.shape)
-                if metric == "cosine":
-                    d = np.take_along_axis(score, cand, 0)
-                else:  # re-measure the short list by direct differences
-                    d = _pairs_exact(pb, t, cand.ravel(), cols.ravel()).reshape(cand.shape)
-                all_d = np.concatenate([best_d, d.T], axis=1)
-                all_i = np.concatenate([best_i, ib[cand].T], axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d = np.take_along_axis(all_d, order, 1)
-                best_i = np.take_along_axis(all_i, order, 1)
-        keep = np.isfinite(best_d)
-        if bound is not None:
-            keep &= best_d <= bound[:, None]
-        if keep.any():
-            tg = np.broadcast_to(t_ids[:, None], best_d.shape)[keep]
-            dist = best_d[keep] if metric != "cosine" else -best_d[keep]
-            yield pa.RecordBatch.from_pydict({"tgt_id": tg, "src_id": best_i[keep], "dist": dist})
+from poolpick.functions.vectors import BLOCK_CELLS, arrow_matrix, block_rows, pair_dists, sq_dists, unit_rows
+from poolpick.session import materialise
+
+BLOCK_BYTES = 32 << 20  # vectors of one block
+TOP_CELLS = 1 << 22     # targets x k of one cell
+
+
+def _finite(vec_col: str):
+    return F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def _side(df: DataFrame, id_col: str, vec_col: str, name: str):
+    """(rows id/v written once, row count, vector length) of the usable rows."""
+    x = df.where(_finite(vec_col)).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
+    x = materialise(x, name)
+    n, lo, hi = x.agg(F.count(F.lit(1)), F.min(F.size("v")), F.max(F.size("v"))).first()
+    if n and lo != hi:
+        raise ValueError(f"vectors in {vec_col} differ in length ({lo}..{hi})")
+    return x, n, hi or 0
+
+
+def _blocks(n: int, dim: int, block_bytes: int, k: int = 1) -> int:
+    rows = max(1, min(block_bytes // (8 * max(1, dim)), TOP_CELLS // max(1, k)))
+    return max(1, math.ceil(n / rows))
+
+
+def _grid(pool: DataFrame, target: DataFrame, n_pb: int, n_tb: int, run, schema: str, pb_below: int | None = None) -> DataFrame:
+    """``run(pool table, target table)`` over every cell; ``pb_below`` keeps the first pool blocks only."""
+    use = n_pb if pb_below is None else pb_below
+    p = pool.withColumn("pb", F.pmod(F.xxhash64("id"), F.lit(n_pb)).cast("int"))
+    if use < n_pb:
+        p = p.where(F.col("pb") < use)
+    p = p.withColumn("tb", F.explode(F.sequence(F.lit(0), F.lit(n_tb - 1))))
+    t = target.withColumn("tb", F.pmod(F.xxhash64("id", F.lit("target")), F.lit(n_tb)).cast("int"))
+    t = t.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(use - 1))))
+    return p.groupBy("pb", "tb").cogroup(t.groupBy("pb", "tb")).applyInArrow(run, schema)
+
+
+def _ids(t: pa.Table, name: str = "id") -> np.ndarray:
+    return np.asarray(t.column(name).combine_chunks())
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    col = t.column("v").combine_chunks()
+    return arrow_matrix(col.chunk(0) if isinstance(col, pa.ChunkedArray) else col)
+
+
+def _nearest(k: int, metric: str):
+    """Cell: the k nearest pool rows of every target, none beyond the target's bound."""
+    out = pa.schema([("tgt_id", pa.int64()), ("src_id", pa.int64()), ("dist", pa.float64())])
+
+    def run(pool: pa.Table, target: pa.Table) -> pa.Table:
+        if not pool.num_rows or not target.num_rows:
+            return out.empty_table()
+        p_id, t_id, p, t = _ids(pool), _ids(target), _matrix(pool), _matrix(target)
+        bound = _ids(target, "bound") if "bound" in target.column_names else np.full(len(t_id), np.inf)
+        if metric == "cosine":  # of unit vectors, the nearest has the largest product
+            p, t = unit_rows(p), unit_rows(t)
+        found = []
+        step = block_rows(len(p))
+        for lo in range(0, len(t), step):
+            tb, ids, lim = t[lo:lo + step], t_id[lo:lo + step], bound[lo:lo + step]
+            if metric == "cosine":
+                score, err = -(p @ tb.T), 1e-14 * max(1, p.shape[1])
+            else:
+                score, err = sq_dists(p, tb)
+                lim = np.square(lim)
+            kth = np.partition(score, k - 1, axis=0)[k - 1] if k < len(p) else np.full(len(tb), np.inf)
+            # everything that may be among the k nearest, all ties with the k-th included
+            rows, cols = np.nonzero(score <= np.minimum(kth, lim * (1 + 1e-12) if metric != "cosine" else lim)[None, :] + 2 * err)
+            d = -np.einsum("ij,ij->i", p[rows], tb[cols]) if metric == "cosine" else np.concatenate(
+                [pair_dists(p[rows[s:s + BLOCK_CELLS // 16]], tb[cols[s:s + BLOCK_CELLS // 16]]) for s in range(0, len(rows), BLOCK_CELLS // 16)] or [np.empty(0)])
+            order = np.lexsort((p_id[rows], d, cols))
+            rows, cols, d = rows[order], cols[order], d[order]
+            place = np.arange(len(cols)) - np.searchsorted(cols, cols)
+            keep = place < k
+            found.append((ids[cols[keep]], p_id[rows[keep]], d[keep]))
+        tgt, src, dist = (np.concatenate(x) for x in zip(*found))
+        return pa.table([pa.array(tgt, pa.int64()), pa.array(src, pa.int64()), pa.array(-dist if metric == "cosine" else dist, pa.float64())], schema=out)
 
     return run
 
 
-PRUNE_MIN_EDGES = 20_000_000   # estimated partial-top-k rows above which sample pruning pays off
-PRUNE_SAMPLE_ROWS = 200_000     # pool rows sampled to bound each target's k-th distance
-
-
-def _kth_bounds(pool, target, k, id_col, vec_col, metric, max_bytes, n_pool, seed=17):
-    """Upper bound of each target's k-th neighbour distance from a pool sample.
-
-    The sample is a subset of the pool, so its k-th nearest row is never
-    nearer than the pool's: the bound is exact-safe. Targets whose sample
-    has fewer than k rows get no bound (infinity).
-    """
-    frac = min(1.0, max(PRUNE_SAMPLE_ROWS, 50 * k) / max(1, n_pool))
-    sample = pool.sample(False, frac, seed)
-    e = knn_edges(sample, target, k, id_col, vec_col, metric, max_bytes, prune=False)
-    kth = e.where(F.col("rk") == k).select("tgt_id", "dist")
-    if metric == "cosine":  # bounds are kept as "smaller is nearer" scores
-        kth = kth.select("tgt_id", (-F.col("dist")).alias("dist"))
-    # one value per target: bounded by the target size, which is already broadcast
-    return {int(r["tgt_id"]): float(r["dist"]) for r in kth.collect()}
+def _ranked(edges: DataFrame, k: int, metric: str) -> DataFrame:
+    order = F.col("dist").desc() if metric == "cosine" else F.col("dist").asc()
+    w = Window.partitionBy("tgt_id").orderBy(order, F.col("src_id"))
+    return edges.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
 
 
 def knn_edges(pool: DataFrame, target: DataFrame, k: int, id_col: str = "row_id", vec_col: str = "emb",
-              metric: str = "l2", max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES,
-              prune: bool | str = "auto") -> DataFrame:
+              metric: str = "l2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """k nearest pool rows of every target row: (tgt_id, src_id, dist, rk).
 
     Ties are broken by ``src_id``; ``rk`` is 1-based. For ``metric='cosine'``
     ``dist`` holds the similarity and nearer means larger.
-
-    Each pool task emits at most k rows per target. When (pool tasks x
-    targets x k) is large, ``prune`` first bounds every target's k-th
-    distance on a pool sample; tasks then emit only rows within the bound,
-    which keeps the shuffle near (targets x k / sample fraction) however
-    many tasks scan the pool. The result is exact either way.
     """
-    schema = "tgt_id long, src_id long, dist double"
-    chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
-    src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    if not chunks:
-        return pool.sparkSession.createDataFrame([], schema + ", rk long")
-    bounds_bc = None
-    if prune:
-        n_tasks = src.rdd.getNumPartitions()
-        m = sum(ch.n for ch in chunks)
-        if prune is True or n_tasks * m * k > PRUNE_MIN_EDGES:
-            n_pool = src.count()
-            if n_pool > PRUNE_SAMPLE_ROWS or prune is True:
-                bounds = _kth_bounds(src, target, k, id_col, vec_col, metric, max_broadcast_bytes, n_pool)
-                bounds_bc = pool.sparkSession.sparkContext.broadcast(bounds)
-    parts = [src.mapInArrow(_knn_task(ch.bc, k, id_col, vec_col, metric, bounds_bc), schema) for ch in chunks]
-    edges = parts[0]
-    for p in parts[1:]:
-        edges = edges.unionByName(p)
-    order = F.col("dist").desc() if metric == "cosine" else F.col("dist").asc()
-    w = Window.partitionBy("tgt_id").orderBy(order, F.col("src_id"))
-    return edges.withColumn("rk", F.row_number().over(w).cast("long")).where(F.col("rk") <= k)
+    p, n, dim = _side(pool, id_col, vec_col, "knn_pool")
+    t, m, t_dim = _side(target, id_col, vec_col, "knn_target")
+    return _edges(p, n, dim, t, m, t_dim, k, metric, block_bytes)
 
 
-def _row_dist_task(bc, src_col: str, vec_col: str, metric: str):
-    """Per pool row: sum/min/max of distances to every target of one chunk."""
-
-    def run(batches):
-        t_ids, t = bc.value
-        m = len(t_ids)
-        t_sq = np.einsum("ij,ij->i", t, t)
-        t_norm = np.sqrt(t_sq)
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            ids = rb.column(src_col).to_numpy().astype(np.int64, copy=False)
-            p = arrow_matrix(rb.column(vec_col))
-            n = len(ids)
-            sums, mins, maxs = np.empty(n), np.empty(n), np.empty(n)
-            step = block_rows(m)
-            for s in range(0, n, step):
-                if metric == "cosine":
-                    d = cosine_sims(p[s:s + step], t, t_norm)
-                else:
-                    d = np.sqrt(sq_dists(p[s:s + step], t, t_sq))
-                sums[s:s + step] = d.sum(axis=1)
-                mins[s:s + step] = d.min(axis=1)
-                maxs[s:s + step] = d.max(axis=1)
-            yield pa.RecordBatch.from_pydict({"src_id": ids, "dist_sum": sums, "dist_min": mins,
-                                              "dist_max": maxs, "n_tgt": np.full(n, m, dtype=np.int64)})
+def _edges(p, n, dim, t, m, t_dim, k, metric, block_bytes) -> DataFrame:
+    schema = "tgt_id long, src_id long, dist double"
+    if not n or not m:
+        return p.sparkSession.createDataFrame([], schema + ", rk long")
+    if dim != t_dim:
+        raise ValueError(f"pool and target vectors differ in length ({dim}, {t_dim})")
+    n_pb, n_tb = _blocks(n, dim, block_bytes), _blocks(m, dim, block_bytes, k)
+    run = _nearest(k, metric)
+    if n_pb > 1:
+        # a subset's k-th neighbour is never nearer than the pool's, so the bound is safe
+        first = _ranked(_grid(p, t, n_pb, n_tb, run, schema, pb_below=1), k, metric).where(F.col("rk") == k)
+        worst = (-F.col("dist") + F.lit(1e-12)) if metric == "cosine" else F.col("dist")
+        t = t.join(first.select(F.col("tgt_id").alias("id"), worst.alias("bound")).distinct(), "id", "left") \
+            .withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+        t = materialise(t, "knn_bounds")
+    return _ranked(_grid(p, t, n_pb, n_tb, run, schema), k, metric)
+
+
+def _row_sums(metric: str):
+    """Cell: sum, min and max over the block's targets, of every pool row."""
+    out = pa.schema([("src_id", pa.int64()), ("dist_sum", pa.float64()), ("dist_min", pa.float64()), ("dist_max", pa.float64()), ("n_tgt", pa.int64())])
+
+    def run(pool: pa.Table, target: pa.Table) -> pa.Table:
+        if not pool.num_rows or not target.num_rows:
+            return out.empty_table()
+        ids, p, t = _ids(pool), _matrix(pool), _matrix(target)
+        if metric == "cosine":
+            p, t = unit_rows(p), unit_rows(t)
+        sums, lows, tops = [], [], []
+        step = block_rows(len(t))
+        for s in range(0, len(ids), step):
+            d = p[s:s + step] @ t.T if metric == "cosine" else np.sqrt(sq_dists(p[s:s + step], t)[0])
+            sums.append(d.sum(axis=1))
+            lows.append(d.min(axis=1))
+            tops.append(d.max(axis=1))
+        return pa.table([pa.array(ids), pa.array(np.concatenate(sums)), pa.array(np.concatenate(lows)), pa.array(np.concatenate(tops)),
+                         pa.array(np.full(len(ids), len(t), np.int64))], schema=out)
 
     return run
 
 
 def mean_distance_per_source(pool: DataFrame, target: DataFrame, id_col: str = "row_id", vec_col: str = "emb",
-                             metric: str = "l2",
-                             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
-    """(src_id, mean_dist, min_dist, max_dist, n_tgt) over all target rows."""
-    schema = "src_id long, dist_sum double, dist_min double, dist_max double, n_tgt long"
-    chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
-    src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = [src.mapInArrow(_row_dist_task(ch.bc, id_col, vec_col, metric), schema) for ch in chunks]
-    if not parts:
-        return pool.sparkSession.createDataFrame([], "src_id long, mean_dist double, min_dist double, "
-                                                     "max_dist double, n_tgt long")
-    if len(parts) == 1:  # no shuffle: each task already holds the full row
-        p = parts[0]
-        return p.select("src_id", (F.col("dist_sum") / F.col("n_tgt")).alias("mean_dist"),
-                        F.col("dist_min").alias("min_dist"), F.col("dist_max").alias("max_dist"), "n_tgt")
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("src_id").agg(
-        (F.sum("dist_sum") / F.sum("n_tgt")).alias("mean_dist"), F.min("dist_min").alias("min_dist"),
-        F.max("dist_max").alias("max_dist"), F.sum("n_tgt").alias("n_tgt"))
-
-
-def _tgt_dist_task(bc, src_col: str, vec_col: str):
-    """Per target: partial sum of distances over this task's pool rows."""
-
-    def run(batches):
-        t_ids, t = bc.value
-        m = len(t_ids)
-        t_sq = np.einsum("ij,ij->i", t, t)
-        sums = np.zeros(m)
-        n = 0
-        for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            p = arrow_matrix(rb.column(vec_col))
-            step = block_rows(m)
-            for s in range(0, len(p), step):
-                sums += np.sqrt(sq_dists(p[s:s + step], t, t_sq)).sum(axis=0)
-            n += len(p)
-        if n:
-            yield pa.RecordBatch.from_pydict({"tgt_id": t_ids, "dist_sum": sums,
-                                              "n_src": np.full(m, n, dtype=np.int64)})
-
-    return run
+                             metric: str = "l2", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(src_id, mean_dist, min_dist, max_dist, n_tgt) over all target rows; NULL for a pool row without a usable vector."""
+    p, n, dim = _side(pool, id_col, vec_col, "dist_pool")
+    t, m, t_dim = _side(target, id_col, vec_col, "dist_target")
+    if not m:
+        return pool.sparkSession.createDataFrame([], "src_id long, mean_dist double, min_dist double, max_dist double, n_tgt long")
+    if n and dim != t_dim:
+        raise ValueError(f"pool and target vectors differ in length ({dim}, {t_dim})")
+    cells = _grid(p, t, _blocks(n, dim, block_bytes), _blocks(m, dim, block_bytes), _row_sums(metric),
+                  "src_id long, dist_sum double, dist_min double, dist_max double, n_tgt long")
+    sums = cells.groupBy("src_id").agg((F.sum("dist_sum") / F.sum("n_tgt")).alias("mean_dist"), F.min("dist_min").alias("min_dist"),
+                                       F.max("dist_max").alias("max_dist"), F.sum("n_tgt").alias("n_tgt"))
+    bad = pool.where(~F.coalesce(_finite(vec_col), F.lit(False))).select(F.col(id_col).cast("long").alias("src_id"))
+    none = F.lit(None).cast("double")
+    return sums.unionByName(bad.select("src_id", none.alias("mean_dist"), none.alias("min_dist"), none.alias("max_dist"),
+                                       F.lit(0).cast("long").alias("n_tgt")))
+
+
+def _target_sums(pool: pa.Table, target: pa.Table) -> pa.Table:
+    """Cell: sum of distances over the block's pool rows, of every target."""
+    out = pa.schema([("tgt_id", pa.int64()), ("dist_sum", pa.float64()), ("n_src", pa.int64())])
+    if not pool.num_rows or not target.num_rows:
+        return out.empty_table()
+    p, t = _matrix(pool), _matrix(target)
+    sums = np.zeros(len(t))
+    step = block_rows(len(t))
+    for s in range(0, len(p), step):
+        sums += np.sqrt(sq_dists(p[s:s + step], t)[0]).sum(axis=0)
+    return pa.table([pa.array(_ids(target)), pa.array(sums), pa.array(np.full(len(t), len(p), np.int64))], schema=out)
 
 
 def mean_distance_per_target(pool: DataFrame, target: DataFrame, id_col: str = "row_id", vec_col: str = "emb",
-                             max_broadcast_bytes: int = DEFAULT_MAX_BROADCAST_BYTES) -> DataFrame:
+                             block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(tgt_id, mean_dist, n_src): mean L2 from each target row to all pool rows.
 
-    Tasks emit one partial sum per target, so the shuffle carries
-    (pool partitions x targets) rows, not pool x target pairs.
+    Cells return one partial sum per target, so the merge carries
+    (pool blocks x targets) rows, not pool x target pairs.
     """
-    schema = "tgt_id long, dist_sum double, n_src long"
-    chunks = broadcast_targets(target, id_col, vec_col, max_broadcast_bytes)
-    src = pool.select(F.col(id_col).cast("long").alias(id_col), vec_col)
-    parts = [src.mapInArrow(_tgt_dist_task(ch.bc, id_col, vec_col), schema) for ch in chunks]
-    u = parts[0]
-    for p in parts[1:]:
-        u = u.unionByName(p)
-    return u.groupBy("tgt_id").agg((F.sum("dist_sum") / F.sum("n_src")).alias("mean_dist"),
-                                   F.sum("n_src").alias("n_src"))
+    p, n, dim = _side(pool, id_col, vec_col, "dist_pool")
+    t, m, t_dim = _side(target, id_col, vec_col, "dist_target")
+    if not n or not m:
+        return pool.sparkSession.createDataFrame([], "tgt_id long, mean_dist double, n_src long")
+    if dim != t_dim:
+        raise ValueError(f"pool and target vectors differ in length ({dim}, {t_dim})")
+    cells = _grid(p, t, _blocks(n, dim, block_bytes), _blocks(m, dim, block_bytes), _target_sums, "tgt_id long, dist_sum double, n_src long")
+    return cells.groupBy("tgt_id").agg((F.sum("dist_sum") / F.sum("n_src")).alias("mean_dist"), F.sum("n_src").alias("n_src"))
+
+
+class Neighbours:
+    """Pool and target written once, for neighbour lists of several depths."""
+
+    def __init__(self, pool: DataFrame, target: DataFrame, id_col: str = "row_id", vec_col: str = "emb", metric: str = "l2",
+                 block_bytes: int = BLOCK_BYTES):
+        self.pool, self.n_pool, self.dim = _side(pool, id_col, vec_col, "knn_pool")
+        self.target, self.n_target, self.t_dim = _side(target, id_col, vec_col, "knn_target")
+        self.metric, self.block_bytes = metric, block_bytes
+
+    def edges(self, k: int) -> DataFrame:
+        return _edges(self.pool, self.n_pool, self.dim, self.target, self.n_target, self.t_dim, k, self.metric, self.block_bytes)
 
 
 def best_rank(edges: DataFrame) -> DataFrame:

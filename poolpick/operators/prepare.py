@@ -191,9 +191,10 @@ def validation_fallback(df: DataFrame, n: int, split_col="split", lang_col="lang
 
     Train is not reduced, so the two splits overlap (as in the reference).
     """
+    heads = first_n_per_language(df.where(F.col(split_col) == "train"), n, order_col, lang_col)
+    # the heads are N rows a language at most, so no hot language meets the join
     has_val = df.where(F.col(split_col) == "validation").select(lang_col).distinct()
-    train = df.where(F.col(split_col) == "train").join(has_val, lang_col, "left_anti")
-    extra = first_n_per_language(train, n, order_col, lang_col).withColumn(split_col, F.lit("validation"))
+    extra = heads.join(has_val, lang_col, "left_anti").withColumn(split_col, F.lit("validation"))
     return df.unionByName(extra)
 
 
@@ -281,7 +282,7 @@ def dedupe_key(c: Column) -> Column:
     """Shuffle key for exact-duplicate detection on long text: (sha-256, length).
 
     Hashing keeps the shuffle at 40 bytes per row however long the text;
-    non-string (e.g. array) keys are used as they are.
+    non-string (e.g. array) keys are compared whole. NULL is a value like any other.
     """
     return F.struct(F.sha2(c, 256).alias("h"), F.length(c).alias("n"))
 
@@ -293,7 +294,7 @@ def dedupe(df: DataFrame, col: str, order_col: str = ID) -> DataFrame:
     back is keyed on the unique (key, row_id) pair, so it cannot skew.
     """
     is_str = isinstance(df.schema[col].dataType, StringType)
-    key = dedupe_key(F.col(col)) if is_str else F.col(col)
+    key = dedupe_key(F.col(col)) if is_str else F.struct(F.col(col).alias("v"))  # a struct is never NULL, so NULL keys match
     keyed = df.withColumn("_k", key)
     firsts = keyed.groupBy("_k").agg(F.min(order_col).alias(order_col))
     return keyed.join(firsts, ["_k", order_col], "left_semi").drop("_k")

@@ -28,10 +28,11 @@ def best_feature_span(starts: Column, ends: Column, offsets: Column, n_best: int
     has = lambda p: F.element_at(offsets, p + 1).isNotNull()
     s = F.filter(top_positions(starts, n_best), lambda x: has(x["i"]))
     e = F.filter(top_positions(ends, n_best), lambda x: has(x["i"]))
-    pairs = F.flatten(F.transform(s, lambda a: F.transform(
-        F.filter(e, lambda b: (b["i"] >= a["i"]) & (b["i"] - a["i"] + 1 <= max_len)),
-        lambda b: F.struct((-(a["nv"] + b["nv"])).alias("score"), (-a["i"]).alias("ns"), (-b["i"]).alias("ne")))))
-    return F.array_max(pairs)
+    # both lists are bound once: mentioned inside the pair lambdas they would be sorted again for every start
+    pairs = F.transform(F.array(F.struct(s.alias("s"), e.alias("e"))), lambda both: F.flatten(F.transform(both["s"], lambda a: F.transform(
+        F.filter(both["e"], lambda b: (b["i"] >= a["i"]) & (b["i"] - a["i"] + 1 <= max_len)),
+        lambda b: F.struct((-(a["nv"] + b["nv"])).alias("score"), (-a["i"]).alias("ns"), (-b["i"]).alias("ne"))))))
+    return F.array_max(F.element_at(pairs, 1))
 
 
 def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_len: int = 30,

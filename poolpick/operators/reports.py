@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, MapType, StringType
 
 from poolpick.functions.scores import percent
+from poolpick.session import materialise
 
 RUN_KEYS = ["config", "strategy", "iteration", "seed"]
 
@@ -90,7 +91,7 @@ def parse_result_lines(lines: DataFrame, rounds: list[int] | None = None, col: s
         x = x.where(F.col("iteration").isin(rounds))
     keep = [c for c in x.columns if c not in ("_p", col, "iteration")]
     return x.select(*keep, "iteration", F.col("_p").getItem(1).alias("strategy"),
-                    F.posexplode(F.slice("_p", 3, 1 << 20)).alias("pos", "raw")) \
+                    F.posexplode(F.slice("_p", F.lit(3), F.greatest(F.size("_p") - 2, F.lit(0)))).alias("pos", "raw")) \
         .select(*keep, "iteration", "strategy", "pos", F.col("raw").cast("double").alias("value"))
 
 
@@ -199,24 +200,27 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, partitions: int
     """Running sum and count of ``value`` from the start of each ``key`` group up to each row.
 
     A hot key must not land in one task, so rows are range-partitioned on
-    (key, order): a key spans several partitions. Each partition computes
-    local running sums; per-(partition, key) totals give the offsets of
-    earlier partitions. That table has about one row per distinct key
-    (plus one per partition boundary), so it is joined back without a
-    forced broadcast: the planner broadcasts it only when it is small.
+    (key, order): a key spans several partitions. The partitioned rows are
+    written once with their partition number, so the local sums and
+    the offsets read the same partitions whatever else the frame holds.
+    Per-(partition, key) totals give the offsets of earlier partitions. That
+    table has about one row per distinct key (plus one per partition
+    boundary), so it is joined back without a forced broadcast: the planner
+    broadcasts it only when it is small. NULL keys are a group of their own.
+    Rows of a key with equal ``order`` are summed in an arbitrary order.
     """
     n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    x = df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id())
+    x = materialise(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()), "running_parts")
     w = Window.partitionBy("_pid", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    x = x.withColumn("_s", F.sum(value).over(w)).withColumn("_c", F.count(F.lit(1)).over(w))
+    local = x.withColumn("_s", F.sum(value).over(w)).withColumn("_c", F.count(F.lit(1)).over(w))
     tot = x.groupBy("_pid", key).agg(F.sum(value).alias("_ts"), F.count("*").alias("_tc"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", key, F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"),
+    off = tot.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"),
                      F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"))
-    y = x.join(off, ["_pid", key])
+    y = local.join(off, (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey")))
     return y.withColumn("running_sum", F.col("_s") + F.col("_os")) \
         .withColumn("running_count", F.col("_c") + F.col("_oc")) \
-        .drop("_pid", "_s", "_c", "_os", "_oc")
+        .drop("_pid", "_opid", "_okey", "_s", "_c", "_os", "_oc")
 
 
 def running_mean(df: DataFrame, key: str, order: str, value: str, partitions: int | None = None) -> DataFrame:

@@ -133,34 +133,40 @@ def _level_index(best, k0: int):
 
 
 def knn_best(pool: DataFrame, target: DataFrame, budgets: list[int], k0: int = 1,
-             max_neighbors: int | None = None, **kw):
-    """Best neighbour rank per pool row, ranked just deep enough for the largest budget.
-
-    The neighbour-list width is the cap when one is given, else unbounded:
-    the pool size is not needed, because once k reaches the number of pool
-    rows every level holds the same (complete) candidate set, so stopping
-    at "k > pool size" or at a later level selects the same rows.
+             max_neighbors: int | None = None, prev: DataFrame | None = None, **kw):
+    """(best neighbour rank per pool row, written once; levels; width), as deep as the largest budget needs.
+
+    Like the reference, k doubles until the candidates (with ``prev``) exceed
+    the budget. Levels that cannot (targets x k rows at most) are skipped, and
+    lists are no deeper than the level that ends the search. The
+    neighbour-list width is the cap when one is given, else unbounded: once k
+    reaches the pool, every level holds the same candidates.
     """
     width = max_neighbors if max_neighbors else float("inf")
     levels = knn_levels(k0, max(budgets), width)
-    depth = int(max(1, min(levels[-1], width)))
-    edges = nb.knn_edges(pool, target, depth, **kw)
-    return nb.best_rank(edges), levels, width
+    lists = nb.Neighbours(pool, target, **kw)
+    n_prev = prev.count() if prev is not None else 0
+    for k in levels:
+        if n_prev + lists.n_target * k <= max(budgets) and k <= min(width, lists.n_pool) and k != levels[-1]:
+            continue
+        depth = int(max(1, min(k, width)))
+        best = materialise(nb.best_rank(lists.edges(depth)).withColumnRenamed("src_id", ID), "knn_best")
+        fresh = best if prev is None else _without(best, prev)
+        if k > width or k >= lists.n_pool or n_prev + fresh.count() > max(budgets):
+            break
+    return best, levels, width
 
 
 def select_knn_uncertainty(pool: DataFrame, target: DataFrame, scores: DataFrame, prev: DataFrame,
                            budget: int, k0: int = 1, max_neighbors: int | None = None, **kw) -> DataFrame:
     """SEL-3: the most uncertain rows among the k nearest pool rows of the targets.
 
-    The reference doubles k until the candidate set (with prev) exceeds
-    the budget. Here neighbour lists are ranked once, to the deepest level
-    that can be needed; each pool row keeps its best rank, and the
-    candidates of level k are exactly the rows with best rank <= k, so one
-    small grouped count picks the level without a loop of jobs.
+    Each pool row keeps its best neighbour rank, and the candidates of level k
+    are exactly the rows with best rank <= k, so one small grouped count
+    picks the level.
     """
-    best, levels, width = knn_best(pool, target, [budget], k0, max_neighbors, **kw)
-    # the best-rank table (at most targets x depth rows) feeds two actions: write it once
-    best = materialise(best.withColumnRenamed("src_id", ID), "knn_best")
+    prev = materialise(prev.select(ID, "prev_order"), "prev")
+    best, levels, width = knn_best(pool, target, [budget], k0, max_neighbors, prev=prev, **kw)
     n_prev = prev.count()
     fresh = _without(best, prev)
     counts = {r["lvl"]: r["n"] for r in
@@ -236,8 +242,10 @@ def select_allocated(pool: DataFrame, allocation: DataFrame, dataset: str, confi
     """
     q = allocation.where((F.col("dataset") == dataset) & (F.col("config") == config)
                          & (F.col("iteration") == iteration)).select("language", "quota")
-    max_quota = q.agg(F.max("quota")).first()[0] or 0  # small: one row per language
-    j = pool.select(ID, "language").join(F.broadcast(q), "language")
+    q = q.groupBy("language").agg(F.first("quota").alias("quota"))  # a key that is listed twice counts once
+    max_quota, n_lang = q.agg(F.max("quota"), F.count("*")).first()
+    max_quota = max_quota or 0
+    j = pool.select(ID, "language").join(F.broadcast(q) if n_lang <= BROADCAST_MAX_ROWS else q, "language")
     w = Window.partitionBy("language").orderBy(hash_key(seed), F.col(ID))
     # the literal bound lets Spark cut every language to max_quota rows per task before the shuffle
     picked = j.withColumn("lrank", F.row_number().over(w)) \

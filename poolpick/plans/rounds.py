@@ -84,7 +84,6 @@ def multi_budget_knn(pool: DataFrame, target: DataFrame, scores: DataFrame, budg
     from pyspark.sql import Window
 
     best, levels, width = st.knn_best(pool, target, budgets, k0, max_neighbors)
-    best = materialise(best.withColumnRenamed("src_id", ID), "knn_best")  # one distance pass for both uses
     counts = {r["lvl"]: r["n"] for r in
               best.groupBy(st._level_index(F.col("best"), k0).alias("lvl")).agg(F.count("*").alias("n")).collect()}
     kb = [(b, st.knn_level_for_budget(counts, levels, 0, b, width)) for b in sorted(budgets)]

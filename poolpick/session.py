@@ -39,34 +39,6 @@ def get_spark(master: str | None = None, app: str = "poolpick",
     return spark
 
 
-def spread(df, key: str | None = None):
-    """Spread a scan that yields fewer splits than the cluster has cores.
-
-    A small file with one row group is read by one task, which would then
-    run all per-row work (vector kernels, text functions) alone. Such an
-    input is small, so a round-robin repartition to the default parallelism
-    is cheap; a large input already has many splits and is left as it is
-    (no extra shuffle at scale).
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if splits(df, key) < target:
-        return df.repartition(target)
-    return df
-
-
-_SPLITS: dict = {}
-
-
-def splits(df, key: str | None = None) -> int:
-    """Number of input splits of a scan (memoised per application and source path)."""
-    if key is None:
-        return df.rdd.getNumPartitions()
-    k = (df.sparkSession.sparkContext.applicationId, key)
-    if k not in _SPLITS:
-        _SPLITS[k] = df.rdd.getNumPartitions()
-    return _SPLITS[k]
-
-
 _SHIPPED: set[str] = set()
 
 

@@ -142,3 +142,49 @@ def test_masked_mean_pools_and_all_masked_gives_zeros(spark):
     got = {r.row_id: r.embedding for r in emb.masked_mean(s, F.col("attn")).collect()}
     assert got[1] == [2.0, 4.0]
     assert got[2] == [0.0, 0.0]
+
+
+def test_running_sum_with_further_columns_and_null_keys(spark):
+    n = 400_000
+    df = spark.range(n, numPartitions=6).select(
+        F.when(F.col("id") % 7 == 0, None).otherwise(F.col("id") % 3).alias("k"), F.col("id").alias("o"),
+        (F.col("id") % 11).cast("double").alias("v"), F.concat(F.lit("x"), F.col("id")).alias("more"))
+    reuse = spark.conf.get("spark.sql.exchange.reuse", "true")
+    try:
+        for setting in ("true", "false"):
+            spark.conf.set("spark.sql.exchange.reuse", setting)
+            got = rp.running_sum(df, "k", "o", "v", partitions=7).toPandas().sort_values("o")
+            assert len(got) == n
+            want = got.fillna({"k": -1}).groupby("k")["v"].cumsum()
+            assert (got.running_sum == want).all()
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+
+
+def test_dedupe_keeps_one_null_of_any_type(spark):
+    lists = spark.createDataFrame([(1, None), (2, None), (3, ["x"]), (4, ["x"]), (5, [])], "row_id long, tokens array<string>")
+    assert sorted(r.row_id for r in pr.dedupe(lists, "tokens").collect()) == [1, 3, 5]
+    text = spark.createDataFrame([(1, None), (2, None), (3, "x")], "row_id long, t string")
+    assert sorted(r.row_id for r in pr.dedupe(text, "t").collect()) == [1, 3]
+
+
+def test_log_softmax_is_linear_in_the_classes(spark):
+    import time
+
+    from poolpick.functions.scores import log_softmax
+
+    def seconds(classes):
+        df = spark.range(8, numPartitions=1).select(F.transform(F.sequence(F.lit(1), F.lit(classes)), lambda x: (x * (F.col("id") + 1) % 97).cast("double")).alias("z"))
+        t = time.time()
+        df.select(F.array_max(log_softmax(F.col("z"))).alias("m")).collect()
+        return time.time() - t
+
+    seconds(100)
+    assert seconds(20_000) < 10  # cubic time would take days, quadratic time minutes
+
+
+def test_result_lines_of_any_length(spark):
+    df = spark.createDataFrame([("iter_1,knn,0.5,0.25",), ("iter_10,knn",), ("other",)], "value string")
+    got = rp.parse_result_lines(df).orderBy("pos").collect()
+    assert [(r.iteration, r.pos, r.value) for r in got] == [(1, 0, 0.5), (1, 1, 0.25)]
+    assert rp.parse_result_lines(df, [1]).count() == 2 and rp.parse_result_lines(df, [10]).count() == 0

@@ -69,16 +69,16 @@ def test_knn_uncertainty_matches_doubling_loop(spark, seed):
     assert got == want
 
 
-def test_knn_edges_target_chunks_agree(spark):
+def test_knn_edges_blocks_agree(spark):
     rng = np.random.default_rng(7)
     p = _pool(spark, rng.normal(size=(60, 4)))
     t = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(9, 4)))],
                               "row_id long, emb array<double>")
     one = nb.knn_edges(p, t, 5).orderBy("tgt_id", "rk").collect()
-    many = nb.knn_edges(p, t, 5, max_broadcast_bytes=200).orderBy("tgt_id", "rk").collect()  # forces chunks
+    many = nb.knn_edges(p, t, 5, block_bytes=200).orderBy("tgt_id", "rk").collect()  # many blocks on both sides, with bounds
     assert [(r.tgt_id, r.src_id, r.rk) for r in one] == [(r.tgt_id, r.src_id, r.rk) for r in many]
     m1 = nb.mean_distance_per_source(p, t).orderBy("src_id").collect()
-    m2 = nb.mean_distance_per_source(p, t, max_broadcast_bytes=200).orderBy("src_id").collect()
+    m2 = nb.mean_distance_per_source(p, t, block_bytes=200).orderBy("src_id").collect()
     assert [round(a.mean_dist, 9) for a in m1] == [round(b.mean_dist, 9) for b in m2]
 
 
@@ -141,14 +141,62 @@ def test_knn_level_rule_is_strict():
     assert st.knn_level_for_budget({0: 1, 1: 1, 2: 3}, levels, 0, 4, 100) == 4
 
 
-def test_knn_pruning_by_sample_bound_is_exact(spark):
-    rng = np.random.default_rng(11)
-    p = _pool(spark, rng.normal(size=(400, 5))).repartition(6)
-    t = spark.createDataFrame([(1000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(12, 5)))],
-                              "row_id long, emb array<double>")
-    plain = nb.knn_edges(p, t, 7, prune=False).orderBy("tgt_id", "rk").collect()
-    pruned = nb.knn_edges(p, t, 7, prune=True).orderBy("tgt_id", "rk").collect()
-    assert [(r.tgt_id, r.src_id, r.rk) for r in plain] == [(r.tgt_id, r.src_id, r.rk) for r in pruned]
+def _vecs(spark, x, first=0):
+    return spark.createDataFrame([(first + i, [float(v) for v in r]) for i, r in enumerate(x)], "row_id long, emb array<double>")
+
+
+@pytest.mark.parametrize("partitions", [1, 4, 16])
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_ties_are_complete_in_any_layout(spark, partitions, metric):
+    ids = np.random.default_rng(3).permutation(5000) + 1
+    p = spark.createDataFrame([(int(i), [1.0, 2.0]) for i in ids], "row_id long, emb array<double>").repartition(partitions)
+    t = _vecs(spark, [[1.0, 2.5], [0.0, 1.0]], 10_000)
+    for block in (nb.BLOCK_BYTES, 4000):
+        got = nb.knn_edges(p, t, 2, metric=metric, block_bytes=block).orderBy("tgt_id", "rk").collect()
+        assert [(r.tgt_id, r.src_id) for r in got] == [(10_000, 1), (10_000, 2), (10_001, 1), (10_001, 2)]
+
+
+def test_distances_far_from_the_origin(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(3000, 20)) + 1e8, rng.normal(size=(20, 20)) + 1e8
+    true = np.sqrt(((y[:, None, :] - x[None, :, :]) ** 2).sum(2))
+    got = {r.tgt_id - 5000: r.src_id for r in nb.knn_edges(_vecs(spark, x), _vecs(spark, y, 5000), 1).collect()}
+    assert [got[i] for i in range(20)] == true.argmin(1).tolist()
+    mean = {r.src_id: r.mean_dist for r in nb.mean_distance_per_source(_vecs(spark, x), _vecs(spark, y)).collect()}
+    assert np.allclose([mean[i] for i in range(3000)], true.mean(0), rtol=1e-6)
+
+
+def test_zero_and_bad_vectors_are_defined(spark):
+    p = _vecs(spark, [[0.0, 0.0], [1.0, 0.0], [float("nan"), 1.0], [-1.0, 0.0]]).unionByName(
+        spark.createDataFrame([(9, None)], "row_id long, emb array<double>"))
+    t = _vecs(spark, [[2.0, 0.0]], 100)
+    near = nb.knn_edges(p, t, 5, metric="cosine").orderBy("rk").collect()
+    assert [(r.src_id, r.dist) for r in near] == [(1, 1.0), (0, 0.0), (3, -1.0)]
+    assert _sel(st.select_average_dist(p, t, st.empty_prev(spark), 5, metric="cosine")) == [1, 0, 3, 2, 9]
+    assert _sel(st.select_average_dist(p, t, st.empty_prev(spark), 3)) == [1, 0, 3]
+
+
+def test_empty_sides(spark):
+    p, none = _vecs(spark, [[1.0, 2.0]]), _vecs(spark, [[1.0]]).limit(0)
+    for a, b in ((p, none), (none, p), (none, none)):
+        assert nb.knn_edges(a, b, 3).count() == 0 and nb.mean_distance_per_target(a, b).count() == 0
+        assert nb.mean_distance_per_source(a, b).count() == 0
+
+
+def test_many_targets_match_direct_distances(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=(60, 3)), rng.normal(size=(20_000, 3))
+    got = {(r.tgt_id, r.rk): r.src_id for r in nb.knn_edges(_vecs(spark, x), _vecs(spark, y, 1000), 2, block_bytes=64_000).collect()}
+    d = ((y[:, None, :] - x[None, :, :]) ** 2).sum(2)
+    order = np.argsort(d, axis=1, kind="stable")[:, :2]
+    assert len(got) == 40_000 and all(got[1000 + i, j + 1] == order[i, j] for i in range(0, 20_000, 37) for j in (0, 1))
+
+
+def test_allocation_keys_listed_twice_count_once(spark):
+    p = _pool(spark, np.zeros((6, 1)))
+    lines = spark.createDataFrame([("d:c\titer_1\ten:2",), ("d:c\titer_1\ten:2",)], "value string")
+    lang = p.select("row_id").withColumn("language", F.lit("en"))
+    assert len(_sel(st.select_allocated(lang, st.parse_allocation(lines), "d", "c", 1))) == 2
 
 
 def test_large_budget_top_n_paths_agree(spark, monkeypatch):
