@@ -2,12 +2,14 @@
 
 The code map is a small literal (bounded by the number of languages) and
 is applied with ``element_at`` on a map literal -- no join. Pairwise
-centroid distances join per-language centroid rows on the dimension
-index, so the work is languages^2 x dims, independent of the row count.
+centroid distances join per-language centroid vectors, so the work is
+languages^2 x dims, independent of the row count.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,25 +47,23 @@ def lang_pairs(langs: DataFrame, lang_col: str = "language", mapping: dict[str,
     return a.join(F.broadcast(b), F.col("src") != F.col("tgt"))
 
 
-def centroids_long(df: DataFrame, lang_col: str = "language", vec_col: str = "emb") -> DataFrame:
-    """Per-language mean vector in long form (language, dim, value)."""
-    x = df.select(F.col(lang_col).alias("language"), F.posexplode(vec_col).alias("dim", "v"))
-    return x.groupBy("language", "dim").agg(F.avg("v").alias("value"))
+def centroids(df: DataFrame, lang_col: str = "language", vec_col: str = "emb") -> DataFrame:
+    """Per-language mean vector (language, centroid); whole vectors are aggregated, partially in each task."""
+    x = df.where(F.col(vec_col).isNotNull()).select(F.col(lang_col).alias("language"), array_to_vector(F.col(vec_col)).alias("v"))
+    return x.groupBy("language").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("centroid"))
 
 
 def centroid_distances(cent: DataFrame) -> DataFrame:
     """AGG-12: pairwise L2 and cosine distance (1 - cosine similarity) of language centroids,
-    long form (src, tgt, metric, value)."""
-    a = cent.select(F.col("language").alias("src"), "dim", F.col("value").alias("a"))
-    b = cent.select(F.col("language").alias("tgt"), "dim", F.col("value").alias("b"))
-    j = a.join(b, "dim").where(F.col("src") != F.col("tgt"))
-    g = j.groupBy("src", "tgt").agg(F.sum((F.col("a") - F.col("b")) ** 2).alias("sq"),
-                                    F.sum(F.col("a") * F.col("b")).alias("ab"),
-                                    F.sum(F.col("a") * F.col("a")).alias("aa"),
-                                    F.sum(F.col("b") * F.col("b")).alias("bb"))
-    l2 = F.sqrt("sq")
-    cos = 1 - F.col("ab") / (F.sqrt("aa") * F.sqrt("bb"))
-    return g.select("src", "tgt", F.explode(F.array(
+    long form (src, tgt, metric, value). One row per language pair, as the result has."""
+    a = cent.select(F.col("language").alias("src"), F.col("centroid").alias("a"))
+    b = cent.select(F.col("language").alias("tgt"), F.col("centroid").alias("b"))
+    j = a.join(b, F.col("src") != F.col("tgt"))
+    total = lambda x, y, f: F.aggregate(F.zip_with(x, y, f), F.lit(0.0), lambda acc, v: acc + v)
+    dot = lambda x, y: total(x, y, lambda u, v: u * v)
+    l2 = F.sqrt(total("a", "b", lambda u, v: (u - v) * (u - v)))
+    cos = 1 - dot("a", "b") / (F.sqrt(dot("a", "a")) * F.sqrt(dot("b", "b")))
+    return j.select("src", "tgt", F.explode(F.array(
         F.struct(F.lit("l2").alias("metric"), l2.alias("value")),
         F.struct(F.lit("cosine").alias("metric"), cos.alias("value")))).alias("r")).select("src", "tgt", "r.*")
 

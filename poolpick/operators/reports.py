@@ -179,9 +179,10 @@ def config_average_deltas(deltas: DataFrame) -> DataFrame:
         .where(F.col("n_lang") > 1)
 
 
-def pivot_strategies(df: DataFrame, strategies: list[str], value_col: str = "value") -> DataFrame:
-    """AGG-9: one row per round, one column per strategy (explicit pivot values)."""
-    return df.groupBy("iteration").pivot("strategy", strategies).agg(F.avg(value_col))
+def pivot_strategies(df: DataFrame, strategies: list[str], value_col: str = "value",
+                     keys: tuple[str, ...] = ("config", "iteration")) -> DataFrame:
+    """AGG-9: one row per config and round, one column per strategy (explicit pivot values)."""
+    return df.groupBy(*keys).pivot("strategy", strategies).agg(F.avg(value_col))
 
 
 def eval_table(runs: DataFrame, n_val_languages: int = 5) -> DataFrame:

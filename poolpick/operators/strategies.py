@@ -5,11 +5,11 @@ ordering column ``prev_order``); the result is ``(row_id, rank)`` where
 ranks ``1..n_prev`` are the previous rows in their order and the new rows
 follow, up to ``budget`` rows in total. Ties are broken by ``row_id``.
 
-Every strategy ends in ``orderBy(...).limit(budget - n_prev)``, planned as
+Small budgets end in ``orderBy(...).limit(budget - n_prev)``, planned as
 a ``TakeOrderedAndProject`` (per-partition top-n, then a merge of at most
-``budget`` rows per task), so only the budget -- never the pool -- passes
-through a single task. ``prev`` is at most ``budget`` rows, so the anti
-join against it is broadcast by the planner.
+``budget`` rows per task). Budgets above ``TOPN_DIRECT_MAX`` are cut by a
+quantile or a hash prefix, and ranked over range partitions, so no task holds
+the selection.
 """
 
 from __future__ import annotations
@@ -32,18 +32,32 @@ def empty_prev(spark) -> DataFrame:
     return spark.createDataFrame([], "row_id long, prev_order long")
 
 
-def _prev_ranked(prev: DataFrame) -> DataFrame:
-    w = Window.orderBy("prev_order", ID)  # prev is bounded by the budget
-    return prev.select(F.col(ID).cast("long").alias(ID),
-                       F.row_number().over(w).cast("long").alias("rank"))
+def with_rank(df: DataFrame, order: list, name: str = "_rank") -> DataFrame:
+    """All columns plus the 1-based place in ``order``, with no task holding the table: rows are
+    range-partitioned by the order and numbered inside each partition, on top of
+    the counts of the partitions before (one number per partition)."""
+    x = materialise(df.repartitionByRange(*order).withColumn("_pid", F.spark_partition_id()), "numbered")
+    sizes = x.groupBy("_pid").agg(F.count("*").alias("c"))
+    before = sizes.select(F.col("_pid").alias("_p"), F.coalesce(F.sum("c").over(
+        Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    return x.withColumn("_l", local).join(before, F.col("_pid") == F.col("_p")) \
+        .withColumn(name, F.col("_l") + F.col("_b")).drop("_pid", "_p", "_l", "_b")
 
 
-def _append(prev: DataFrame, n_prev: int, new: DataFrame, order_cols: list) -> DataFrame:
-    """prev ranks 1..n_prev followed by the (already limited) new rows in ``order_cols`` order."""
-    w = Window.orderBy(*order_cols)  # new rows are limited to budget - n_prev
-    fresh = new.select(F.col(ID).cast("long").alias(ID),
-                       (F.row_number().over(w) + F.lit(n_prev)).cast("long").alias("rank"))
-    return _prev_ranked(prev).unionByName(fresh)
+def _numbered(df: DataFrame, order: list, n_first: int, big: bool) -> DataFrame:
+    """(row_id, rank): ranks n_first + 1, n_first + 2, ... in ``order``; one window numbers a small selection."""
+    ranked = with_rank(df, order) if big else df.withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    return ranked.select(F.col(ID).cast("long").alias(ID), (F.col("_rank") + F.lit(n_first)).cast("long").alias("rank"))
+
+
+def _prev_ranked(prev: DataFrame, n_prev: int) -> DataFrame:
+    return _numbered(prev, [F.col("prev_order"), F.col(ID)], 0, n_prev > TOPN_DIRECT_MAX)
+
+
+def _append(prev: DataFrame, n_prev: int, new: DataFrame, order: list, n_new: int = 0) -> DataFrame:
+    """prev ranks 1..n_prev followed by the (already limited) new rows in ``order``; ``n_new`` bounds their number."""
+    return _prev_ranked(prev, n_prev).unionByName(_numbered(new, order, n_prev, n_new > TOPN_DIRECT_MAX))
 
 
 def _without(df: DataFrame, prev: DataFrame) -> DataFrame:
@@ -60,8 +74,8 @@ def top_n(df: DataFrame, n: int, score_col: str, ascending: bool = True) -> Data
     Small n: ``orderBy().limit()`` (a TakeOrderedAndProject: per-task top-n,
     one merge). Large n: the merge would receive n rows from every task, so
     an approximate quantile of the score first cuts the table to a little
-    over n rows (``score <= threshold`` keeps all ties); only those are
-    ordered. Falls back to the direct plan if the cut keeps too few rows.
+    over n rows (``score <= threshold`` keeps all ties), or to all rows if
+    that keeps too few; those are ranked over range partitions.
     """
     sc = F.col(score_col).asc_nulls_last() if ascending else F.col(score_col).desc_nulls_last()
     order = [sc, F.col(ID)]
@@ -70,14 +84,15 @@ def top_n(df: DataFrame, n: int, score_col: str, ascending: bool = True) -> Data
     # several passes follow (counts, quantile, cut): score the rows once (e.g. mean distances)
     df = materialise(df, "topn_scores")
     total, live = df.agg(F.count(F.lit(1)), F.count(score_col)).first()
-    if n >= live:
-        return df.orderBy(*order).limit(n)
-    q = min(1.0, 1.02 * n / live + 2e-4)
-    t = df.agg(F.percentile_approx(score_col, q if ascending else 1.0 - q, 10000)).first()[0]
-    cut = df.where(F.col(score_col) <= t) if ascending else df.where(F.col(score_col) >= t)
-    if cut.count() < n:
-        return df.orderBy(*order).limit(n)
-    return cut.orderBy(*order).limit(n)
+    if n >= total:
+        return df
+    cut = df
+    if n < live:
+        q = min(1.0, 1.02 * n / live + 2e-4)
+        t = df.agg(F.percentile_approx(score_col, q if ascending else 1.0 - q, 10000)).first()[0]
+        near = df.where(F.col(score_col) <= t) if ascending else df.where(F.col(score_col) >= t)
+        cut = near if near.count() >= n else df
+    return with_rank(cut, order).where(F.col("_rank") <= n).drop("_rank")
 
 
 def select_top_score(scores: DataFrame, prev: DataFrame, budget: int, score_col: str = "uncertainty",
@@ -88,7 +103,7 @@ def select_top_score(scores: DataFrame, prev: DataFrame, budget: int, score_col:
     sc = F.col(score_col).asc_nulls_last() if ascending else F.col(score_col).desc_nulls_last()
     order = [sc, F.col(ID)]
     new = top_n(_without(scores, prev), need, score_col, ascending)
-    return _append(prev, n_prev, new, order)
+    return _append(prev, n_prev, new, order, need)
 
 
 def select_uncertainty(scores: DataFrame, prev: DataFrame, budget: int) -> DataFrame:
@@ -176,7 +191,7 @@ def select_knn_uncertainty(pool: DataFrame, target: DataFrame, scores: DataFrame
     need = max(0, budget - n_prev)
     order = [F.col("uncertainty").asc_nulls_last(), F.col(ID)]
     new = top_n(scores.join(cand, ID, "left_semi"), need, "uncertainty")
-    return _append(prev, n_prev, new, order)
+    return _append(prev, n_prev, new, order, need)
 
 
 def empty_like(prev: DataFrame) -> DataFrame:
@@ -189,12 +204,12 @@ def select_random(pool: DataFrame, prev: DataFrame, budget: int, seed: int = 42,
     n_pool = pool.count() if n_pool is None else n_pool
     if budget > n_pool:
         allrows = pool.select(ID)
-        return _append(empty_like(prev), 0, allrows, [F.col(ID)])
+        return _append(empty_like(prev), 0, allrows, [F.col(ID)], n_pool)
     n_prev = prev.count()
     need = max(0, budget - n_prev)
     order = [hash_key(seed), F.col(ID)]
     new = _random_n(_without(pool, prev), need, seed)
-    return _append(prev, n_prev, new, order)
+    return _append(prev, n_prev, new, order, need)
 
 
 def _random_n(df: DataFrame, n: int, seed) -> DataFrame:
@@ -266,7 +281,7 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
     sizes = pool.groupBy("language").agg(F.count("*").alias("lang_n"))
     n_lang = sizes.count()
     if n_lang == 0:
-        return _prev_ranked(prev)
+        return _prev_ranked(prev, n_prev)
     quota = (budget - n_prev) // n_lang
     small = budget // n_lang
     # one row per language: broadcast only when that count is small (it was just counted)
@@ -281,10 +296,10 @@ def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int
     need1 = max(0, budget - n_prev)
     # phase 1 (<= budget rows) feeds a count and the result: one pass over the pool, written once
     p1 = materialise(phase1.orderBy("language", "lrank").limit(need1).select(ID, "language", "lrank"), "egal_p1")
-    p1_ranked = _append(prev, n_prev, p1, [F.col("language"), F.col("lrank")])
+    p1_ranked = _append(prev, n_prev, p1, [F.col("language"), F.col("lrank")], need1)
     n_now = n_prev + p1.count()
     if n_now >= budget:
         return p1_ranked
     order = [hash_key(seed), F.col(ID)]
     fill = _random_n(_without(pool.select(ID), p1_ranked), budget - n_now, seed)
-    return _append(p1_ranked.select(ID, F.col("rank").alias("prev_order")), n_now, fill, order)
+    return _append(p1_ranked.select(ID, F.col("rank").alias("prev_order")), n_now, fill, order, budget - n_now)

@@ -75,12 +75,25 @@ def q_knn_correlation(spark, sf_dir):
     return c.select("k", "n", *[r6(x).alias(x) for x in ("r_unc", "r_loss", "t_unc", "t_loss")])
 
 
-@register("knn_correlation_p")
+def _p_sql(r: str) -> str:
+    """Two-sided Student-t p of a correlation: one minus a Simpson sum of the density over [-|t|, |t|]."""
+    t = f"abs({r} * sqrt((n - 2) / (1 - {r} * {r})))"
+    density = f"exp(lgamma((n - 1) / 2) - lgamma((n - 2) / 2)) / sqrt((n - 2) * pi()) * pow(1 + x * x / (n - 2), -(n - 1) / 2)"
+    return (f"greatest(0, 1 - 2 * (SELECT sum(weight * {density}) * {t} / 6000 FROM (SELECT i * {t} / 2000 AS x, "
+            f"CASE WHEN i = 0 OR i = 2000 THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS weight FROM range(0, 2001) s(i))))")
+
+
+@register("knn_correlation_p", with_views(
+    f"SELECT k, n, round(r_unc, 6) AS r_unc, round({_p_sql('r_unc')}, 6) AS p_unc, round(r_loss, 6) AS r_loss, "
+    f"round({_p_sql('r_loss')}, 6) AS p_loss FROM (SELECT CAST(nn.k AS BIGINT) AS k, count(*) AS n, "
+    "corr(t.uncertainty, nn.nn_uncertainty) AS r_unc, corr(t.loss, nn.nn_loss) AS r_loss "
+    "FROM nn JOIN sc t ON t.row_id = nn.tgt_id GROUP BY nn.k)",
+    "pool", "tgt", "seqlog", extra=[_DIST_CTE, _RANKED_CTE, _SCORE_SQL, _NN_SQL]))
 def q_knn_correlation_p(spark, sf_dir):
     """AGG-5 p-values: two-sided Student-t p from t and n on the few-row result."""
-    c = _correlation(spark, sf_dir)
-    return c.select("k", "n", "r_unc", pearson_p(F.col("t_unc"), F.col("n")).alias("p_unc"), "r_loss",
-                    pearson_p(F.col("t_loss"), F.col("n")).alias("p_loss"))
+    c = _correlation(spark, sf_dir).withColumn("p_unc", pearson_p(F.col("t_unc"), F.col("n"))) \
+        .withColumn("p_loss", pearson_p(F.col("t_loss"), F.col("n")))
+    return c.select("k", "n", *[r6(x).alias(x) for x in ("r_unc", "p_unc", "r_loss", "p_loss")])
 
 
 @register("scatter_loss_distance", with_views(
@@ -109,42 +122,48 @@ def q_feature_to_example(spark, sf_dir):
                                                    F.min("feature_id").alias("first_feature"))
 
 
-N_BEST, MAX_ANS = 20, 30
-_WS = f"(feature_id % 3) * {QA_STRIDE}"   # context start token of a feature: its index in the example x stride
+N_BEST, MAX_ANS = 20, 1000
+# every window of every whole document is a feature; its logits are the embedding with the key below
+_KEY = "(example_id * 7 + win) % (SELECT count(*) FROM embeddings)"
 _SPAN_CTES = [
-    ("ctx", "SELECT row_id AS example_id, length(text) AS len, text AS context FROM docs"),
-    ("stp", f"SELECT feature_id, example_id, {_WS} AS ws, i - 1 AS p, zs[i] AS v, row_number() OVER "
-            f"(PARTITION BY feature_id ORDER BY zs[i] DESC, i) AS rk FROM qafeat, range(1, 33) t(i)"),
-    ("enp", "SELECT feature_id, i - 1 AS p, ze[i] AS v, row_number() OVER (PARTITION BY feature_id "
-            "ORDER BY ze[i] DESC, i) AS rk FROM qafeat, range(1, 33) t(i)"),
-    ("cand", f"SELECT s.feature_id, s.example_id, s.p AS si, e.p AS ei, s.v + e.v AS score, "
+    ("ctx", "SELECT row_id AS example_id, length(text) AS len, CAST(ceil(length(text) / 4) AS BIGINT) AS ntok, text AS context FROM docs"),
+    ("win", f"SELECT example_id, len, ws, ws // {QA_STRIDE} AS win FROM (SELECT example_id, len, "
+            f"unnest(range(0, greatest(ntok - {QA_STRIDE}, 1), {QA_STRIDE})) AS ws FROM ctx)"),
+    ("qft", "SELECT w.*, (e.embedding[1:32])::DOUBLE[] AS zs, (e.embedding[33:64])::DOUBLE[] AS ze FROM win w "
+            f"JOIN embeddings e ON e.vec_id = {_KEY}"),
+    ("stp", "SELECT example_id, win, ws, len, i - 1 AS p, zs[i] AS v, row_number() OVER "
+            "(PARTITION BY example_id, win ORDER BY zs[i] DESC, i) AS rk FROM qft, range(1, 33) t(i)"),
+    ("enp", "SELECT example_id, win, i - 1 AS p, ze[i] AS v, row_number() OVER (PARTITION BY example_id, win "
+            "ORDER BY ze[i] DESC, i) AS rk FROM qft, range(1, 33) t(i)"),
+    ("cand", f"SELECT s.example_id, s.win, s.p AS si, e.p AS ei, s.v + e.v AS score, "
              f"{CH} * (s.ws + s.p - {QA_Q}) AS cs, {CH} * (s.ws + e.p - {QA_Q}) + 3 AS ce FROM stp s "
-             f"JOIN enp e USING (feature_id) JOIN ctx c ON c.example_id = s.example_id "
+             f"JOIN enp e USING (example_id, win) "
              f"WHERE s.rk <= {N_BEST} AND e.rk <= {N_BEST} AND e.p >= s.p AND e.p - s.p + 1 <= {MAX_ANS} "
-             f"AND s.p >= {QA_Q} AND e.p >= {QA_Q} AND {CH} * (s.ws + s.p - {QA_Q}) < c.len "
-             f"AND {CH} * (s.ws + e.p - {QA_Q}) < c.len"),
-    ("bst", "SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, feature_id, si, ei) AS rn "
-            "FROM cand"),
+             f"AND s.p >= {QA_Q} AND e.p >= {QA_Q} AND {CH} * (s.ws + s.p - {QA_Q}) < s.len "
+             f"AND {CH} * (s.ws + e.p - {QA_Q}) < s.len"),
+    ("bst", "SELECT *, row_number() OVER (PARTITION BY example_id ORDER BY score DESC, win, si, ei) AS rn FROM cand"),
 ]
 
 
 @register("qa_best_span", with_views(
-    "SELECT x.example_id, b.feature_id, CAST(b.si AS INTEGER) AS start, CAST(b.ei AS INTEGER) AS \"end\", "
-    "round(b.score, 6) AS score, CASE WHEN b.feature_id IS NULL THEN '' "
+    "SELECT c.example_id, CAST(b.win AS INTEGER) AS feature_id, CAST(b.si AS INTEGER) AS start, CAST(b.ei AS INTEGER) AS \"end\", "
+    "round(b.score, 6) AS score, CASE WHEN b.win IS NULL THEN '' "
     "ELSE substring(c.context, b.cs + 1, b.ce - b.cs) END AS answer "
-    "FROM (SELECT DISTINCT example_id FROM qafeat) x LEFT JOIN bst b ON b.example_id = x.example_id AND b.rn = 1 "
-    "LEFT JOIN ctx c ON c.example_id = x.example_id", "qafeat", "docs", extra=_SPAN_CTES))
+    "FROM ctx c LEFT JOIN bst b ON b.example_id = c.example_id AND b.rn = 1", "docs", extra=_SPAN_CTES))
 def q_qa_best_span(spark, sf_dir):
-    """MET-6 / JOIN-9: n-best start x end candidates per feature (a window over the whole
-    document), best per example, answer cut from the whole text by character offsets."""
-    f = fx.qafeat_df(spark, sf_dir)
+    """MET-6 / JOIN-9: n-best start x end candidates of every window of every whole document, best
+    per example, answer cut from the text by character offsets."""
     docs = fx.docs_df(spark, sf_dir).select(F.col("row_id").alias("example_id"), F.col("text").alias("context"))
-    ex = f.select("example_id").distinct().join(docs, "example_id", "left")
-    f = f.join(docs.select("example_id", F.length("context").alias("len")), "example_id")
-    ws = (F.col("feature_id") % 3).cast("int") * QA_STRIDE
-    offs, seq = qa_window_offsets(ws, F.col("len"))
+    e = fx.table(spark, sf_dir, "embeddings")
+    n_tok = F.ceil(F.col("len") / CH).cast("int")
+    w = docs.select("example_id", F.length("context").alias("len"))
+    w = w.select("example_id", "len", F.posexplode(ch.window_starts(n_tok, 2 * QA_STRIDE, QA_STRIDE)).alias("win", "ws"))
+    logits = e.select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("zs"),
+                      F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("ze"))
+    f = w.withColumn("vec_id", (F.col("example_id") * 7 + F.col("win")) % e.count()).join(logits, "vec_id")
+    offs, seq = qa_window_offsets(F.col("ws"), F.col("len"))
     f = f.withColumn("offsets", ch.mask_offsets(offs, seq))
-    b = qa.best_spans(f, ex, N_BEST, MAX_ANS)
+    b = qa.best_spans(f, docs, N_BEST, MAX_ANS, feature_col="win")
     return b.select("example_id", "feature_id", "start", "end", r6("score").alias("score"), "answer")
 
 

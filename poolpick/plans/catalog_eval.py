@@ -217,7 +217,7 @@ def _qa_inputs(spark, sf_dir):
     j = a.join(d, "row_id")
     pred = F.substring(F.col("text"), F.col("answer_start") + 1 + (F.col("item_id") % 3) * 5, F.length("answer"))
     golds = F.array(F.col("answer"), F.substring(F.col("answer"), 1, F.expr("length(answer) div 2")))
-    return j.select((F.col("item_id") * 1000000 + F.col("row_id")).alias("qid"), pred.alias("pred"),
+    return j.select(F.concat_ws(":", "item_id", "row_id").alias("qid"), pred.alias("pred"),
                     golds.alias("golds"))
 
 
@@ -225,7 +225,7 @@ _ART = ", ".join(f"'{a}'" for a in ARTICLES)
 _QA_TOKS = ("list_filter(string_split_regex(regexp_replace(lower(@X@), '" + PUNCT_CLASS.replace("'", "''")
             + "', '', 'g'), '\\s+'), lambda t: t <> '' AND t NOT IN (" + _ART + "))")
 _QA_CTES = [
-    ("qi", "SELECT a.item_id * 1000000 + a.row_id AS qid, substring(d.text, a.answer_start + 1 + "
+    ("qi", "SELECT concat(a.item_id, ':', a.row_id) AS qid, substring(d.text, a.answer_start + 1 + "
            "(a.item_id % 3) * 5, length(a.answer)) AS pred, [a.answer, substring(a.answer, 1, length(a.answer) // 2)] "
            "AS golds FROM answers a JOIN docs d USING (row_id)"),
     ("qg", f"SELECT qid, g, {_QA_TOKS.replace('@X@', 'pred')} AS pt, {_QA_TOKS.replace('@X@', 'golds[g]')} AS gt "

@@ -113,9 +113,9 @@ def q_lang_from_id(spark, sf_dir):
 @register("normalise_inputs", with_views(
     "SELECT d.row_id, md5(coalesce(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g'), '')) AS premise_md5, "
     "CAST(length(coalesce(regexp_replace(d.text, '^\\s+|\\s+$', '', 'g'), '')) AS BIGINT) AS premise_len, "
-    "CAST(l.quality AS INTEGER) AS label FROM docs d JOIN labels l ON l.doc_id = d.row_id", "docs"))
+    "CAST(l.quality AS INTEGER) AS label FROM docs d LEFT JOIN labels l ON l.doc_id = d.row_id", "docs"))
 def q_normalise_inputs(spark, sf_dir):
-    d = fx.docs_df(spark, sf_dir).join(fx.table(spark, sf_dir, "labels"), F.col("row_id") == F.col("doc_id"))
+    d = fx.docs_df(spark, sf_dir).join(fx.table(spark, sf_dir, "labels"), F.col("row_id") == F.col("doc_id"), "left")
     n = pr.normalise_inputs(d.select("row_id", F.col("text").alias("premise"), F.col("quality").alias("label")),
                             ["premise"], ["label"])
     return n.select("row_id", F.md5("premise").alias("premise_md5"),
@@ -197,6 +197,16 @@ def q_dedupe_column(spark, sf_dir):
     return pr.dedupe(fx.docs_df(spark, sf_dir), "text").select("row_id", "language")
 
 
+@register("dedupe_tokens", with_views(
+    "SELECT row_id, language, CAST(len(toks) AS INTEGER) AS n_tokens FROM tk WHERE row_id IN "
+    "(SELECT min(row_id) FROM tk GROUP BY toks)", "docs",
+    extra=[("tk", "SELECT row_id, language, string_split(text, ' ') AS toks FROM docs")]))
+def q_dedupe_tokens(spark, sf_dir):
+    """DED-1 on a list column: documents with equal token lists, the first stays."""
+    d = fx.docs_df(spark, sf_dir).select("row_id", "language", F.split("text", " ").alias("toks"))
+    return pr.dedupe(d, "toks").select("row_id", "language", F.size("toks").alias("n_tokens"))
+
+
 @register("dedupe_source", with_views(
     "SELECT row_id, language FROM pairs WHERE row_id IN (SELECT min(row_id) FROM pairs GROUP BY source)", "pairs"))
 def q_dedupe_source(spark, sf_dir):
@@ -225,6 +235,17 @@ def q_distinct_languages(spark, sf_dir):
     return fx.docs_df(spark, sf_dir).select("language").distinct()
 
 
+@register("dataset_plain_sizes", with_views(
+    "SELECT 'pairs' AS kind, language AS config, count(*) AS n FROM pairs GROUP BY language UNION ALL "
+    "SELECT 'qa', d.config, count(*) FROM answers a JOIN docs d USING (row_id) GROUP BY d.config", "pairs", "docs", "answers"))
+def q_dataset_plain_sizes(spark, sf_dir):
+    """AGG-2, plain counts: pair sets and QA sets are counted without dedupe."""
+    pairs = fx.pairs_df(spark, sf_dir).groupBy(F.lit("pairs").alias("kind"), F.col("language").alias("config"))
+    answers = fx.answers_df(spark, sf_dir).join(fx.docs_df(spark, sf_dir).select("row_id", "config"), "row_id")
+    qa_sets = answers.groupBy(F.lit("qa").alias("kind"), "config")
+    return pairs.agg(F.count("*").alias("n")).unionByName(qa_sets.agg(F.count("*").alias("n")))
+
+
 @register("dataset_sizes", with_views(
     "SELECT config, split, count(DISTINCT text) AS n FROM hs GROUP BY config, split", "docs",
     extra=[_HASH_SPLIT_SQL]))

@@ -11,7 +11,7 @@ from poolpick.operators import languages as lg
 from poolpick.operators import prepare as pr
 from poolpick.operators import reports as rp
 from poolpick.plans.registry import r6, register
-from poolpick.session import scratch_path
+from poolpick.session import materialise, scratch_path
 from poolpick.sources import readers as rd
 from poolpick.sources import sinks as sk
 
@@ -88,13 +88,13 @@ def q_latest_round(spark, sf_dir):
 @register("parse_result_lines", with_views(
     "SELECT config, seed, iteration, strategy, CAST(row_number() OVER (PARTITION BY config, seed, strategy, "
     "iteration ORDER BY language) - 1 AS INTEGER) AS pos, value FROM runs "
-    "WHERE split = 'test' AND iteration = 1", "runs"))
+    "WHERE split = 'test'", "runs"))
 def q_parse_result_lines(spark, sf_dir):
-    """SRC-8: result CSV lines written per run folder, read back positionally for round 1."""
+    """SRC-8: result CSV lines written per run folder, read back positionally, all rounds."""
     lines = rp.result_lines(fx.runs_df(spark, sf_dir))
     root = scratch_path(spark, "lines")
     lines.write.mode("overwrite").partitionBy("config", "seed").text(root)
-    p = rp.parse_result_lines(rd.read_lines(spark, root), rounds=[1])
+    p = rp.parse_result_lines(rd.read_lines(spark, root))
     return p.select("config", "seed", "iteration", "strategy", "pos", "value")
 
 
@@ -221,7 +221,7 @@ _LAST = "(config, seed, iteration) IN (SELECT config, seed, max(iteration) FROM
     extra=[_DELTA_SQL]))
 def q_delta_averages(spark, sf_dir):
     """AGG-6: mean delta of the last round for the six named comparisons."""
-    d = rp.delta_averages(fx.runs_df(spark, sf_dir))
+    d = rp.delta_averages(materialise(fx.runs_df(spark, sf_dir), "runs"))  # used three times
     return d.select("config", "seed", "delta_name", r6("average").alias("average"))
 
 
@@ -253,14 +253,14 @@ _PIVOT = ["gold_ur", "egalitarian", "knn_uncertainty_k_1", "average_dist", "unce
 
 
 @register("pivot_strategies", with_views(
-    "SELECT iteration, " + ", ".join(f"round(avg(CASE WHEN strategy = '{s}' THEN value END), 6) AS {s}"
+    "SELECT config, iteration, " + ", ".join(f"round(avg(CASE WHEN strategy = '{s}' THEN value END), 6) AS {s}"
                                      for s in _PIVOT)
-    + " FROM runs WHERE split = 'test' AND config = 'AUTOMOBILE' GROUP BY iteration", "runs"))
+    + " FROM runs WHERE split = 'test' GROUP BY config, iteration", "runs"))
 def q_pivot_strategies(spark, sf_dir):
     """AGG-9: rounds as rows, strategies as columns (explicit pivot values)."""
-    r = fx.runs_df(spark, sf_dir).where((F.col("split") == "test") & (F.col("config") == "AUTOMOBILE"))
+    r = fx.runs_df(spark, sf_dir).where(F.col("split") == "test")
     p = rp.pivot_strategies(r, _PIVOT)
-    return p.select("iteration", *[r6(s).alias(s) for s in _PIVOT])
+    return p.select("config", "iteration", *[r6(s).alias(s) for s in _PIVOT])
 
 
 @register("strategy_display_order", with_views(
@@ -321,7 +321,7 @@ _CENT = [("cent", "SELECT language, i - 1 AS dim, avg(emb[i]) AS value FROM vec,
 
 def _centroid_distance(spark, sf_dir):
     v = lg.known_languages(fx.vec_df(spark, sf_dir))
-    return lg.centroid_distances(lg.centroids_long(v))
+    return lg.centroid_distances(lg.centroids(v))
 
 
 @register("lang_centroid_distance", with_views(

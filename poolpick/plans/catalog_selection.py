@@ -191,6 +191,16 @@ def q_knn_join(spark, sf_dir):
     return e.select("tgt_id", "src_id", r6("dist").alias("dist"), "rk")
 
 
+@register("knn_join_cosine", with_views(
+    "SELECT tgt_id, src_id, round(sim, 6) AS sim, rk FROM (SELECT tgt_id, src_id, sim, CAST(row_number() OVER "
+    "(PARTITION BY tgt_id ORDER BY sim DESC, src_id) AS BIGINT) AS rk FROM (SELECT t.row_id AS tgt_id, p.row_id AS src_id, "
+    "list_cosine_similarity(p.emb, t.emb) AS sim FROM pool p, tgt t)) WHERE rk <= 4", "pool", "tgt"))
+def q_knn_join_cosine(spark, sf_dir):
+    """SEL-11 neighbours: the four most similar pool rows per target by cosine."""
+    e = nb.knn_edges(fx.pool_df(spark, sf_dir), fx.target_df(spark, sf_dir), 4, metric="cosine")
+    return e.select("tgt_id", "src_id", r6("dist").alias("sim"), "rk")
+
+
 @register("knn_candidates", with_views(
     "SELECT DISTINCT src_id AS row_id FROM r WHERE rk <= 3", "pool", "tgt", extra=[_DIST_CTE, _RANKED_CTE]))
 def q_knn_candidates(spark, sf_dir):

@@ -71,7 +71,7 @@ def multi_budget_top(scores: DataFrame, budgets: list[int], score_col: str = "un
     is a prefix. Returns (budget, row_id, rank)."""
     order = [F.col(score_col).asc_nulls_last(), F.col(ID)]
     sel = st._append(st.empty_like(st.empty_prev(scores.sparkSession)), 0,
-                     st.top_n(scores, max(budgets), score_col), order)
+                     st.top_n(scores, max(budgets), score_col), order, max(budgets))
     b = F.explode(F.array(*[F.lit(int(x)) for x in sorted(budgets)])).alias("budget")
     return sel.select(b, ID, "rank").where(F.col("rank") <= F.col("budget"))
 
