@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,3 +45,15 @@ def split_count(spark: SparkSession) -> int:
 def text_of(df: DataFrame, column: str = "text"):
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
+
+
+@contextmanager
+def arrow_batch_bytes(spark: SparkSession, size: str):
+    """Bounds the Arrow batches of the jobs inside the block, for whole texts beside other large buffers."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

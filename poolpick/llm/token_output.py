@@ -32,9 +32,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from poolpick.llm import bytekit as B
+from poolpick.llm.common import arrow_batch_bytes
 from poolpick.llm.piece_memo import PieceMemo
 
 END_ID = 0
+BATCH_BYTES = "4m"  # of an Arrow batch: a task also holds sort pages and a stripe
+STRIPE_BYTES = str(16 << 20)
 CALL_TEXTS = 64  # texts in one call of the library, whose results are large objects
 OUT = "doc_id {kind}, first long, ids array<int>"
 _state: dict = {}
@@ -202,10 +205,11 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = END_
     kind = docs.schema["doc_id"].dataType.simpleString()
     ordered = (docs.select("doc_id", "text").withColumn("__digest", F.xxhash64("text"))
                .repartitionByRange("doc_id", "__digest").sortWithinPartitions("doc_id", "__digest").select("doc_id", "text"))
-    (ordered.mapInArrow(_writer(vocabulary, end_id), OUT.format(kind=kind)).write
-     .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
-     .option("orc.create.index", "true").option("orc.row.index.stride", "10000")
-     .option("compression", "zlib").orc(path))
+    with arrow_batch_bytes(docs.sparkSession, BATCH_BYTES):
+        (ordered.mapInArrow(_writer(vocabulary, end_id), OUT.format(kind=kind)).write
+         .option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01")
+         .option("orc.create.index", "true").option("orc.row.index.stride", "10000").option("orc.stripe.size", STRIPE_BYTES)
+         .option("compression", "zlib").orc(path))
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list | None = None) -> DataFrame:
