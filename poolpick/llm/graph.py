@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolpick.llm.common import has, write_out
+from poolpick.llm.common import write_out
+
+EDGES_PER_TASK = 200_000
 
 
 def _large_star(e: DataFrame) -> DataFrame:
@@ -28,15 +30,13 @@ def components(edges: DataFrame) -> DataFrame:
     e = write_out(e, "edges")
     mark = None
     while True:
-        e = write_out(_small_star(write_out(_large_star(e).distinct(), "large_star")).distinct(), "small_star")
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
         mark = now
+        tasks = max(1, -(-now[0] // EDGES_PER_TASK))  # the table shrinks from round to round
+        e = write_out(_large_star(e).distinct().coalesce(tasks), "large_star")
+        e = write_out(_small_star(e).distinct().coalesce(tasks), "small_star")
     # stars: every u is tied to its component's least node
     out = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return out.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
-
-
-def empty(edges: DataFrame) -> bool:
-    return not has(edges)
