@@ -22,10 +22,9 @@ def q_add_language(spark, sf_dir):
     "SELECT row_id, language, CAST(length(text) AS BIGINT) AS n_chars FROM docs", "docs"))
 def q_drop_raw_columns(spark, sf_dir):
     """PRJ-2 with the drop list taken from a dataset registry entry (SRC-11)."""
-    from poolpick.schemas import drop_for, registry_from_dict
+    from poolpick.schemas import REGISTRY, drop_for, load_registry
 
-    reg = registry_from_dict({"docs": {"metric": "squad", "task_type": "qa", "remove_columns": ["id", "config", "text"]},
-                              "docs_all_raw": {"task_type": "qa"}})
+    reg = load_registry(REGISTRY)
     d = fx.docs_df(spark, sf_dir).withColumn("n_chars", F.length("text").cast("long"))
     out = drop_for(d, reg["docs"], [])
     assert drop_for(d, reg["docs_all_raw"], ["row_id", "language", "n_chars"]).columns == out.columns

@@ -136,9 +136,10 @@ _METRICS = [f"l{i}_{s}" for i in range(3) for s in ("test", "val")]
         f"max(CASE WHEN language || '_' || split = '{m}' THEN value END) AS {m}" for m in _METRICS)
     + " FROM runs GROUP BY ALL", "runs"))
 def q_wide_metrics(spark, sf_dir):
-    """SNK-4: per-run metric dict as one wide row (and as JSON files per run)."""
+    """SNK-4: per-run metric dict, written as one JSON object (and one-row CSV) per run and read back."""
     w, names = rp.wide_metrics(fx.runs_df(spark, sf_dir))
-    sk.write_metrics_json(w, scratch_path(spark, "metrics_json"), ["config", "seed"])
+    paths = sk.write_metrics(w, scratch_path(spark, "metrics"), rp.RUN_KEYS)
+    w = sk.read_metrics_json(spark, paths["json"], w.schema)
     return w.select(*rp.RUN_KEYS, *[F.col(f"`{n}`").alias(n) for n in names])
 
 

@@ -1,4 +1,4 @@
-"""Table schemas per input kind and the dataset registry (SRC-11).
+"""The dataset registry (SRC-11).
 
 The registry is small driver-side metadata (metric name, label names, raw
 columns to drop, task type, source/target columns) read from YAML; it
@@ -7,33 +7,12 @@ only parameterises DataFrame operations, it never holds data.
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
-from pyspark.sql.types import (ArrayType, DoubleType, IntegerType, LongType, MapType, StringType, StructField,
-                               StructType)
 
-TOKEN_TAGGING = StructType([StructField("row_id", LongType(), False),
-                            StructField("tokens", ArrayType(StringType())),
-                            StructField("tags", ArrayType(IntegerType())),
-                            StructField("language", StringType(), False)])
-SENTENCE_PAIR = StructType([StructField("row_id", LongType(), False), StructField("premise", StringType()),
-                            StructField("hypothesis", StringType()), StructField("label", IntegerType()),
-                            StructField("language", StringType(), False)])
-EXTRACTIVE_QA = StructType([StructField("id", StringType(), False), StructField("title", StringType()),
-                            StructField("context", StringType()), StructField("question", StringType()),
-                            StructField("answers", StructType([StructField("text", ArrayType(StringType())),
-                                                               StructField("answer_start",
-                                                                           ArrayType(IntegerType()))]))])
-TRANSLATION = StructType([StructField("row_id", LongType(), False),
-                          StructField("translation", MapType(StringType(), StringType())),
-                          StructField("language", StringType(), False)])
-SCORES = StructType([StructField("row_id", LongType(), False), StructField("embedding", ArrayType(DoubleType())),
-                     StructField("uncertainty", DoubleType())])
-RUN_METRICS = StructType([StructField("config", StringType()), StructField("strategy", StringType()),
-                          StructField("iteration", IntegerType()), StructField("seed", StringType()),
-                          StructField("language", StringType()), StructField("split", StringType()),
-                          StructField("value", DoubleType())])
+REGISTRY = os.path.join(os.path.dirname(os.path.abspath(__file__)), "datasets.yaml")
 
 
 @dataclass
@@ -58,17 +37,6 @@ def load_registry(path: str) -> dict[str, DatasetConfig]:
             for name, body in raw.items()}
 
 
-def registry_from_dict(raw: dict) -> dict[str, DatasetConfig]:
-    return {name: DatasetConfig(name=name, **body) for name, body in raw.items()}
-
-
-def require_language(df: DataFrame) -> DataFrame:
-    """Custom source/test tables must carry a language column (fail fast)."""
-    if "language" not in df.columns:
-        raise ValueError("table must carry a 'language' column")
-    return df
-
-
 def drop_for(df: DataFrame, cfg: DatasetConfig, keep: list[str]) -> DataFrame:
     """PRJ-2 driven by the registry: drop the listed raw columns, or, when the entry
     lists none, every column that is not in ``keep``."""

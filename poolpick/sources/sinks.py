@@ -54,6 +54,15 @@ def write_report(df: DataFrame, path: str, sep: str = ",", header: bool = True)
     write_csv(df.coalesce(1), path, header=header, sep=sep)
 
 
-def write_metrics_json(df: DataFrame, path: str, partition_by: list[str]) -> None:
-    """SNK-4: one JSON object of metrics per run, in a folder per run key."""
-    df.write.mode("overwrite").partitionBy(*partition_by).json(path)
+def write_metrics(df: DataFrame, path: str, keys: list[str]) -> dict[str, str]:
+    """SNK-4: per run, one JSON object of metrics and a one-row CSV, each in the run's own folder."""
+    paths = {"json": f"{path}/json", "csv": f"{path}/csv"}
+    one = df.repartition(*keys)  # a run's row meets its folder in one task
+    one.write.mode("overwrite").partitionBy(*keys).json(paths["json"])
+    one.write.mode("overwrite").partitionBy(*keys).option("header", True).csv(paths["csv"])
+    return paths
+
+
+def read_metrics_json(spark, path: str, schema) -> DataFrame:
+    """The written metric objects, keys from the folder names."""
+    return spark.read.schema(schema).json(path)

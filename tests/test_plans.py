@@ -24,17 +24,27 @@ def test_per_language_head_uses_window_group_limit(spark):
 def test_knn_has_no_cartesian_product(spark):
     p = plan(Q["knn_join"](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "MapInPandas" in p or "MapInArrow" in p
+    assert "CoGroupsInArrow" in p and "BroadcastExchange" not in p
 
 
-def test_mean_distance_needs_no_shuffle_for_one_target_chunk(spark):
+def test_each_side_of_the_distance_grid_is_read_and_dealt_once(spark):
     p = plan(Q["pairwise_l2"](spark, SF_SMALL))
-    assert "hashpartitioning" not in p  # only the round-robin spread of a one-split input, no aggregation shuffle
+    assert p.count("FileScan") == 3  # pool, target, and the pool rows without a usable vector
+    assert p.count("hashpartitioning(pb") == 2
 
 
-def test_small_single_split_inputs_are_spread(spark):
-    from poolpick.fixtures import table
-    assert table(spark, SF_SMALL, "documents").rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+def test_scans_are_not_repartitioned(spark):
+    assert "RoundRobin" not in plan(Q["rows_per_language"](spark, SF_SMALL)) and "RoundRobin" not in plan(Q["log_softmax"](spark, SF_SMALL))
+
+
+def test_passage_search_has_no_nested_loop(spark):
+    p = plan(Q["span_in_window"](spark, SF_SMALL))
+    assert "NestedLoop" not in p and "Cartesian" not in p and "Python" not in p and "InPandas" not in p
+
+
+def test_log_softmax_stays_in_the_jvm(spark):
+    p = plan(Q["log_softmax"](spark, SF_SMALL))
+    assert "Python" not in p and "Arrow" not in p
 
 
 def test_dedupe_aggregates_map_side(spark):
@@ -64,13 +74,26 @@ def test_rounds_are_prefixes(spark):
     assert [x["rank"] for x in r] == list(range(1, len(r) + 1))
 
 
-def test_egalitarian_and_allocated_windows_are_limited(spark):
+def test_allocated_windows_are_limited(spark):
     assert "WindowGroupLimit" in plan(Q["select_allocated"](spark, SF_SMALL))
-    pool = fx.pool_df(spark, SF_SMALL)
-    sizes = pool.groupBy("language").count()
-    from pyspark.sql import Window
-    from pyspark.sql import functions as F
-    w = Window.partitionBy("language").orderBy(st.hash_key(42), "row_id")
-    ranked = pool.join(sizes, "language").withColumn("lrank", F.row_number().over(w))
-    cut = ranked.where((F.col("lrank") <= 9) & ((F.col("count") <= 3) | (F.col("lrank") <= 4)))
-    assert "WindowGroupLimit" in plan(cut)
+
+
+def test_egalitarian_takes_quotas_and_fills(spark):
+    """The operator itself: small languages whole, equal quotas, then the fill; the budget is met."""
+    from collections import Counter
+
+    rows = [(i, "a") for i in range(50)] + [(100 + i, "b") for i in range(3)] + [(200 + i, "c") for i in range(30)]
+    pool = spark.createDataFrame(rows, "row_id long, language string")
+    got = st.select_egalitarian(pool, st.empty_prev(spark), 21).orderBy("rank").collect()
+    lang = dict(rows)
+    n = Counter(lang[r.row_id] for r in got)
+    assert [r["rank"] for r in got] == list(range(1, 22)) and len({r.row_id for r in got}) == 21
+    assert n["b"] == 3 and n["a"] >= 7 and n["c"] >= 7
+
+
+def test_large_selections_are_ranked_without_a_single_task(spark, monkeypatch):
+    monkeypatch.setattr(st, "TOPN_DIRECT_MAX", 10)
+    pool = spark.range(500).select("id").withColumnRenamed("id", "row_id")
+    got = st.select_random(pool, st.empty_prev(spark), 900).orderBy("rank").collect()
+    assert [(r.row_id, r["rank"]) for r in got] == [(i, i + 1) for i in range(500)]
+    assert "SinglePartition" not in plan(st.select_random(pool, st.empty_prev(spark), 900)).split("numbered")[0]
