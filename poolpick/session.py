@@ -87,8 +87,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder."""
-    base = checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tables/{name}-{os.getpid()}-{next(_counter)}"
+    return f"{_tables(spark)}/{name}-{os.getpid()}-{next(_counter)}"
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this application; call it when no result is read any more."""
+    jvm, path = spark.sparkContext._jvm, _tables(spark)
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialise(df, name: str):
