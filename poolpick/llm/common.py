@@ -34,6 +34,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
+def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins an aggregate of ``rows`` back to them.
+
+    The keys' hash is a further key, so the aggregate's own partitioning does not serve the
+    join: both sides are dealt anew, and a key that many rows share can be split.
+    """
+    mark = "__join_back"
+    return rows.withColumn(mark, F.xxhash64(*keys)).join(groups.withColumn(mark, F.xxhash64(*keys)), [mark, *keys], how).drop(mark)
+
+
 def has(df: DataFrame) -> bool:
     return len(df.take(1)) > 0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolpick.llm.common import write_out
+from poolpick.llm.common import join_back, write_out
 
 EDGES_PER_TASK = 200_000
 
@@ -13,15 +13,15 @@ EDGES_PER_TASK = 200_000
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is tied to the least of its neighbourhood."""
     both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return join_back(both.where("v > u"), least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """Smaller neighbours of a node, and itself, are tied to the least of them (u > v throughout)."""
-    least = e.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), "m")
-    tied = e.join(least, F.col("u") == F.col("x")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return tied.unionByName(least.select(F.col("x").alias("u"), F.col("m").alias("v")))
+    least = e.groupBy("u").agg(F.min("v").alias("m"))
+    tied = join_back(e, least, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return tied.unionByName(least.select("u", F.col("m").alias("v")))
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolpick.llm.common import WORD, has, text_of, write_out
+from poolpick.llm.common import WORD, has, join_back, text_of, write_out
 
 MIN_WORDS = 50
 POS = ["doc_id", "dk", "idx"]
@@ -48,7 +48,7 @@ def line_table(docs: DataFrame) -> DataFrame:
 def _repeated(rows: DataFrame) -> DataFrame:
     """Rows whose name occurs at two positions or more."""
     twice = rows.groupBy(*NAME).agg(F.count("*").alias("c")).where("c > 1").select(*NAME)
-    return rows.join(twice, NAME, "left_semi").select(*POS, *NAME, "words")
+    return join_back(rows, twice, NAME, "left_semi").select(*POS, *NAME, "words")
 
 
 def doubling(lines: DataFrame) -> list[DataFrame]:
@@ -89,7 +89,7 @@ def repeated_runs(levels: list[DataFrame], min_words: int = MIN_WORDS) -> DataFr
         key = ["length", "gn", "gm", "bn", "bm"]
         parts = (rows.where("bn is not null").groupBy(*key).agg(F.count("*").alias("c"), F.min(F.struct(*POS)).alias("head"))
                  .where("c > 1").drop("c"))
-        marked = rows.join(parts, key, "left")  # rows without a part have no head
+        marked = join_back(rows, parts, key, "left")  # rows without a part have no head
         marked = write_out(marked.select(*fresh.columns, F.col("head").isNotNull().alias("more"),
                                          F.coalesce(F.struct(*POS).eqNullSafe(F.col("head")), F.lit(False)).alias("first")), f"runs_out_{size}")
         longer = marked.where("more").select(*POS, (F.col("length") + size).alias("length"), F.xxhash64("gn", "gm", "bn", "bm").alias("gn"),
