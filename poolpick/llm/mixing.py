@@ -201,7 +201,7 @@ def resample(docs: DataFrame) -> DataFrame:
 
     def taken(part):
         on = (keyed["__mix_key"] == part[keys[0]]) & keyed["doc_id"].eqNullSafe(part[keys[1]]) & keyed["source"].eqNullSafe(part[keys[2]])
-        return keyed.join(part, on)
+        return keyed.join(part.hint("merge"), on)  # the plan grows with the corpus
 
     plan = plan.where("__mix_n > 0")
     out = taken(plan.where("__mix_rows = 1"))
