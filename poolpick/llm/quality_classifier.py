@@ -31,6 +31,7 @@ from poolpick.llm.features import STATS, column_features, list_column, matrix_of
 
 ALPHA, GAMMA = 0.5, 0.02  # shrinkage to the pooled covariance, to a sphere
 D = len(STATS)
+SLICE_ROWS = 1_000
 SKEWED = [i for i, s in enumerate(STATS) if s.endswith("ratio")]
 #: below this share of digits, marks or repeats a ratio is told apart by its logarithm
 FLOOR = 0.01
@@ -149,8 +150,10 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     at = fields.index("text")
 
     def run(batches):
-        for b in batches:
-            _, stats = column_features(b.column(at))
-            yield b.filter(pa.array(probabilities(model, transform(stats)) >= 0.5))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, SLICE_ROWS):  # whole rows go out in small batches
+                b = whole.slice(lo, SLICE_ROWS)
+                _, stats = column_features(b.column(at))
+                yield b.filter(pa.array(probabilities(model, transform(stats)) >= 0.5))
 
     return docs.mapInArrow(run, docs.schema)
