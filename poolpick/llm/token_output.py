@@ -13,7 +13,10 @@ blocks with one vectorised pass (``pieces``), lets the library encode every
 distinct piece once, and lays the ids out by piece. Distinct pieces
 go to the library many at a time, joined at cuts that its own
 pre-tokenizer makes; an id's known byte length tells where a piece ends. A
-piece cache of bounded size lives as long as the Python worker.
+piece cache of bounded size lives as long as the Python worker. Texts that the
+pieces cannot stand for go to the library whole: those that hold an
+added token of the vocabulary (such as the end-of-text mark, one id), and those
+with a code point that Python's Unicode tables do not know and the library's may.
 
 Cases: a null or empty text is the end id alone; a null doc_id sorts first; rows
 with one doc_id stand next to each other, ordered by text digest; an
@@ -61,8 +64,35 @@ def _classes() -> np.ndarray:
     return _state["classes"]
 
 
-def pieces(data: np.ndarray, offs: np.ndarray) -> B.Spans:
-    """Byte spans of the pre-tokenizer's pieces.
+def _unknown() -> np.ndarray:
+    """Whether a code point is unassigned in Python's Unicode tables."""
+    if "unknown" not in _state:
+        _state["unknown"] = np.array([unicodedata.category(chr(cp)) == "Cn" for cp in range(sys.maxunicode + 1)])
+    return _state["unknown"]
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(byte place, code point) of each character of a block."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    if len(at) == len(data):
+        return at, data
+    return at, np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def holding(data: np.ndarray, offs: np.ndarray, token: bytes) -> np.ndarray:
+    """Whether each text of a block holds the bytes."""
+    raw, out = data.tobytes(), np.zeros(len(offs) - 1, bool)
+    at = raw.find(token)
+    while at >= 0:
+        doc = int(np.searchsorted(offs, at, "right")) - 1
+        inside = at + len(token) <= offs[doc + 1]  # else it is made by two neighbours
+        out[doc] |= inside
+        at = raw.find(token, int(offs[doc + 1]) if inside else at + 1)
+    return out
+
+
+def pieces(data: np.ndarray, offs: np.ndarray, at: np.ndarray, chars: np.ndarray) -> B.Spans:
+    """Byte spans of the pre-tokenizer's pieces. ``at``, ``chars``: the block's ``code_points``.
 
     A piece is a contraction; a run of letters, of numbers, or of other
     marks, with one blank before it; or white space without the blank that
@@ -70,12 +100,7 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> B.Spans:
     """
     if not len(data):
         return B.Spans(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offs), np.int64))
-    lead = (data & 0xC0) != 0x80
-    at = np.flatnonzero(lead)  # byte place of each character
-    if len(at) == len(data):
-        kind = _classes()[data]
-    else:
-        kind = _classes()[np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)]
+    kind = _classes()[chars]
     doc_first = np.zeros(len(at) + 1, bool)
     doc_first[np.searchsorted(at, offs)] = True  # also the end of the block
     n = len(at)
@@ -115,7 +140,7 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> B.Spans:
 
 
 class PieceEncoder:
-    """Ids of pieces by the tokenizers library, each distinct piece once."""
+    """Ids of texts by the tokenizers library, each distinct piece once."""
 
     def __init__(self, path: str):
         import os
@@ -123,7 +148,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True
+        self.added = [t.content.encode() for t in self.lib.get_added_tokens_decoder().values()]
         vocab = self.lib.get_vocab(with_added_tokens=False)
         # one character of the byte-level alphabet stands for one byte
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -161,9 +186,30 @@ class PieceEncoder:
                     found[i], counts[i] = part, len(part)
         return (np.concatenate(found) if found else np.zeros(0, np.int32)), counts
 
-    def encode(self, data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, id offsets per document) of a block, without end ids."""
-        sp = pieces(data, offs)
+    def encode(self, data: np.ndarray, offs: np.ndarray, added: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, id offsets per document) of a block, without end ids. ``added``: whether added tokens are ids or plain text."""
+        place, chars = code_points(data)
+        whole = np.zeros(len(offs) - 1, bool)
+        if len(place) < len(data):
+            whole[np.searchsorted(offs, place[_unknown()[chars]], "right") - 1] = True
+        for token in self.added if added else ():
+            whole |= holding(data, offs, token)
+        self.lib.encode_special_tokens = not added
+        if not whole.any():
+            return self.encode_pieces(data, offs, place, chars)
+        raw, size = data.tobytes(), np.diff(offs)
+        own = [np.array(self.lib.encode(raw[offs[d]:offs[d + 1]].decode("utf-8", "replace"), add_special_tokens=False).ids, np.int32)
+               for d in np.flatnonzero(whole)]
+        rest = data[np.repeat(~whole, size)]
+        ids, at = self.encode_pieces(rest, np.concatenate([[0], np.cumsum(np.where(whole, 0, size))]), *code_points(rest))
+        counts = np.diff(at)
+        counts[whole] = [len(x) for x in own]
+        ids = np.insert(ids, np.repeat(at[:-1][whole], counts[whole]), np.concatenate(own))
+        return ids, np.concatenate([[0], np.cumsum(counts)])
+
+    def encode_pieces(self, data: np.ndarray, offs: np.ndarray, place: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, id offsets per document) of texts that are cut into pieces."""
+        sp = pieces(data, offs, place, chars)
         names = B.span_hashes(B.prefix_sums(data), sp.starts, sp.ends)
         raw = data.tobytes()
         ids, upto = self.memo.lay_out(names, lambda at: self.encode_new([raw[sp.starts[w]:sp.ends[w]] for w in at]))
@@ -177,12 +223,16 @@ def encoder(path: str) -> PieceEncoder:
     return _state["encoder", path]
 
 
-def encode_column(column, path: str, end_id: int | None = END_ID):
-    """Blocks of (first row, last row, ids, offsets) of a text column, end ids appended."""
+def encode_column(column, path: str, end_id: int | None = END_ID, added: bool = False):
+    """Blocks of (first row, last row, ids, offsets) of a text column, end ids appended.
+
+    ``added`` reads the vocabulary's added tokens as their ids, which is the library's
+    default and what ``write_tokens`` stores; without it they are plain text.
+    """
     enc = encoder(path)
     data, offs = B.column_bytes(column)
     for lo, hi, d, o in B.blocks(data, offs):
-        ids, at = enc.encode(d, o)
+        ids, at = enc.encode(d, o, added)
         if end_id is not None:
             ids = np.insert(ids, at[1:], end_id)
             at = at + np.arange(len(at))
@@ -193,7 +243,7 @@ def _writer(path: str, end_id: int):
     def run(batches):
         done = 0
         for b in batches:
-            for lo, hi, ids, at in encode_column(b.column(1), path, end_id):
+            for lo, hi, ids, at in encode_column(b.column(1), path, end_id, added=True):
                 out = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(at[:-1] + done), out], ["doc_id", "first", "ids"])
                 done += int(at[-1])

@@ -123,3 +123,30 @@ def test_bloom_filter_is_in_the_files(spark, tmp_path):
     TO.write_tokens(df, str(tmp_path / "t"), vocabulary("byte_bpe_50k.json"))
     files = list((tmp_path / "t").glob("*.orc"))
     assert files and all(orc.ORCFile(f).nstripes >= 1 for f in files)
+
+
+ODD = ["<|endoftext|>", "<|endoftext", "|>", "\u1c89", "\U00010d40", "\ua7cb's", "\u0378", "one", " two", " ", "'s", "\n", "é", "中", "!", "7"]
+
+
+def test_added_tokens_and_unknown_code_points_equal_the_default_library(spark, tmp_path):
+    """Texts that the pieces cannot stand for: the plain call of a default tokenizer decides, in blocks and in the files."""
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    lib = Tokenizer.from_file(path)
+    rng = random.Random(9)
+    ts = ["one <|endoftext|> two", "<|endoftext|>", "", "\u1c89's", "\ua7cb'll", "a<|endoftext|><|endoftext|>'s", "one <|endof", "text|> two", "plain text"]
+    ts += ["".join(rng.choice(ODD) for _ in range(rng.randrange(12))) for _ in range(600)] + ["", "<|endoftext|>"]
+    want = [e.ids for e in lib.encode_batch(ts, add_special_tokens=False)]
+    assert want[0] == [505, 220, 50256, 734]
+    got = []
+    for _, _, ids, at in TO.encode_column(pa.array(ts), path, None, added=True):
+        got += [ids[s:e].tolist() for s, e in zip(at[:-1], at[1:])]
+    assert got == want
+    TO.write_tokens(spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(ts)], DOCS), str(tmp_path / "t"), path)
+    rows = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in TO.document_digests(TO.read_tokens(spark, str(tmp_path / "t"))).collect())
+    start = 0
+    for (i, first, n, crc), ids in zip(rows, want):
+        stored = np.array(ids + [TO.END_ID], "<u4")
+        assert (first, n, crc) == (start, len(stored), zlib.crc32(stored.tobytes())), ts[i]
+        start += n
