@@ -23,8 +23,8 @@ def lines(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8)."""
-    return near_dedup.keep_one(docs, k=5)
+    """Keeps one document of each group of near copies (five-word shingles, similarity 0.8); one doc_id may stand for several texts."""
+    return near_dedup.keep_texts(docs, k=5)
 
 
 def mix(spark, docs, sf_dir):

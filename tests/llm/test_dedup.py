@@ -147,3 +147,25 @@ def test_components(spark):
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     loops = {a for a, b in edges if a == b} - set(got)
     assert got == {n: find(n) for n in root if n not in loops}
+
+
+def test_pipeline_near_keeps_other_texts_of_one_id(spark, edge_docs, no_docs):
+    import corpus_pipeline as P
+
+    rng = random.Random(21)
+    a, b, c, d = (words(rng, 120, 3000) for _ in range(4))
+    near_a, near_b = a + " more", b + " more"
+    # 7 stands for b and for a copy of a (kept under 1); 3 for a repeated row; 9 for near copies of each other; 20 is a copy of the text that 7 keeps
+    rows = [(1, a), (7, b), (7, near_a), (3, c), (3, c), (9, d), (9, d + " more"), (20, near_b), (-4, "short one"), (-4, "another"), (30, "last text"), (None, a)]
+    df = spark.createDataFrame([(i, t, "en", "x", 0) for i, t in rows], DOCS)
+    got = Counter((r.doc_id, r.text) for r in P.near(spark, df.repartition(4), None).collect())
+    nines = [k for k in got if k[0] == 9]
+    assert len(nines) == 1 and got[nines[0]] == 1
+    assert {k: n for k, n in got.items() if k[0] != 9} == {k: 1 for k in [(1, a), (7, b), (3, c), (-4, "short one"), (-4, "another"), (30, "last text"), (None, a)]}
+    for layout in (1, 3):  # the same rows in any layout
+        assert Counter((r.doc_id, r.text) for r in P.near(spark, df.repartition(layout), None).collect()) == got
+    out = P.near(spark, edge_docs, None)
+    assert out.columns == edge_docs.columns
+    n = Counter(r.doc_id for r in out.collect())
+    assert n[6] == 2 and 5 not in n and n[4] == 1 and n[None] == edge_docs.where("doc_id IS NULL").count()
+    assert P.near(spark, no_docs, None).count() == 0
