@@ -66,12 +66,68 @@ SENTENCES = {
            "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "CB": ["Licensed under CC BY 4.0", "Released under CC BY 4.0", "This work is licensed under CC BY 4.0",
            "This work is licensed under a Creative Commons Attribution 4.0 International License"],
+    # letter and digit, with letters that end no other identifier: no two neighbours read as one of these
+    "D2": ["This work is licensed under the GNU General Public License, version 2", "Licensed under the GNU General Public License, version 2",
+           "Released under the GNU General Public License, version 2"],
+    "E3": ["Licensed under the GNU Lesser General Public License, version 3", "Released under the GNU Lesser General Public License, version 3",
+           "This work is licensed under the GNU Lesser General Public License, version 3"],
+    "E2": ["Licensed under the GNU Lesser General Public License, version 2.1", "Released under the GNU Lesser General Public License, version 2.1",
+           "This work is licensed under the GNU Lesser General Public License, version 2.1"],
+    "E0": ["This library is free software"],
+    "E5": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+           "Foundation, either version 2.1 of the License, or (at your option) any later version"],
+    "E6": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software "
+           "Foundation, either version 3 of the License, or (at your option) any later version"],
+    "H0": ["Licensed under the GNU Affero General Public License, version 3", "Released under the GNU Affero General Public License, version 3",
+           "This work is licensed under the GNU Affero General Public License, version 3"],
+    "H3": ["you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software "
+           "Foundation, either version 3 of the License, or (at your option) any later version"],
+    "P0": ["Licensed under the Mozilla Public License, version 2.0",
+           "Released under the Mozilla Public License, version 2.0", "This work is licensed under the Mozilla Public License, version 2.0"],
+    "P1": ["This Source Code Form is subject to the terms of the Mozilla Public License, v"],
+    "K1": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+           "the above copyright notice and this permission notice appear in all copies",
+           "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that "
+           "the above copyright notice and this permission notice appear in all copies"],
+    "K0": ["Licensed under the ISC License", "Released under the ISC License", "This work is licensed under the ISC License"],
+    "Z1": ["This software is provided 'as-is', without any express or implied warranty"],
+    "Z2": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+           "redistribute it freely, subject to the following restrictions"],
+    "Z0": ["Licensed under the zlib License", "Released under the zlib License", "This work is licensed under the zlib License"],
+    "J1": ["This is free and unencumbered software released into the public domain"],
+    "J0": ["Licensed under the Unlicense", "Released under the Unlicense", "This work is licensed under the Unlicense"],
+    "Q0": ["Licensed under CC0 1.0", "Released under CC0 1.0", "This work is licensed under CC0 1.0",
+           "This work is licensed under a Creative Commons CC0 1.0 Universal License"],
+    "R0": ["Licensed under CC BY-SA 4.0", "Released under CC BY-SA 4.0", "This work is licensed under CC BY-SA 4.0",
+           "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "T0": ["Licensed under CC BY-ND 4.0", "Released under CC BY-ND 4.0", "This work is licensed under CC BY-ND 4.0",
+           "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"],
     # names count only behind SPDX-License-Identifier, so they have small letters and are no sentences of n_known
     "SI": ["SPDX-License-Identifier"],
     "na": ["Apache-2.0"],
     "nm": ["MIT"],
     "nb": ["BSD-3-Clause"],
     "ng": ["GPL-3.0-or-later", "GPL-3.0-only"],
+    "nw": ["GPL-3.0"],
+    "vb": ["2.0"],  # behind P1, whose "v." ends a sentence
+    "nc": ["BSD-2-Clause"],
+    "nd": ["GPL-2.0-only", "GPL-2.0"],
+    "ne": ["GPL-2.0-or-later"],
+    "nf": ["LGPL-2.1-only", "LGPL-2.1"],
+    "nh": ["LGPL-2.1-or-later"],
+    "ni": ["LGPL-3.0-only", "LGPL-3.0"],
+    "nj": ["LGPL-3.0-or-later"],
+    "nk": ["AGPL-3.0-only", "AGPL-3.0"],
+    "nl": ["AGPL-3.0-or-later"],
+    "nn": ["MPL-2.0"],
+    "no": ["ISC"],
+    "np": ["Zlib"],
+    "nq": ["Unlicense"],
+    "nr": ["CC0-1.0"],
+    "ns": ["CC-BY-4.0"],
+    "nt": ["CC-BY-SA-4.0"],
+    "nu": ["CC-BY-ND-4.0"],
+    "nv": ["CC-BY-NC-4.0"],
 }
 #: ordered rules: identifier sequence -> licence
 RULES = [
@@ -86,12 +142,51 @@ RULES = [
     (["SI", "nm"], "MIT"),
     (["SI", "nb"], "BSD-3-Clause"),
     (["SI", "ng"], "GPL-3.0"),
+    (["GF", "H3"], "AGPL-3.0-or-later"),
+    (["E0", "E5"], "LGPL-2.1-or-later"),
+    (["E0", "E6"], "LGPL-3.0-or-later"),
+    (["GF", "E5"], "LGPL-2.1-or-later"),
+    (["GF", "E6"], "LGPL-3.0-or-later"),
+    (["Z1", "Z2"], "Zlib"),
+    (["P1", "vb"], "MPL-2.0"),
+    (["SI", "nw"], "GPL-3.0"),
+    (["SI", "nc"], "BSD-2-Clause"),
+    (["SI", "nd"], "GPL-2.0"),
+    (["SI", "ne"], "GPL-2.0-or-later"),
+    (["SI", "nf"], "LGPL-2.1"),
+    (["SI", "nh"], "LGPL-2.1-or-later"),
+    (["SI", "ni"], "LGPL-3.0"),
+    (["SI", "nj"], "LGPL-3.0-or-later"),
+    (["SI", "nk"], "AGPL-3.0"),
+    (["SI", "nl"], "AGPL-3.0-or-later"),
+    (["SI", "nn"], "MPL-2.0"),
+    (["SI", "no"], "ISC"),
+    (["SI", "np"], "Zlib"),
+    (["SI", "nq"], "Unlicense"),
+    (["SI", "nr"], "CC0-1.0"),
+    (["SI", "ns"], "CC-BY-4.0"),
+    (["SI", "nt"], "CC-BY-SA-4.0"),
+    (["SI", "nu"], "CC-BY-ND-4.0"),
+    (["SI", "nv"], "CC-BY-NC-4.0"),
     (["MG", "MN"], "MIT"),
     (["AS"], "Apache-2.0"),
     (["MS"], "MIT"),
     (["GS"], "GPL-3.0"),
     (["CN"], "CC-BY-NC-4.0"),
     (["CB"], "CC-BY-4.0"),
+    (["D2"], "GPL-2.0"),
+    (["E3"], "LGPL-3.0"),
+    (["E2"], "LGPL-2.1"),
+    (["H0"], "AGPL-3.0"),
+    (["P0"], "MPL-2.0"),
+    (["K1"], "ISC"),
+    (["K0"], "ISC"),
+    (["Z0"], "Zlib"),
+    (["J1"], "Unlicense"),
+    (["J0"], "Unlicense"),
+    (["Q0"], "CC0-1.0"),
+    (["R0"], "CC-BY-SA-4.0"),
+    (["T0"], "CC-BY-ND-4.0"),
 ]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD, CUT = "[^a-z0-9]+", "([.!?;:])[ \\t\\r\\n]+"

@@ -70,3 +70,34 @@ def test_markov_adds_random_runs_and_leaves_identifiers(markov_case):
     assert markov_case[5000].spans == "markov:4:34" and markov_case[5000].n_hex == 0
     assert markov_case[5001].spans == "" and markov_case[1000].n_markov == 0
     assert markov_case[0].spans == "assign:0:49,hex:9:49"  # the base spans stay
+
+
+def test_further_licence_families(spark):
+    spdx = {"BSD-2-Clause": "BSD-2-Clause", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0-or-later", "GPL-3.0": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1",
+            "LGPL-2.1-or-later": "LGPL-2.1-or-later", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0-or-later", "AGPL-3.0-only": "AGPL-3.0",
+            "AGPL-3.0-or-later": "AGPL-3.0-or-later", "MPL-2.0": "MPL-2.0", "ISC": "ISC", "Zlib": "Zlib", "Unlicense": "Unlicense", "CC0-1.0": "CC0-1.0",
+            "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-ND-4.0": "CC-BY-ND-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0"}
+    cases = [(f"/* SPDX-License-Identifier: {k} */\ncode", v) for k, v in spdx.items()]
+    later = " of the License, or (at your option) any later version."
+    gnu = "you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by\nthe Free Software Foundation, either version {}"
+    cases += [
+        ("Licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Released under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        ("This library is free software; " + gnu.format("Lesser", "2.1") + later, "LGPL-2.1-or-later"),
+        ("This program is free software: " + gnu.format("Lesser", "3") + later, "LGPL-3.0-or-later"),
+        ("This program is free software: " + gnu.format("Affero", "3") + later, "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed.", "MPL-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+         "copyright notice and this permission notice appear in all copies.", "ISC"),
+        ("This software is provided 'as-is', without any express or implied\nwarranty. In no event will the authors be held liable for any damages.\n\n"
+         "Permission is granted to anyone to use this software for any purpose,\nincluding commercial applications, and to alter it and redistribute it\n"
+         "freely, subject to the following restrictions:", "Zlib"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("This work is licensed under CC0 1.0.", "CC0-1.0"), ("Text. Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", "CC-BY-ND-4.0"),
+        ("Version 2.0. ISC. The zlib license is short.", "")]
+    df = spark.createDataFrame([(i, t, None, None, None) for i, (t, _) in enumerate(cases)], DOCS)
+    got = {r.doc_id: (r.licenses, r.n_matches) for r in license_scan.scan(df).collect()}
+    assert got == {i: (want, int(want != "")) for i, (_, want) in enumerate(cases)}
+    codes = list(license_scan.SENTENCES)
+    assert all(len(c) == 2 for c in codes)
