@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from poolpick.llm import (license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, token_output,
-                          topk_search)
+from poolpick.llm import (centroid_clustering, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sql, token_output,
+                          topk_search, vector_codes)
 from poolpick.llm.common import fresh_path, table
 
 
@@ -77,8 +77,22 @@ def op10_topk_search(spark, sf_dir):
     return topk_search.top_k(rows.where("vec_id % 50 = 0"), rows)
 
 
+@query
+def op11_centroid_clustering(spark, sf_dir):
+    return centroid_clustering.cluster(centroid_clustering.kept_vectors(table(spark, sf_dir, "embeddings")))
+
+
+@query
+def op12_vector_codes(spark, sf_dir):
+    return vector_codes.encode(table(spark, sf_dir, "embeddings"))
+
+
 ORACLES["op1_license_scan"] = license_scan.oracle()
 
+ORACLES["op11_centroid_clustering"] = sql.clustering_sql()
+
+ORACLES["op12_vector_codes"] = sql.codes_sql()
+
 ORACLES["op10_topk_search"] = """
 WITH q AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v

@@ -30,8 +30,14 @@ def write_out(df: DataFrame, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new folder below the shared one."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
+    """A new folder among this application's tables in the shared one (``session.drop_tables`` deletes them)."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Deletes an intermediate table that no later step reads."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def join_back(rows: DataFrame, groups: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
