@@ -4,11 +4,12 @@ A column is walked in blocks of whole documents of about ``BLOCK_BYTES``,
 so a task's memory follows the block (or its longest document), not the
 batch. Words are maximal runs of bytes outside ``\\x20\\x09-\\x0D``; that class is
 ASCII, so cutting UTF-8 at byte level is exact. Words and lines are named
-by 64-bit polynomial hashes (prefix sums times inverse powers, then mixed).
+by keyed 64-bit hashes of their 8-byte chunks (``span_hashes``).
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,6 +20,8 @@ BLOCK_BYTES = 1 << 20
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _pw = {"n": 0, "p": None, "i": None}
+_OWN_SEED = int.from_bytes(os.urandom(7), "little")
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -118,18 +121,35 @@ def lines(data: np.ndarray, offs: np.ndarray) -> Spans:
     return Spans(starts, ends, loffs)
 
 
-def prefix_sums(data: np.ndarray) -> np.ndarray:
-    pw, _ = _powers(len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * pw[:len(data)], out=sums[1:])
-    return sums
-
-
-def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit names of byte spans: equal bytes, equal name."""
-    _, inv = _powers(len(sums))
-    h = (sums[ends] - sums[starts]) * inv[starts]
-    return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def new_seed() -> int:
+    """A key for names that tasks of one run share: draw it on the driver."""
+    return int.from_bytes(os.urandom(7), "little")
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int | None = None) -> np.ndarray:
+    """64-bit names of byte spans: equal bytes, equal name.
+
+    The sum of a span's 8-byte chunks, each mixed under a key of its place, mixed with the length.
+    Mixing is not linear and the keys are secret (``seed``; without one, the
+    process's own), so no pattern of letters makes names collide, and nobody can prepare texts that do.
+    """
+    key = np.uint64(_OWN_SEED if seed is None else seed)
+    size = ends - starts
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[:len(data)] = data
+    chunk = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the 8 bytes from every place
+    with np.errstate(over="ignore"):
+        out = mix((chunk[starts] & _LOW_BYTES[np.minimum(size, 8)]) ^ key)
+        long = np.flatnonzero(size > 8)
+        if len(long):
+            more = (size[long] - 1) >> 3
+            upto = np.cumsum(more) - more
+            place = np.arange(more.sum()) - np.repeat(upto, more) + 1
+            left = np.repeat(size[long], more) - 8 * place
+            w = chunk[np.repeat(starts[long], more) + 8 * place] & _LOW_BYTES[np.minimum(left, 8)]
+            w ^= mix(place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + key)
+            out[long] += np.add.reduceat(mix(w), upto)
+        return mix(out ^ (size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + key))
 
 
 def in_doc(docs: np.ndarray, names: np.ndarray) -> np.ndarray:

@@ -40,8 +40,7 @@ def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     """(counts, stats) with one row per document of the block."""
     n = len(offs) - 1
     w = B.words(data, offs)
-    sums = B.prefix_sums(data)
-    names = B.span_hashes(sums, w.starts, w.ends)
+    names = B.span_hashes(data, w.starts, w.ends)
     docs, nw = w.docs, w.counts
     inner = np.flatnonzero(INNER[data])
     wlen = w.ends - w.starts - (np.searchsorted(inner, w.ends) - np.searchsorted(inner, w.starts))
@@ -51,7 +50,7 @@ def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     wordy = np.searchsorted(w.starts, ls.ends) > np.searchsorted(w.starts, ls.starts)
     at = np.flatnonzero(wordy)
     ldocs = ls.docs[at]
-    fresh = B.first_seen(ldocs, B.span_hashes(sums, ls.starts[at], ls.ends[at]))
+    fresh = B.first_seen(ldocs, B.span_hashes(data, ls.starts[at], ls.ends[at]))
     n_lines = np.bincount(ldocs, minlength=n)
     dup_lines = np.bincount(ldocs[~fresh], minlength=n)
 
@@ -72,7 +71,7 @@ def block_features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     repeat = np.bincount(docs[np.cumsum(cover)[:-1] > 0], minlength=n)
 
     counts = np.stack([nw, B.per_doc(wlen, w.offs), total(SYMBOL), dup_lines, repeat], 1).astype(np.int64)
-    lower = B.span_hashes(B.prefix_sums(B.LOWER[data]), w.starts, w.ends)
+    lower = B.span_hashes(B.LOWER[data], w.starts, w.ends)
     distinct = np.bincount(docs[B.first_seen(docs, lower)], minlength=n)
     chars = np.maximum(counts[:, 1], 1).astype(float)
     nwf, nlf = np.maximum(nw, 1).astype(float), np.maximum(n_lines, 1).astype(float)

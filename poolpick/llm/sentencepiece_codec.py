@@ -275,7 +275,7 @@ class Vocabulary:
         start[offs[:-1][full]] = True
         starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        names = B.span_hashes(B.prefix_sums(data), starts, ends)
+        names = B.span_hashes(data, starts, ends)
         raw = data.tobytes()
         make = lambda at: self.encode_words([raw[starts[w]:ends[w]].decode("utf-8", "surrogatepass").replace(" ", "▁") for w in at])
         ids, upto = self.memo.lay_out(names, make)

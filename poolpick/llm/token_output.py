@@ -210,7 +210,7 @@ class PieceEncoder:
     def encode_pieces(self, data: np.ndarray, offs: np.ndarray, place: np.ndarray, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets per document) of texts that are cut into pieces."""
         sp = pieces(data, offs, place, chars)
-        names = B.span_hashes(B.prefix_sums(data), sp.starts, sp.ends)
+        names = B.span_hashes(data, sp.starts, sp.ends)
         raw = data.tobytes()
         ids, upto = self.memo.lay_out(names, lambda at: self.encode_new([raw[sp.starts[w]:sp.ends[w]] for w in at]))
         return ids, upto[sp.offs]

@@ -169,3 +169,11 @@ def test_pipeline_near_keeps_other_texts_of_one_id(spark, edge_docs, no_docs):
     n = Counter(r.doc_id for r in out.collect())
     assert n[6] == 2 and 5 not in n and n[4] == 1 and n[None] == edge_docs.where("doc_id IS NULL").count()
     assert P.near(spark, no_docs, None).count() == 0
+
+
+def test_patterned_words_are_no_near_copies(spark):
+    from .test_text_kernels import thue_morse
+
+    rows = [(2 * j + i, f"{w} one two") for j, n in enumerate((1024, 2048, 16384)) for i, w in enumerate(thue_morse(n))]
+    got = N.link(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS), 2).collect()
+    assert all(r.kept and r.component_id == r.doc_id and r.n_shingles == 2 for r in got)

@@ -150,3 +150,18 @@ def test_added_tokens_and_unknown_code_points_equal_the_default_library(spark, t
         stored = np.array(ids + [TO.END_ID], "<u4")
         assert (first, n, crc) == (start, len(stored), zlib.crc32(stored.tobytes())), ts[i]
         start += n
+
+
+def test_patterned_words_keep_their_own_ids():
+    """Words that polynomial names modulo 2^64 confuse: the second one must not get the first one's ids."""
+    from tokenizers import Tokenizer
+
+    from .test_text_kernels import thue_morse
+
+    ts = [w for n in (1024, 2048, 4096, 16384) for w in thue_morse(n)]
+    path = vocabulary("byte_bpe_50k.json")
+    got = [ids[s:e].tolist() for _, _, ids, at in TO.encode_column(pa.array(ts), path, None) for s, e in zip(at[:-1], at[1:])]
+    assert got == [e.ids for e in Tokenizer.from_file(path).encode_batch(ts, add_special_tokens=False)]
+    model = vocabulary("piece_bpe_32k.model")
+    ids, back = encode(S.Vocabulary(open(model, "rb").read()), ts)
+    assert back == ts and ids == sp.SentencePieceProcessor(model_file=model).encode(ts)
