@@ -158,9 +158,9 @@ def _state_rows(key, code, cluster) -> pa.RecordBatch:
 
 def _sum_rows(sums: _Sums) -> pa.RecordBatch:
     """Rows without a key: a task's sums travel beside its state, so one pass and one written table serve both."""
-    k = len(sums.n)
-    return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(np.arange(k, dtype=np.int32)), pa.array(sums.n),
-                                       pa.array(sums.v.tolist(), pa.list_(pa.int64()))], ["key", "code", "cluster", "n", "sums"])
+    c = np.flatnonzero((sums.n != 0) | (sums.v != 0).any(1))
+    return pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.int64()), pa.nulls(len(c), pa.binary()), pa.array(c.astype(np.int32)), pa.array(sums.n[c]),
+                                       pa.array(sums.v[c].tolist(), pa.list_(pa.int64()))], ["key", "code", "cluster", "n", "sums"])
 
 
 def _first_round(full: DataFrame, cells: Cells, centroids: np.ndarray) -> DataFrame:
@@ -214,7 +214,7 @@ def _fetch(due: DataFrame, full: DataFrame, centroids: np.ndarray) -> DataFrame:
 
 def _moved(sums: dict, rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
     """Adds a round's changes to ``sums`` (cluster -> [count, vector]); the new centroids."""
-    for (c,), (n, v) in summed(rows, ["cluster"], "sums", "n").items():
+    for (c,), (n, v) in summed(rows, ["cluster"], "sums", "n", centroids.shape[1]).items():
         sums[c] = [sums[c][0] + n, [a + b for a, b in zip(sums[c][1], v)]]
     return np.array([[x // n for x in v] if n else centroids[c].tolist() for c, (n, v) in sorted(sums.items())], np.int64)
 

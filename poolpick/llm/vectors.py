@@ -60,9 +60,7 @@ def paired_sq_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", d, d)
 
 
-def summed(rows: DataFrame, keys: list[str], sums: str, count: str) -> dict[tuple, tuple[int, list[int]]]:
+def summed(rows: DataFrame, keys: list[str], sums: str, count: str, width: int) -> dict[tuple, tuple[int, list[int]]]:
     """key -> (count, summed vector) of partial rows; as many entries as there are centroids."""
-    total = rows.groupBy(*keys).agg(F.sum(count).alias("c"))
-    places = (rows.select(*keys, F.posexplode(sums).alias("place", "x")).groupBy(*keys, "place").agg(F.sum("x").alias("x"))
-              .groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("v")))
-    return {tuple(r[k] for k in keys): (r["c"], r["v"]) for r in total.join(places, keys).collect()}
+    total = rows.groupBy(*keys).agg(F.sum(count).alias("c"), F.array(*[F.sum(F.col(sums)[i]) for i in range(width)]).alias("v"))
+    return {tuple(r[k] for k in keys): (r["c"], r["v"]) for r in total.collect()}
