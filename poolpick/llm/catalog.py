@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from poolpick.llm import (centroid_clustering, license_scan, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sql, token_output,
+from poolpick.llm import (centroid_clustering, license_scan, line_dedup, mixing, near_dedup, ngram_join, quality_classifier, quality_rules, secret_scan, sentencepiece_codec, sql, token_output,
                           topk_search, vector_codes)
 from poolpick.llm.common import fresh_path, table
 
@@ -87,8 +87,17 @@ def op12_vector_codes(spark, sf_dir):
     return vector_codes.encode(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op13_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 ORACLES["op1_license_scan"] = license_scan.oracle()
 
+ORACLES["op5_near_dedup"] = sql.jaccard_sql(2, near_dedup.PERCENT, kept=True)
+
+ORACLES["op13_ngram_join"] = sql.jaccard_sql(ngram_join.K, ngram_join.PERCENT)
+
 ORACLES["op11_centroid_clustering"] = sql.clustering_sql()
 
 ORACLES["op12_vector_codes"] = sql.codes_sql()
