@@ -6,7 +6,7 @@ need(a, b) = ceil(P (a + b) / (100 + P)), so sizes must stand P : 100 and the sy
 difference is at most a + b - 2 need(a, b).
 
 1. **Order of columns.** All documents add their n-grams to 2^20 counters (a fixed table
-   of one byte each, the only thing that is broadcast). Columns are ordered by counter,
+   of one byte each, which is broadcast). Columns are ordered by counter,
    then name: rare n-grams first. The order decides the work, never the result.
 2. **Candidate columns.** A linked pair shares a column among the first
    n - ceil(P n / 100) + 1 of either row. Only those entries are dealt by column; entries
@@ -19,7 +19,7 @@ difference is at most a + b - 2 need(a, b).
    blocks whose sizes fit meet. A task returns a spanning forest of the pairs that remain, never the pairs.
 4. **Product.** The forests' components are families. A family's texts are cut up again, and
    overlaps are accumulated over blocks of columns (columns with the same rows are one,
-   weighted); a row whose pairs all fell below their bounds leaves before the next block. Families
+   weighted; a broadcast table of 2^25 bits keeps most other texts out of the shuffle); a row whose pairs all fell below their bounds leaves before the next block. Families
    above ``FAMILY`` rows are chunks that share pivots; rows that this leaves outside a
    family's largest part are then multiplied with all its chunks, block by block.
 5. Components of the linked pairs give the result.
@@ -36,6 +36,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,9 +47,10 @@ from poolpick.llm.graph import components
 
 K, PERCENT = 3, 90
 COUNTERS, SLICES = 1 << 20, 64
-CELL = 2048                         # rows of one block of a column
+CELL = 1024                         # rows of one block of a column
 FAMILY, GRAMS = 128, 2_000_000      # rows and n-grams of one product
 PIVOTS, LEFT = 4, 64
+MARKS = 1 << 25                     # bits that tell which texts the products may need
 LEAST_BITS, MOST_BITS = 64, 8192    # parity bits of a set: about half its size
 
 
@@ -401,9 +403,45 @@ def product(grams: np.ndarray, at: np.ndarray, percent: int, columns: int = 16_3
     return np.nonzero(open_ & (over >= least))
 
 
-def _members(docs: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
+def _marks(wanted: DataFrame) -> bytes:
+    """A bit for the hash of every wanted rep: ``MARKS`` bits, however many there are."""
+    step = MARKS // SLICES
+
+    def mark(batches):
+        bits = np.zeros(MARKS, bool)
+        for b in batches:
+            bits[np.asarray(b.column(0)) & (MARKS - 1)] = True
+        if bits.any():
+            packed = [zlib.compress(np.packbits(bits[i * step:(i + 1) * step]).tobytes(), 1) for i in range(SLICES)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(packed, pa.binary())], ["slice", "bits"])
+
+    def unite(key, tables):
+        total = np.zeros(step // 8, np.uint8)
+        for t in tables:
+            for packed in t.column(1).to_pylist():
+                total |= np.frombuffer(zlib.decompress(packed), np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "bits"])
+
+    parts = wanted.select(F.xxhash64("rep").alias("h")).mapInArrow(mark, "slice int, bits binary")
+    rows = parts.groupBy("slice").applyInArrow(_streamed(unite), "slice int, bits binary").collect()
+    return b"".join(zlib.decompress(r["bits"]) for r in sorted(rows))
+
+
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """rep, text of the documents whose id may be wanted: others stay out of the join's shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted))  # MARKS / 8 bytes
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        at = h.to_numpy() & (MARKS - 1)
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
+
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text")
+    return named.where(marked(F.xxhash64("rep")))
+
+
+def _members(texts: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
     """``members`` (rep, sig, keys, ...) with the whole text of each; rows of the id with another text drop out in the product."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text")
     return members.hint("merge").join(texts, "rep").select(*keys, "rep", "sig", "text")
 
 
@@ -435,8 +473,8 @@ def _multiply(k: int, percent: int, seed: int, keys: int):
     return run
 
 
-def _products(docs: DataFrame, cells: DataFrame, keys: list[str], k: int, percent: int, seed: int) -> DataFrame:
-    return _members(docs, cells, keys).groupBy(*keys).applyInArrow(_multiply(k, percent, seed, len(keys)), "u long, v long")
+def _products(texts: DataFrame, cells: DataFrame, keys: list[str], k: int, percent: int, seed: int) -> DataFrame:
+    return _members(texts, cells, keys).groupBy(*keys).applyInArrow(_multiply(k, percent, seed, len(keys)), "u long, v long")
 
 
 def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, seed: int, family: int = FAMILY, grams: int = GRAMS) -> DataFrame | None:
@@ -448,12 +486,13 @@ def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, seed: int,
     chunk = F.pmod(F.xxhash64("sig"), F.col("chunks"))
     placed = write_out(members.join(sizes.select("fam", "chunks"), "fam").withColumn("chunk", chunk), "family_members")
     big = sizes.where("chunks > 1")
+    texts = _texts(docs, placed)
     cells, some_big = placed.select("fam", "chunk", "rep", "sig"), has(big)
     if some_big:
         heads = big.select("fam", "chunks", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
         cells = cells.unionByName(heads.select("fam", every, F.col("p.rep").alias("rep"), F.col("p.sig").alias("sig"))).distinct()
-    links = write_out(_products(docs, cells, ["fam", "chunk"], k, percent, seed), "links")
+    links = write_out(_products(texts, cells, ["fam", "chunk"], k, percent, seed), "links")
     if not some_big:
         return links if has(links) else None
     found = write_out(components(links), "parts")
@@ -469,7 +508,7 @@ def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, seed: int,
     outside = (some.where("part <> main").withColumn("block", F.pmod(F.xxhash64("sig", F.lit("left")), F.col("blocks")))
                .select("fam", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "rep", "sig"))
     all_ = some.select("fam", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk", "rep", "sig")
-    more = write_out(_products(docs, outside.unionByName(all_).distinct(), ["fam", "block", "chunk"], k, percent, seed), "links_left")
+    more = write_out(_products(texts, outside.unionByName(all_).distinct(), ["fam", "block", "chunk"], k, percent, seed), "links_left")
     return links.unionByName(more)
 
 
