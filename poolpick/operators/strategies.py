@@ -117,8 +117,8 @@ def select_average_dist(pool: DataFrame, target: DataFrame, prev: DataFrame, bud
 
     With ``metric='cosine'`` the mean cosine similarity is ranked descending.
     """
-    md = nb.mean_distance_per_source(pool, target, metric=metric, **kw) \
-        .select(F.col("src_id").alias(ID), F.col("mean_dist"))
+    md = nb.mean_similarity_per_source(pool, target) if metric == "cosine" else nb.mean_distance_per_source(pool, target, **kw)
+    md = md.select(F.col("src_id").alias(ID), F.col("mean_dist"))
     return select_top_score(md, prev, budget, "mean_dist", ascending=(metric != "cosine"))
 
 
@@ -152,8 +152,8 @@ def knn_best(pool: DataFrame, target: DataFrame, budgets: list[int], k0: int = 1
     """(best neighbour rank per pool row, written once; levels; width), as deep as the largest budget needs.
 
     Like the reference, k doubles until the candidates (with ``prev``) exceed
-    the budget. Levels that cannot (targets x k rows at most) are skipped, and
-    lists are no deeper than the level that ends the search. The
+    the budget. Levels that cannot (targets x k rows at most) are skipped, each level
+    continues the lists of the one before, and lists are no deeper than the level that ends the search. The
     neighbour-list width is the cap when one is given, else unbounded: once k
     reaches the pool, every level holds the same candidates.
     """
@@ -161,11 +161,14 @@ def knn_best(pool: DataFrame, target: DataFrame, budgets: list[int], k0: int = 1
     levels = knn_levels(k0, max(budgets), width)
     lists = nb.Neighbours(pool, target, **kw)
     n_prev = prev.count() if prev is not None else 0
+    best = None
     for k in levels:
         if n_prev + lists.n_target * k <= max(budgets) and k <= min(width, lists.n_pool) and k != levels[-1]:
             continue
         depth = int(max(1, min(k, width)))
-        best = materialise(nb.best_rank(lists.edges(depth)).withColumnRenamed("src_id", ID), "knn_best")
+        # only the ranks that earlier levels did not list; a row that they hold keeps its better rank
+        found = nb.best_rank(lists.extend(depth)).withColumnRenamed("src_id", ID)
+        best = materialise(found if best is None else best.unionByName(found).groupBy(ID).agg(F.min("best").alias("best")), "knn_best")
         fresh = best if prev is None else _without(best, prev)
         if k > width or k >= lists.n_pool or n_prev + fresh.count() > max(budgets):
             break
@@ -258,15 +261,14 @@ def select_allocated(pool: DataFrame, allocation: DataFrame, dataset: str, confi
     q = allocation.where((F.col("dataset") == dataset) & (F.col("config") == config)
                          & (F.col("iteration") == iteration)).select("language", "quota")
     q = q.groupBy("language").agg(F.first("quota").alias("quota"))  # a key that is listed twice counts once
-    max_quota, n_lang = q.agg(F.max("quota"), F.count("*")).first()
-    max_quota = max_quota or 0
+    max_quota, n_rows, n_lang = q.agg(F.max("quota"), F.sum("quota"), F.count("*")).first()
+    max_quota, n_rows = max_quota or 0, n_rows or 0
     j = pool.select(ID, "language").join(F.broadcast(q) if n_lang <= BROADCAST_MAX_ROWS else q, "language")
     w = Window.partitionBy("language").orderBy(hash_key(seed), F.col(ID))
     # the literal bound lets Spark cut every language to max_quota rows per task before the shuffle
     picked = j.withColumn("lrank", F.row_number().over(w)) \
         .where((F.col("lrank") <= int(max_quota)) & (F.col("lrank") <= F.col("quota")))
-    order = Window.orderBy("language", "lrank")  # output bounded by the quotas
-    return picked.select(F.col(ID).cast("long").alias(ID), F.row_number().over(order).cast("long").alias("rank"))
+    return _numbered(picked, [F.col("language"), F.col("lrank")], 0, n_rows > TOPN_DIRECT_MAX)
 
 
 def select_egalitarian(pool: DataFrame, prev: DataFrame, budget: int, seed: int = 42) -> DataFrame:

@@ -24,13 +24,13 @@ def test_per_language_head_uses_window_group_limit(spark):
 def test_knn_has_no_cartesian_product(spark):
     p = plan(Q["knn_join"](spark, SF_SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
-    assert "CoGroupsInArrow" in p and "BroadcastExchange" not in p
+    assert "MapInArrow" in p and "BroadcastExchange" not in p and "CoGroups" not in p
 
 
-def test_each_side_of_the_distance_grid_is_read_and_dealt_once(spark):
-    p = plan(Q["pairwise_l2"](spark, SF_SMALL))
-    assert p.count("FileScan") == 3  # pool, target, and the pool rows without a usable vector
-    assert p.count("hashpartitioning(pb") == 2
+def test_mean_distances_shuffle_neither_side(spark):
+    for name in ("pairwise_l2", "mean_dist_per_target"):
+        p = plan(Q[name](spark, SF_SMALL))
+        assert "MapInArrow" in p and "Exchange" not in p and "Join" not in p
 
 
 def test_scans_are_not_repartitioned(spark):
