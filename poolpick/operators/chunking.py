@@ -50,8 +50,8 @@ def span_labels(offsets: Column, ans_start: Column, ans_end: Column) -> Column:
 
 
 def mask_offsets(offsets: Column, sequence_ids: Column, context_id: int = 1) -> Column:
-    """CHK-3: NULL the offsets of positions that are not part of the context."""
-    return F.transform(offsets, lambda o, i: F.when(F.element_at(sequence_ids, i + 1) == context_id, o))
+    """CHK-3: NULL the offsets of positions that are not part of the context (both lists are equally long)."""
+    return F.zip_with(offsets, sequence_ids, lambda o, s: F.when(s == context_id, o))
 
 
 def align_labels(df: DataFrame, word_col: str = "word_id", label_col: str = "word_label",

@@ -7,10 +7,10 @@ tokenisation is plain whitespace splitting, not a library tokenizer.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from poolpick.functions.scores import _bind
 from poolpick.functions.text import squad_tokens, whitespace_tokens
 
 # ------------------------------------------------------------------ spans
@@ -77,10 +77,21 @@ def weighted_f1(df: DataFrame, pred_col: str = "pred", gold_col: str = "gold") -
 
 # ------------------------------------------------------------------ QA text
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two (short) string arrays, inside the row."""
-    return F.aggregate(F.array_distinct(a), F.lit(0),
-                       lambda acc, t: acc + F.least(F.size(F.filter(a, lambda x: x == t)),
-                                                    F.size(F.filter(b, lambda x: x == t))))
+    """Size of the multiset intersection of two arrays, inside the row: both sorted, then one merge."""
+
+    def step(two):
+        def merge(at, _):
+            x, y = F.get(two["a"], at["i"]), F.get(two["b"], at["j"])  # NULL behind the end
+            return F.when(x == y, F.struct((at["i"] + 1).alias("i"), (at["j"] + 1).alias("j"), (at["n"] + 1).alias("n"))) \
+                .when(x < y, F.struct((at["i"] + 1).alias("i"), at["j"].alias("j"), at["n"].alias("n"))) \
+                .when(x > y, F.struct(at["i"].alias("i"), (at["j"] + 1).alias("j"), at["n"].alias("n"))).otherwise(at)
+
+        zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
+        return F.aggregate(F.sequence(F.lit(0), F.size(two["a"]) + F.size(two["b"])), zero, merge, lambda at: at["n"])
+
+    ordered = lambda x: F.sort_array(F.filter(x, lambda t: t.isNotNull()))
+    # bound by the lambda: mentioned in the merge itself they would be sorted again at every step
+    return F.when(a.isNotNull() & b.isNotNull(), _bind(F.struct(ordered(a).alias("a"), ordered(b).alias("b")), step))
 
 
 def qa_scores(df: DataFrame, pred_col: str, golds_col: str, id_col: str) -> DataFrame:
@@ -107,29 +118,23 @@ def qa_summary(scores: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ BLEU
-def _clipped_counts(max_n: int):
-    """Arrow-batched helper: per pair, clipped n-gram matches, hypothesis n-gram counts
-    (n = 1..max_n) and the reference length -- a multiset intersection inside the row."""
-    from collections import Counter
-
-    from pyspark.sql.types import ArrayType, LongType
-
-    @F.pandas_udf(ArrayType(LongType()))
-    def clipped(hyps: pd.Series, refs: pd.Series) -> pd.Series:
-        out = []
-        for h, r in zip(hyps, refs):
-            h = list(h) if h is not None else []
-            r = list(r) if r is not None else []
-            correct, total = [], []
-            for n in range(1, max_n + 1):
-                hc = Counter(tuple(h[i:i + n]) for i in range(len(h) - n + 1))
-                rc = Counter(tuple(r[i:i + n]) for i in range(len(r) - n + 1))
-                correct.append(sum(min(c, rc[g]) for g, c in hc.items()))
-                total.append(max(len(h) - n + 1, 0))
-            out.append(correct + total + [len(r)])
-        return pd.Series(out)
-
-    return clipped
+def _ngrams(tokens: Column, n: int) -> Column:
+    """The n-grams of a token list; tokens hold no blank, so a blank joins them without loss."""
+    none = F.array().cast("array<string>")
+    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))).otherwise(none)
+
+
+def clipped_counts(hyp: Column, ref: Column, max_n: int) -> Column:
+    """Per pair: clipped n-gram matches and hypothesis n-gram counts for n = 1..max_n, and the reference length."""
+    tokens = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+
+    def count(two):
+        h, r = two["h"], two["r"]
+        same = [multiset_overlap(_ngrams(h, n), _ngrams(r, n)) for n in range(1, max_n + 1)]
+        return F.array(*same, *[F.greatest(F.size(h) - n + 1, F.lit(0)) for n in range(1, max_n + 1)], F.size(r))
+
+    # both token lists are cut once, though every n mentions them
+    return _bind(F.struct(tokens(hyp).alias("h"), tokens(ref).alias("r")), count)
 
 
 def corpus_bleu(df: DataFrame, hyp_col: str, ref_col: str, id_col: str = "row_id", max_n: int = 4) -> DataFrame:
@@ -137,12 +142,13 @@ def corpus_bleu(df: DataFrame, hyp_col: str, ref_col: str, id_col: str = "row_id
     brevity penalty and exponential smoothing of zero-match orders.
 
     Clipped counts are per pair, and a pair's hypothesis and reference sit in
-    the same row: they are counted inside the row (Arrow-batched), so no
+    the same row: sorted n-gram lists are merged inside the row, in the JVM, so no
     n-gram is ever shuffled; only 2 x max_n + 1 sums per task reach the
     final aggregate.
     """
-    t = df.select(whitespace_tokens(F.col(hyp_col)).alias("h"), whitespace_tokens(F.col(ref_col)).alias("r"))
-    v = t.select(_clipped_counts(max_n)(F.col("h"), F.col("r")).alias("v"))
+    # the explode of one element is a Generate node: the counts are made once a row, though nine sums read them
+    counts = clipped_counts(whitespace_tokens(F.col(hyp_col)), whitespace_tokens(F.col(ref_col)), max_n)
+    v = df.select(F.explode(F.array(counts)).alias("v"))
     sums = v.agg(*[F.sum(F.col("v")[i]).alias(f"s{i}") for i in range(2 * max_n + 1)])
     correct = [F.col(f"s{i}") for i in range(max_n)]
     total = [F.col(f"s{max_n + i}") for i in range(max_n)]

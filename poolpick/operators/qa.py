@@ -1,10 +1,9 @@
 """Extractive-QA roll-ups (JOIN-4, JOIN-9, MET-6).
 
-Best-span search is row-local: the n-best starts and ends of a feature are
-sorted inside the row with ``sort_array``, and the n_best^2 candidate pairs
-are built and reduced with nested ``transform``/``filter``/``array_max`` --
-no exploded pairs, no join. Only the per-example maximum shuffles (by
-example id, one small struct per feature).
+Best-span search is row-local and linear: a feature's positions are walked once in order, with the
+best start so far, so an end meets one start instead of all of them. Only if the
+length limit can bind are the n_best^2 pairs built. There is no explode of pairs and no join.
+Only the per-example maximum shuffles (by example id, one small struct per feature).
 """
 
 from __future__ import annotations
@@ -12,27 +11,68 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from poolpick.functions.scores import _bind
+
+_SPAN = "struct<score:double,ns:int,ne:int>"
+
+
+def _ranked_positions(z: Column) -> Column:
+    """Logits as structs (nv = -logit, i = position), best first, ties by position."""
+    return F.sort_array(F.transform(z, lambda v, i: F.struct((-v).alias("nv"), i.alias("i"))))
+
 
 def top_positions(z: Column, n_best: int) -> Column:
     """The n_best largest logits as structs (nv = -logit, i = position), best first, ties by position."""
-    return F.slice(F.sort_array(F.transform(z, lambda v, i: F.struct((-v).alias("nv"), i.alias("i")))), 1, n_best)
+    return F.slice(_ranked_positions(z), 1, n_best)
+
+
+def _scan(starts: Column, ends: Column, live: Column, n_best: int) -> Column:
+    """Best span by one walk over the positions: the best start so far (the earliest of equal ones) meets every end."""
+    last = lambda z: F.element_at(top_positions(z, n_best), -1)  # noqa: E731  the last logit that still counts
+    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("i"), F.lit(None).cast(_SPAN).alias("best"))
+
+    def walk(lims: Column) -> Column:
+        rows = F.zip_with(F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("double").alias("s"), b.cast("double").alias("e"))), live,
+                          lambda p, o: F.struct(F.when(o, p["s"]).alias("s"), F.when(o, p["e"]).alias("e")))
+        counts = lambda v, i, lim: (-v < lim["nv"]) | ((-v == lim["nv"]) & (i <= lim["i"]))
+        rows = F.transform(rows, lambda p, i: F.struct(i.alias("i"), F.when(counts(p["s"], i, lims["s"]), p["s"]).alias("s"),
+                                                       F.when(counts(p["e"], i, lims["e"]), p["e"]).alias("e")))
+
+        def step(acc, p):
+            better = p["s"].isNotNull() & (acc["v"].isNull() | (p["s"] > acc["v"]))
+            now = F.struct(F.when(better, p["s"]).otherwise(acc["v"]).alias("v"), F.when(better, p["i"]).otherwise(acc["i"]).alias("i"))
+            return _bind(now, lambda n: F.struct(
+                n["v"].alias("v"), n["i"].alias("i"),
+                F.greatest(acc["best"], F.when(p["e"].isNotNull() & n["v"].isNotNull(),
+                                               F.struct((n["v"] + p["e"]).alias("score"), (-n["i"]).alias("ns"), (-p["i"]).alias("ne")))).alias("best")))
+
+        return F.aggregate(rows, start, step, lambda acc: acc["best"])
+
+    return _bind(F.struct(last(starts).alias("s"), last(ends).alias("e")), walk)
+
+
+def _pairs(starts: Column, ends: Column, live: Column, n_best: int, max_len: int) -> Column:
+    """Best span among all n-best pairs within the length limit."""
+    s, e = top_positions(starts, n_best), top_positions(ends, n_best)
+
+    def best(b):
+        has = lambda x: F.element_at(b["live"], x["i"] + 1)
+        return F.array_max(F.flatten(F.transform(F.filter(b["s"], has), lambda a: F.transform(
+            F.filter(b["e"], lambda z: has(z) & (z["i"] >= a["i"]) & (z["i"] - a["i"] + 1 <= max_len)),
+            lambda z: F.struct((-(a["nv"] + z["nv"])).cast("double").alias("score"), (-a["i"]).alias("ns"), (-z["i"]).alias("ne"))))))
+
+    return _bind(F.struct(s.alias("s"), e.alias("e"), live.alias("live")), best)
 
 
 def best_feature_span(starts: Column, ends: Column, offsets: Column, n_best: int, max_len: int) -> Column:
     """Best (score, start, end) of one feature: start/end among the n-best, both with
     offsets, end >= start, length <= max_len. NULL when no pair qualifies.
 
-    Returned as struct(score, ns, ne) with ns/ne the negated positions, so
-    ``array_max`` prefers the higher score, then the earlier start and end.
+    Returned as struct(score, ns, ne) with ns/ne the negated positions, so that
+    the higher score comes first, then the earlier start and end.
     """
-    has = lambda p: F.element_at(offsets, p + 1).isNotNull()
-    s = F.filter(top_positions(starts, n_best), lambda x: has(x["i"]))
-    e = F.filter(top_positions(ends, n_best), lambda x: has(x["i"]))
-    # both lists are bound once: mentioned inside the pair lambdas they would be sorted again for every start
-    pairs = F.transform(F.array(F.struct(s.alias("s"), e.alias("e"))), lambda both: F.flatten(F.transform(both["s"], lambda a: F.transform(
-        F.filter(both["e"], lambda b: (b["i"] >= a["i"]) & (b["i"] - a["i"] + 1 <= max_len)),
-        lambda b: F.struct((-(a["nv"] + b["nv"])).alias("score"), (-a["i"]).alias("ns"), (-b["i"]).alias("ne"))))))
-    return F.array_max(F.element_at(pairs, 1))
+    live = F.transform(offsets, lambda o: o.isNotNull())
+    return F.when(F.size(starts) <= max_len, _scan(starts, ends, live, n_best)).otherwise(_pairs(starts, ends, live, n_best, max_len))
 
 
 def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_len: int = 30,
@@ -48,15 +88,12 @@ def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_l
     # row (a plain alias would be inlined into every later reference) and drops NULLs
     f = features.select(example_col, feature_col, offsets_col,
                         F.explode(F.filter(F.array(best), lambda x: x.isNotNull())).alias("b"))
-    key = F.struct(F.col("b.score").alias("score"), (-F.col(feature_col)).alias("nf"),
-                   F.col("b.ns").alias("ns"), F.col("b.ne").alias("ne"))
-    per_ex = f.groupBy(example_col).agg(F.max_by(F.struct(F.col(feature_col).alias("fid"), F.col("b.score")
-                                                          .alias("score"), (-F.col("b.ns")).alias("si"),
-                                                          (-F.col("b.ne")).alias("ei"),
-                                                          F.element_at(offsets_col, -F.col("b.ns") + 1)["s"]
-                                                          .alias("cs"),
-                                                          F.element_at(offsets_col, -F.col("b.ne") + 1)["e"]
-                                                          .alias("ce")), key).alias("m"))
+    # the offsets end here: only the winner's characters go into the aggregate
+    f = f.select(example_col, F.col(feature_col).alias("fid"), "b", F.element_at(offsets_col, -F.col("b.ns") + 1)["s"].alias("cs"),
+                 F.element_at(offsets_col, -F.col("b.ne") + 1)["e"].alias("ce"))
+    key = F.struct(F.col("b.score").alias("score"), (-F.col("fid")).alias("nf"), F.col("b.ns").alias("ns"), F.col("b.ne").alias("ne"))
+    m = F.struct("fid", F.col("b.score").alias("score"), (-F.col("b.ns")).alias("si"), (-F.col("b.ne")).alias("ei"), "cs", "ce")
+    per_ex = f.groupBy(example_col).agg(F.max_by(m, key).alias("m"))
     j = contexts.join(per_ex, example_col, "left")
     text = F.when(F.col("m").isNull(), F.lit("")).otherwise(
         F.expr(f"substring({context_col}, m.cs + 1, m.ce - m.cs)"))

@@ -12,6 +12,7 @@ from poolpick.functions.text import ARTICLES, PUNCT_CLASS, whitespace_tokens
 from poolpick.operators import chunking as ch
 from poolpick.operators import metrics as me
 from poolpick.plans.registry import r6, register
+from poolpick.session import dealt, dealt_if_few
 
 # ------------------------------------------------------------------ chunking
 W, O = 128, 64          # CHK-1 window and overlap (stride 64), in whitespace tokens
@@ -26,7 +27,8 @@ _DTOKS = "list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')"
     f"(SELECT row_id, toks, unnest(range(0, greatest(len(toks) - {O}, 1), {W - O})) AS start FROM "
     f"(SELECT row_id, {_DTOKS} AS toks FROM docs))", "docs"))
 def q_chunk_windows(spark, sf_dir):
-    d = fx.docs_df(spark, sf_dir).select("row_id", whitespace_tokens(F.col("text")).alias("toks"))
+    d = dealt_if_few(fx.docs_df(spark, sf_dir).select("row_id", "text"), "row_id")
+    d = d.select("row_id", whitespace_tokens(F.col("text")).alias("toks"))
     c = ch.chunk_windows(d, "toks", W, O)
     return c.select("row_id", "win", "start", F.size("window").alias("n_tok"),
                     F.md5(F.array_join("window", " ")).alias("window_md5"))
@@ -95,6 +97,7 @@ def q_mask_offsets(spark, sf_dir):
     d = fx.docs_df(spark, sf_dir).select("row_id", F.length("text").alias("len"))
     n_tok = F.ceil(F.col("len") / CH).cast("int")
     w = d.select("row_id", "len", F.posexplode(ch.window_starts(n_tok, 2 * QA_STRIDE, QA_STRIDE)).alias("win", "ws"))
+    w = dealt(w, "row_id", F.col("win").bitwiseAND(~0xFFF))
     offs, seq = qa_window_offsets(F.col("ws"), F.col("len"))
     m = w.select("row_id", "win", F.filter(ch.mask_offsets(offs, seq), lambda o: o.isNotNull()).alias("live"))
     return m.select("row_id", "win", F.size("live").cast("long").alias("n_live"),

@@ -101,6 +101,22 @@ def drop_tables(spark: SparkSession) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def dealt(df, *keys):
+    """Rows dealt by ``keys`` over as many tasks as the session shuffles to, ahead of heavy work inside the rows.
+
+    The number is given, so that narrow rows (few bytes, much work) are not put together again.
+    """
+    spark = df.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return df.repartition(n, *keys)
+
+
+def dealt_if_few(df, *keys):
+    """``dealt`` for a scan with fewer splits than the cluster has cores (a file of one row group); a large scan stays as it is."""
+    few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism
+    return dealt(df, *keys) if few else df
+
+
 def materialise(df, name: str):
     """Write ``df`` to the shared checkpoint folder and read it back.
 
