@@ -197,11 +197,25 @@ def eval_table(runs: DataFrame, n_val_languages: int = 5) -> DataFrame:
 
 
 # ------------------------------------------------------------------ running mean
+_FINE = 1e19  # doubles below this are summed exactly to nine places, and beyond them as doubles
+
+
+def _exact(df: DataFrame, value: str) -> tuple[Column, Column]:
+    """(exact, rest): a value as a number that sums without loss, and what is left of it."""
+    kind = df.schema[value].dataType.typeName()
+    v = F.col(value)
+    if kind not in ("double", "float"):
+        return v, F.lit(0.0)
+    whole = F.when(F.abs(v) < _FINE, F.round(v, 9)).otherwise(F.when(v.isNotNull(), F.lit(0.0))).cast("decimal(29,9)")
+    return whole, v - whole.cast("double")
+
+
 def running_sum(df: DataFrame, key: str, order: str, value: str, partitions: int | None = None) -> DataFrame:
     """Running sum and count of ``value`` from the start of each ``key`` group up to each row.
 
     A hot key must not land in one task, so rows are range-partitioned on
-    (key, order): a key spans several partitions. The partitioned rows are
+    (key, order): a key spans several partitions. Their number follows the bytes (the planner
+    puts small ones together) unless ``partitions`` gives it. The partitioned rows are
     written once with their partition number, so the local sums and
     the offsets read the same partitions whatever else the frame holds.
     Per-(partition, key) totals give the offsets of earlier partitions. That
@@ -209,19 +223,29 @@ def running_sum(df: DataFrame, key: str, order: str, value: str, partitions: int
     boundary), so it is joined back without a forced broadcast: the planner
     broadcasts it only when it is small. NULL keys are a group of their own.
     Rows of a key with equal ``order`` are summed in an arbitrary order.
+
+    Doubles are summed as decimals of nine places plus what is left of each, so offsets over
+    billions of rows lose no digits and the result does not depend on the partitions.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    x = materialise(df.repartitionByRange(n, key, order).withColumn("_pid", F.spark_partition_id()), "running_parts")
+    by = [F.col(key), F.col(order)]
+    x = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    x = materialise(x.withColumn("_pid", F.spark_partition_id()), "running_parts")
+    exact, rest = _exact(df, value)
+    x = x.withColumn("_e", exact).withColumn("_r", rest)
     w = Window.partitionBy("_pid", key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    local = x.withColumn("_s", F.sum(value).over(w)).withColumn("_c", F.count(F.lit(1)).over(w))
-    tot = x.groupBy("_pid", key).agg(F.sum(value).alias("_ts"), F.count("*").alias("_tc"))
+    local = x.withColumn("_s", F.sum("_e").over(w)).withColumn("_sr", F.sum("_r").over(w)).withColumn("_c", F.count(F.lit(1)).over(w)).withColumn("_n", F.count("_e").over(w))
+    tot = x.groupBy("_pid", key).agg(F.sum("_e").alias("_ts"), F.sum("_r").alias("_tr"), F.count("*").alias("_tc"), F.count("_e").alias("_tn"))
     before = Window.partitionBy(key).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), F.coalesce(F.sum("_ts").over(before), F.lit(0)).alias("_os"),
-                     F.coalesce(F.sum("_tc").over(before), F.lit(0)).alias("_oc"))
+    off = tot.select(F.col("_pid").alias("_opid"), F.col(key).alias("_okey"), *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(o)
+                                                                               for c, o in (("_ts", "_os"), ("_tr", "_or"), ("_tc", "_oc"), ("_tn", "_on"))])
     y = local.join(off, (F.col("_pid") == F.col("_opid")) & F.col(key).eqNullSafe(F.col("_okey")))
-    return y.withColumn("running_sum", F.col("_s") + F.col("_os")) \
+    total = F.coalesce(F.col("_s"), F.lit(0)) + F.col("_os")
+    if df.schema[value].dataType.typeName() in ("double", "float"):
+        total = total.cast("double") + (F.coalesce("_sr", F.lit(0.0)) + F.col("_or"))
+    # NULL until the first value, as in a plain window
+    return y.withColumn("running_sum", F.when(F.col("_n") + F.col("_on") > 0, total)) \
         .withColumn("running_count", F.col("_c") + F.col("_oc")) \
-        .drop("_pid", "_opid", "_okey", "_s", "_c", "_os", "_oc")
+        .drop("_pid", "_opid", "_okey", "_e", "_r", "_s", "_sr", "_c", "_n", "_os", "_or", "_oc", "_on")
 
 
 def running_mean(df: DataFrame, key: str, order: str, value: str, partitions: int | None = None) -> DataFrame:

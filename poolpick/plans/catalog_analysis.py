@@ -17,7 +17,7 @@ from poolpick.operators import chunking as ch
 from poolpick.plans.catalog_eval import CH, QA_Q, QA_STRIDE, qa_window_offsets
 from poolpick.plans.catalog_selection import _DIST_CTE, _RANKED_CTE, _knn_sql, flagship
 from poolpick.plans.registry import r6, register
-from poolpick.session import scratch_path
+from poolpick.session import dealt, scratch_path
 from poolpick.sources import sinks as sk
 
 KS = [1, 2, 4, 8, 16]
@@ -158,6 +158,8 @@ def q_qa_best_span(spark, sf_dir):
     n_tok = F.ceil(F.col("len") / CH).cast("int")
     w = docs.select("example_id", F.length("context").alias("len"))
     w = w.select("example_id", "len", F.posexplode(ch.window_starts(n_tok, 2 * QA_STRIDE, QA_STRIDE)).alias("win", "ws"))
+    # narrow rows are dealt before the search, some thousand windows of an example together, so a long text is many tasks
+    w = dealt(w, "example_id", F.col("win").bitwiseAND(~0xFFF))
     logits = e.select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("zs"),
                       F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("ze"))
     f = w.withColumn("vec_id", (F.col("example_id") * 7 + F.col("win")) % e.count()).join(logits, "vec_id")
@@ -188,6 +190,43 @@ def q_al_rounds_refit(spark, sf_dir):
     return rd.refit_rounds(spark, pool, labels, 60, 3, seed=fx.SEED)
 
 
+RIDGE_BUDGET, RIDGE_ROUNDS, CLASSES = 60, 3, 3
+
+
+def _ridge_sql() -> str:
+    """Sums of products, Gauss-Jordan elimination of (X'X + 1 | X'Y) and the margins, round by round."""
+    per, d = RIDGE_BUDGET // RIDGE_ROUNDS, 65
+    ctes = [("xs", "SELECT p.row_id, list_append(p.emb, 1.0) AS x, list_transform(range(0, 3), lambda c: CASE WHEN s.gold = c THEN 1.0 ELSE 0.0 END) AS y "
+                   "FROM pool p JOIN seqlog s USING (row_id)"),
+            ("s1", f"SELECT row_id, 1 AS round, rank FROM (SELECT row_id, row_number() OVER (ORDER BY md5('{fx.SEED}:' || row_id), row_id) AS rank FROM pool) "
+                   f"WHERE rank <= {per}")]
+    for r in range(2, RIDGE_ROUNDS + 1):
+        ctes += [
+            (f"m{r}", f"SELECT list(v ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS v FROM (SELECT i, j, sum(x[i] * z[j]) + "
+                      f"CASE WHEN i = j THEN 1.0 ELSE 0.0 END AS v FROM (SELECT x, list_concat(x, y) AS z FROM xs WHERE row_id IN (SELECT row_id FROM s{r - 1})), "
+                      f"range(1, {d + 1}) a(i), range(1, {d + CLASSES + 1}) b(j) GROUP BY i, j) GROUP BY i)"),
+            (f"g{r}", f"SELECT 1 AS k, m FROM m{r} UNION ALL SELECT k + 1, list_transform(range(1, {d + 1}), lambda i: CASE WHEN i = k "
+                      f"THEN list_transform(m[i], lambda v: v / m[k][k]) ELSE list_transform(range(1, {d + CLASSES + 1}), "
+                      f"lambda j: m[i][j] - m[i][k] / m[k][k] * m[k][j]) END) FROM g{r} WHERE k <= {d}"),
+            (f"w{r}", f"SELECT list_transform(range({d + 1}, {d + CLASSES + 1}), lambda c: list_transform(range(1, {d + 1}), lambda i: m[i][c])) AS w "
+                      f"FROM g{r} WHERE k = {d + 1}"),
+            (f"u{r}", f"SELECT row_id, z[1] - z[2] AS u FROM (SELECT row_id, list_sort(list_transform(w, lambda c: list_inner_product(c, x)), 'DESC') AS z "
+                      f"FROM xs, w{r} WHERE row_id NOT IN (SELECT row_id FROM s{r - 1}))"),
+            (f"s{r}", f"SELECT row_id, round, rank FROM s{r - 1} UNION ALL SELECT row_id, {r}, rank + {(r - 1) * per} FROM "
+                      f"(SELECT row_id, row_number() OVER (ORDER BY u, row_id) AS rank FROM u{r}) WHERE rank <= {per}"),
+        ]
+    return with_views(f"SELECT row_id, CAST(round AS INTEGER) AS round, CAST(rank AS BIGINT) AS rank FROM s{RIDGE_ROUNDS}",
+                      "pool", "seqlog", extra=ctes).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("al_rounds_ridge", _ridge_sql())
+def q_al_rounds_ridge(spark, sf_dir):
+    """UDF-5 with a closed form: random cold start, then a ridge refit per round on the selected rows."""
+    pool = fx.pool_df(spark, sf_dir)
+    labels = fx.seqlog_df(spark, sf_dir).select("row_id", F.col("gold").alias("label"))
+    return rd.ridge_rounds(spark, pool, labels, RIDGE_BUDGET, RIDGE_ROUNDS, CLASSES, seed=fx.SEED)
+
+
 @register("select_multi_budget", with_views(
     "SELECT b.budget, row_id, rk AS rank FROM (SELECT row_id, CAST(row_number() OVER (ORDER BY uncertainty "
     "ASC NULLS LAST, row_id) AS BIGINT) AS rk FROM unc), (VALUES " + ", ".join(f"({b})" for b in fx.BUDGETS)
@@ -224,11 +263,46 @@ def q_write_selection(spark, sf_dir):
     return back.select("row_id", "rank", "language")
 
 
-@register("pca_project")
+# covariance of pool and target; its power 2^13 by repeated squaring gives a component, deflation the next one
+_PCA_STEPS = 13
+
+
+def _power(name: str, cov: str) -> list[tuple[str, str]]:
+    """CTEs ``name`` (k, m): cov^(2^k) over its trace; ``name``v (v): the leading unit vector, largest loading positive."""
+    square = "list_transform(m, lambda a: list_transform(m, lambda b: list_inner_product(a, b)))"
+    trace = "list_sum(list_transform(range(1, len({m}) + 1), lambda i: {m}[i][i]))"
+    return [
+        (name, f"SELECT 0 AS k, m FROM {cov} UNION ALL SELECT k + 1, list_transform(q, lambda a: list_transform(a, lambda x: x / t)) FROM "
+               f"(SELECT k, q, {trace.format(m='q')} AS t FROM (SELECT k, {square} AS q FROM {name} WHERE k < {_PCA_STEPS}))"),
+        (f"{name}v", "SELECT list_transform(u, lambda x: x * s) AS v FROM (SELECT u, CASE WHEN u[list_position(list_transform(u, lambda x: abs(x)), "
+                     "list_max(list_transform(u, lambda x: abs(x))))] < 0 THEN -1 ELSE 1 END AS s FROM (SELECT list_transform(c, lambda x: x / "
+                     "sqrt(list_inner_product(c, c))) AS u FROM (SELECT m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), "
+                     f"list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))] AS c FROM {name} WHERE k = {_PCA_STEPS})))"),
+    ]
+
+
+_PCA_CTES = [
+    ("mu", "SELECT list(a ORDER BY i) AS mu FROM (SELECT i, avg(emb[i]) AS a FROM vec, range(1, 65) t(i) GROUP BY i)"),
+    ("cen", "SELECT row_id, side, language, list_transform(range(1, 65), lambda i: emb[i] - mu[i]) AS x FROM vec, mu"),
+    ("cov", "SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(c ORDER BY j) AS r FROM (SELECT i, j, sum(x[i] * x[j]) AS c "
+            "FROM cen, range(1, 65) a(i), range(1, 65) b(j) GROUP BY i, j) GROUP BY i)"),
+    *_power("p1", "cov"),
+    ("cov2", "SELECT list_transform(range(1, 65), lambda i: list_transform(range(1, 65), lambda j: m[i][j] - l * v[i] * v[j])) AS m FROM "
+             "(SELECT m, v, list_inner_product(v, list_transform(m, lambda a: list_inner_product(a, v))) AS l FROM cov, p1v)"),
+    *_power("p2", "cov2"),
+    ("prj", "SELECT row_id, side, list_inner_product(x, p1v.v) AS x, list_inner_product(x, p2v.v) AS y FROM cen, p1v, p2v"),
+    ("parts", f"SELECT * FROM (SELECT row_id, 'source' AS type FROM pool ORDER BY md5('{fx.SEED}:' || row_id), row_id LIMIT 100) UNION ALL "
+              f"SELECT * FROM (SELECT row_id, 'target' FROM tgt ORDER BY md5('{fx.SEED}:' || row_id), row_id LIMIT 50) UNION ALL "
+              f"SELECT row_id, 'selected' FROM ({_knn_sql(fx.FLAGSHIP_BUDGET)})"),
+]
+
+
+@register("pca_project", with_views("SELECT p.row_id, round(x, 6) AS x, round(y, 6) AS y, p.type FROM parts p JOIN prj USING (row_id)",
+                                    "vec", "pool", "tgt", extra=_PCA_CTES).replace("WITH ", "WITH RECURSIVE ", 1))
 def q_pca_project(spark, sf_dir):
     """ML-1: PCA(2) fitted on pool + target, applied to a pool sample, a target sample and the selection."""
     pool, tgt = fx.pool_df(spark, sf_dir), fx.target_df(spark, sf_dir)
-    model = fit_pca(pool.unionByName(tgt))
+    model = fit_pca(fx.vec_df(spark, sf_dir))
     sel = pool.join(flagship(spark, sf_dir).select("row_id"), "row_id", "left_semi")
     parts = {"source": pr.sample_k(pool, 100, fx.SEED), "target": pr.sample_k(tgt, 50, fx.SEED), "selected": sel}
-    return tagged_projection(model, parts)
+    return tagged_projection(model, parts).select("row_id", r6("x").alias("x"), r6("y").alias("y"), "type")

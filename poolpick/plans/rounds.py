@@ -10,12 +10,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolpick.functions.scores import top2_margin
+from poolpick.functions.vectors import arrow_matrix
 from poolpick.operators import strategies as st
 from poolpick.session import materialise
 
@@ -54,18 +57,70 @@ def refit_rounds(spark, pool: DataFrame, labels: DataFrame, budget: int, rounds:
     whole pool and selects by the top-2 log-probability margin."""
     feats = pool.select(ID, array_to_vector("emb").alias("features"))
 
-    def select(r, prev, b):
-        if r == 1:
-            return st.select_random(pool, prev, b, seed)
-        train = feats.join(prev.select(ID), ID, "left_semi").join(labels, ID)
+    def rescore(picked):
+        train = feats.join(picked, ID, "left_semi").join(labels, ID)
         model = LogisticRegression(maxIter=max_iter, labelCol="label").fit(train)
         prob = model.transform(feats).select(ID, vector_to_array("probability").alias("p"))
-        scores = prob.select(ID, top2_margin(F.transform("p", lambda x: F.log(x))).alias("uncertainty"))
-        return st.select_uncertainty(scores, prev, b)
+        return prob.select(ID, top2_margin(F.transform("p", lambda x: F.log(x))).alias("uncertainty"))
+
+    return _model_rounds(spark, pool, rescore, budget, rounds, seed)
+
+
+def _model_rounds(spark, pool: DataFrame, rescore, budget: int, rounds: int, seed: int) -> DataFrame:
+    """Round 1 at random; ``rescore(rows picked so far)`` gives the pool's uncertainty for every later round."""
+
+    def select(r, prev, b):
+        return st.select_random(pool, prev, b, seed) if r == 1 else st.select_uncertainty(rescore(prev.select(ID)), prev, b)
 
     return run_rounds(spark, select, budget, rounds)
 
 
+def ridge_weights(train: DataFrame, n_classes: int, alpha: float = 1.0) -> np.ndarray:
+    """(dimensions + 1) x classes: weights (the last row is the intercept) that fit one-hot labels by
+    ridge regression, from the sums of x x' and x y' over ``train`` (emb, label): one aggregate, of any number of rows.
+
+    Rows without a vector, without a label or with a label outside 0 .. n_classes - 1 are left out.
+    """
+    rows = train.where(F.col("emb").isNotNull() & F.col("label").between(0, n_classes - 1)).select("emb", F.col("label").cast("int").alias("label"))
+
+    def products(batches):
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.concatenate([arrow_matrix(b.column(0)), np.ones((b.num_rows, 1))], 1)
+                now = x.T @ np.concatenate([x, np.eye(n_classes)[np.asarray(b.column(1))]], 1)
+                total = now if total is None else total + now
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "sums"])
+
+    parts = rows.mapInArrow(products, "i int, sums array<double>")
+    first = rows.select(F.size("emb").alias("d")).first()
+    if first is None:
+        raise ValueError("no row with a vector and a label to fit on")
+    d = first["d"] + 1
+    sums = parts.groupBy("i").agg(F.array(*[F.sum(F.col("sums")[j]) for j in range(d + n_classes)]).alias("sums")).collect()  # a row for each dimension
+    total = np.array([r["sums"] for r in sorted(sums)])
+    return np.linalg.solve(total[:, :d] + alpha * np.eye(d), total[:, d:])
+
+
+def linear_logits(weights: np.ndarray, emb: str = "emb"):
+    """One logit for each column of ``ridge_weights``, inside the JVM."""
+    dot = lambda w: F.aggregate(F.zip_with(F.col(emb), F.array(*[F.lit(float(x)) for x in w[:-1]]), lambda x, y: x * y),
+                                F.lit(float(w[-1])), lambda a, x: a + x)
+    return F.array(*[dot(w) for w in weights.T])
+
+
+def ridge_rounds(spark, pool: DataFrame, labels: DataFrame, budget: int, rounds: int, n_classes: int, seed: int = 42,
+                 alpha: float = 1.0) -> DataFrame:
+    """UDF-5 with a closed form: as ``refit_rounds``, but each refit is a ridge regression on the one-hot labels."""
+
+    def rescore(picked):
+        w = ridge_weights(pool.join(picked, ID, "left_semi").join(labels, ID), n_classes, alpha)
+        return pool.where(F.col("emb").isNotNull()).select(ID, top2_margin(linear_logits(w)).alias("uncertainty"))
+
+    return _model_rounds(spark, pool, rescore, budget, rounds, seed)
+
+
 def multi_budget_top(scores: DataFrame, budgets: list[int], score_col: str = "uncertainty") -> DataFrame:
     """SEL-9 for score-ranked strategies: rank once (top max(budgets)), then every budget
     is a prefix. Returns (budget, row_id, rank)."""
