@@ -77,21 +77,28 @@ def weighted_f1(df: DataFrame, pred_col: str = "pred", gold_col: str = "gold") -
 
 # ------------------------------------------------------------------ QA text
 def multiset_overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection of two arrays, inside the row: both sorted, then one merge."""
+    """Size of the multiset intersection of two arrays, inside the row and linear but for a sort.
 
-    def step(two):
-        def merge(at, _):
-            x, y = F.get(two["a"], at["i"]), F.get(two["b"], at["j"])  # NULL behind the end
-            return F.when(x == y, F.struct((at["i"] + 1).alias("i"), (at["j"] + 1).alias("j"), (at["n"] + 1).alias("n"))) \
-                .when(x < y, F.struct((at["i"] + 1).alias("i"), at["j"].alias("j"), at["n"].alias("n"))) \
-                .when(x > y, F.struct(at["i"].alias("i"), (at["j"] + 1).alias("j"), at["n"].alias("n"))).otherwise(at)
+    If one side repeats nothing, it is the size of the set intersection; else both sides are sorted and merged.
+    """
+
+    def merged(two):
+        def step(at, _):
+            x, y = F.get(two["a"], at["i"]), F.get(two["b"], at["j"])  # NULL behind the end: nothing moves
+            one = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+            return F.struct((at["i"] + one(x <= y)).alias("i"), (at["j"] + one(y <= x)).alias("j"), (at["n"] + one(x == y)).alias("n"))
 
         zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(0).alias("n"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(two["a"]) + F.size(two["b"])), zero, merge, lambda at: at["n"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(two["a"]) + F.size(two["b"])), zero, step, lambda at: at["n"])
+
+    def count(two):
+        once = lambda x: F.size(F.array_distinct(x)) == F.size(x)
+        # bound by the lambda: mentioned in the merge itself the lists would be sorted again at every step
+        in_order = _bind(F.struct(F.sort_array(two["a"]).alias("a"), F.sort_array(two["b"]).alias("b")), merged)
+        return F.when(once(two["a"]) | once(two["b"]), F.size(F.array_intersect(two["a"], two["b"]))).otherwise(in_order)
 
-    ordered = lambda x: F.sort_array(F.filter(x, lambda t: t.isNotNull()))
-    # bound by the lambda: mentioned in the merge itself they would be sorted again at every step
-    return F.when(a.isNotNull() & b.isNotNull(), _bind(F.struct(ordered(a).alias("a"), ordered(b).alias("b")), step))
+    known = lambda x: F.filter(x, lambda t: t.isNotNull())
+    return F.when(a.isNotNull() & b.isNotNull(), _bind(F.struct(known(a).alias("a"), known(b).alias("b")), count))
 
 
 def qa_scores(df: DataFrame, pred_col: str, golds_col: str, id_col: str) -> DataFrame:

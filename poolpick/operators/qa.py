@@ -1,78 +1,102 @@
 """Extractive-QA roll-ups (JOIN-4, JOIN-9, MET-6).
 
-Best-span search is row-local and linear: a feature's positions are walked once in order, with the
-best start so far, so an end meets one start instead of all of them. Only if the
-length limit can bind are the n_best^2 pairs built. There is no explode of pairs and no join.
-Only the per-example maximum shuffles (by example id, one small struct per feature).
+Best-span search runs on Arrow batches: the logits of a batch are matrices, logits outside the n-best
+or without an offset are blanked, and a running maximum of the starts (a sliding one if the length
+limit binds) meets every end once. A feature costs its positions, not its n_best^2 pairs, and nothing loops over
+rows in Python. Only the per-example maximum shuffles: one small row per feature, combined before the exchange.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolpick.functions.scores import _bind
 
-_SPAN = "struct<score:double,ns:int,ne:int>"
+def counted(z: np.ndarray, live: np.ndarray, n_best: int) -> np.ndarray:
+    """Logits that are among the n_best largest of their row (ties from the left) and live; -inf elsewhere."""
+    z = np.where(np.isnan(z), -np.inf, z)
+    if n_best < z.shape[1]:
+        low = np.partition(z, z.shape[1] - n_best, axis=1)[:, [z.shape[1] - n_best]]
+        above, tied = z > low, z == low
+        among = above | (tied & (np.cumsum(tied, axis=1) <= n_best - above.sum(axis=1, keepdims=True)))
+    else:
+        among = np.ones(z.shape, bool)
+    return np.where(among & live, z, -np.inf)
 
 
-def _ranked_positions(z: Column) -> Column:
-    """Logits as structs (nv = -logit, i = position), best first, ties by position."""
-    return F.sort_array(F.transform(z, lambda v, i: F.struct((-v).alias("nv"), i.alias("i"))))
+def sliding_max(z: np.ndarray, width: int) -> np.ndarray:
+    """Per row, the maximum of each value and the width - 1 before it, by doubling."""
+    if width >= z.shape[1]:
+        return np.maximum.accumulate(z, axis=1)
 
+    def with_earlier(x, by):
+        out = x.copy()
+        out[:, by:] = np.maximum(x[:, by:], x[:, :-by]) if by else x
+        return out
 
-def top_positions(z: Column, n_best: int) -> Column:
-    """The n_best largest logits as structs (nv = -logit, i = position), best first, ties by position."""
-    return F.slice(_ranked_positions(z), 1, n_best)
+    reach, out = 1, z
+    while 2 * reach <= width:
+        out, reach = with_earlier(out, reach), 2 * reach
+    return with_earlier(out, width - reach) if reach < width else out
 
 
-def _scan(starts: Column, ends: Column, live: Column, n_best: int) -> Column:
-    """Best span by one walk over the positions: the best start so far (the earliest of equal ones) meets every end."""
-    last = lambda z: F.element_at(top_positions(z, n_best), -1)  # noqa: E731  the last logit that still counts
-    start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("int").alias("i"), F.lit(None).cast(_SPAN).alias("best"))
+def best_spans_of(starts: np.ndarray, ends: np.ndarray, live: np.ndarray, n_best: int, max_len: int):
+    """(found, score, start, end) of every row: start and end among the n_best, live, start <= end < start + max_len.
 
-    def walk(lims: Column) -> Column:
-        rows = F.zip_with(F.zip_with(starts, ends, lambda a, b: F.struct(a.cast("double").alias("s"), b.cast("double").alias("e"))), live,
-                          lambda p, o: F.struct(F.when(o, p["s"]).alias("s"), F.when(o, p["e"]).alias("e")))
-        counts = lambda v, i, lim: (-v < lim["nv"]) | ((-v == lim["nv"]) & (i <= lim["i"]))
-        rows = F.transform(rows, lambda p, i: F.struct(i.alias("i"), F.when(counts(p["s"], i, lims["s"]), p["s"]).alias("s"),
-                                                       F.when(counts(p["e"], i, lims["e"]), p["e"]).alias("e")))
-
-        def step(acc, p):
-            better = p["s"].isNotNull() & (acc["v"].isNull() | (p["s"] > acc["v"]))
-            now = F.struct(F.when(better, p["s"]).otherwise(acc["v"]).alias("v"), F.when(better, p["i"]).otherwise(acc["i"]).alias("i"))
-            return _bind(now, lambda n: F.struct(
-                n["v"].alias("v"), n["i"].alias("i"),
-                F.greatest(acc["best"], F.when(p["e"].isNotNull() & n["v"].isNotNull(),
-                                               F.struct((n["v"] + p["e"]).alias("score"), (-n["i"]).alias("ns"), (-p["i"]).alias("ne")))).alias("best")))
-
-        return F.aggregate(rows, start, step, lambda acc: acc["best"])
-
-    return _bind(F.struct(last(starts).alias("s"), last(ends).alias("e")), walk)
-
-
-def _pairs(starts: Column, ends: Column, live: Column, n_best: int, max_len: int) -> Column:
-    """Best span among all n-best pairs within the length limit."""
-    s, e = top_positions(starts, n_best), top_positions(ends, n_best)
-
-    def best(b):
-        has = lambda x: F.element_at(b["live"], x["i"] + 1)
-        return F.array_max(F.flatten(F.transform(F.filter(b["s"], has), lambda a: F.transform(
-            F.filter(b["e"], lambda z: has(z) & (z["i"] >= a["i"]) & (z["i"] - a["i"] + 1 <= max_len)),
-            lambda z: F.struct((-(a["nv"] + z["nv"])).cast("double").alias("score"), (-a["i"]).alias("ns"), (-z["i"]).alias("ne"))))))
-
-    return _bind(F.struct(s.alias("s"), e.alias("e"), live.alias("live")), best)
-
-
-def best_feature_span(starts: Column, ends: Column, offsets: Column, n_best: int, max_len: int) -> Column:
-    """Best (score, start, end) of one feature: start/end among the n-best, both with
-    offsets, end >= start, length <= max_len. NULL when no pair qualifies.
-
-    Returned as struct(score, ns, ne) with ns/ne the negated positions, so that
-    the higher score comes first, then the earlier start and end.
+    The highest score wins, then the earliest start, then the earliest end.
+    """
+    s, e = counted(starts, live, n_best), counted(ends, live, n_best)
+    top = sliding_max(s, max_len)
+    with np.errstate(invalid="ignore"):
+        score = np.where(np.isneginf(top) | np.isneginf(e), -np.inf, top + e)
+    row = np.arange(len(score))
+    best = score.max(axis=1)
+    place = np.arange(s.shape[1])
+    # among the ends of the best score: the earliest start that reaches one of them, then the earliest such end
+    first = np.full(len(score), s.shape[1])
+    end = score.argmax(axis=1)
+    for at in np.flatnonzero((score == best[:, None]).any(axis=0)):
+        mine = np.flatnonzero((score[:, at] == best) & ~np.isneginf(best))
+        lo = max(0, at - max_len + 1)
+        start = lo + (s[mine, lo:at + 1] == top[mine, at][:, None]).argmax(axis=1)
+        earlier = start < first[mine]
+        first[mine[earlier]], end[mine[earlier]] = start[earlier], place[at]
+    return ~np.isneginf(best), best, first, end[row]
+
+
+_SPANS = "feature long, score double, start int, end int, cs int, ce int"
+
+
+def feature_spans(features: DataFrame, n_best: int = 20, max_len: int = 30, feature_col="feature_id", example_col="example_id",
+                  start_col="zs", end_col="ze", offsets_col="offsets") -> DataFrame:
+    """example, feature, score, start, end and the character span (cs, ce) of every feature with a span.
+
+    Offsets are lists of (s, e), NULL where a position is no context; the three lists of a feature are equally
+    long. A NULL or NaN logit never counts.
     """
-    live = F.transform(offsets, lambda o: o.isNotNull())
-    return F.when(F.size(starts) <= max_len, _scan(starts, ends, live, n_best)).otherwise(_pairs(starts, ends, live, n_best, max_len))
+    kind = features.schema[example_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            lists = [b.column(i) for i in (2, 3, 4)]
+            size = np.diff(lists[0].offsets.to_numpy()) * ~np.asarray(lists[0].is_null())
+            for n in np.unique(size[size > 0]):
+                at = pa.array(np.flatnonzero(size == n))
+                s, e, o = (x.take(at).flatten() for x in lists)
+                if not len(s) == len(e) == len(o):
+                    raise ValueError("starts, ends and offsets of a feature differ in length")
+                matrix = lambda x: x.cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(-1, n)
+                found, score, start, end = best_spans_of(matrix(s), matrix(e), np.asarray(o.is_valid()).reshape(-1, n), n_best, max_len)
+                row = np.flatnonzero(found)
+                span = lambda place, field: o.field(field).take(pa.array(row * n + place[row])).cast(pa.int32())
+                keys = at.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(keys), b.column(1).take(keys).cast(pa.int64()), pa.array(score[row]), pa.array(start[row].astype(np.int32)),
+                     pa.array(end[row].astype(np.int32)), span(start, "s"), span(end, "e")], ["example", "feature", "score", "start", "end", "cs", "ce"])
+
+    return features.select(example_col, feature_col, start_col, end_col, offsets_col).mapInArrow(run, f"example {kind}, {_SPANS}")
 
 
 def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_len: int = 30,
@@ -81,19 +105,12 @@ def best_spans(features: DataFrame, contexts: DataFrame, n_best: int = 20, max_l
     """MET-6: best answer span per example over all of its features, text cut from the
     context by character offsets; '' when no span qualifies.
 
-    ``contexts`` holds one row per example (example_id, context).
+    ``contexts`` holds one row per example (example_id, context). Equal scores go to the smaller feature, start and end.
     """
-    best = best_feature_span(F.col(start_col), F.col(end_col), F.col(offsets_col), n_best, max_len)
-    # explode of a one-element array: a Generate node evaluates the span search once per
-    # row (a plain alias would be inlined into every later reference) and drops NULLs
-    f = features.select(example_col, feature_col, offsets_col,
-                        F.explode(F.filter(F.array(best), lambda x: x.isNotNull())).alias("b"))
-    # the offsets end here: only the winner's characters go into the aggregate
-    f = f.select(example_col, F.col(feature_col).alias("fid"), "b", F.element_at(offsets_col, -F.col("b.ns") + 1)["s"].alias("cs"),
-                 F.element_at(offsets_col, -F.col("b.ne") + 1)["e"].alias("ce"))
-    key = F.struct(F.col("b.score").alias("score"), (-F.col("fid")).alias("nf"), F.col("b.ns").alias("ns"), F.col("b.ne").alias("ne"))
-    m = F.struct("fid", F.col("b.score").alias("score"), (-F.col("b.ns")).alias("si"), (-F.col("b.ne")).alias("ei"), "cs", "ce")
-    per_ex = f.groupBy(example_col).agg(F.max_by(m, key).alias("m"))
+    f = feature_spans(features, n_best, max_len, feature_col, example_col, start_col, end_col, offsets_col)
+    key = F.struct("score", -F.col("feature"), -F.col("start"), -F.col("end"))
+    m = F.struct(F.col("feature").alias("fid"), "score", F.col("start").alias("si"), F.col("end").alias("ei"), "cs", "ce")
+    per_ex = f.groupBy(F.col("example").alias(example_col)).agg(F.max_by(m, key).alias("m"))
     j = contexts.join(per_ex, example_col, "left")
     text = F.when(F.col("m").isNull(), F.lit("")).otherwise(
         F.expr(f"substring({context_col}, m.cs + 1, m.ce - m.cs)"))

@@ -166,7 +166,7 @@ def q_qa_best_span(spark, sf_dir):
     offs, seq = qa_window_offsets(F.col("ws"), F.col("len"))
     f = f.withColumn("offsets", ch.mask_offsets(offs, seq))
     b = qa.best_spans(f, docs, N_BEST, MAX_ANS, feature_col="win")
-    return b.select("example_id", "feature_id", "start", "end", r6("score").alias("score"), "answer")
+    return b.select("example_id", F.col("feature_id").cast("int").alias("feature_id"), "start", "end", r6("score").alias("score"), "answer")
 
 
 # ------------------------------------------------------------------ rounds and budgets

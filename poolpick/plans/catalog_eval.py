@@ -74,11 +74,14 @@ def qa_window_offsets(ws, text_len):
     Question positions get question-relative spans (sequence id 0); context
     positions map into the whole text (id 1); positions past the end of the
     text are padding (id NULL)."""
-    pos = F.sequence(F.lit(0), F.lit(QA_POS - 1))
-    q = lambda p: ws + p - QA_Q
-    offs = F.transform(pos, lambda p: F.when(p < QA_Q, F.struct((p * CH).alias("s"), (p * CH + 3).alias("e")))
-                       .otherwise(F.struct((q(p) * CH).alias("s"), (q(p) * CH + 3).alias("e"))))
-    seq = F.transform(pos, lambda p: F.when(p < QA_Q, F.lit(0)).when(q(p) * CH < text_len, F.lit(1)))
+    last = F.lit((QA_Q - 1) * CH)
+
+    def places(by):  # where each position begins (or ends, ``by`` characters later)
+        return F.concat(F.sequence(F.lit(by), last + by, F.lit(CH)), F.sequence(ws * CH + by, (ws + (QA_POS - QA_Q - 1)) * CH + by, F.lit(CH)))
+
+    offs = F.arrays_zip(places(0).alias("s"), places(3).alias("e"))
+    n_text = F.least(F.ceil(text_len / CH).cast("int") - ws, F.lit(QA_POS - QA_Q))
+    seq = F.concat(F.array_repeat(F.lit(0), QA_Q), F.array_repeat(F.lit(1), n_text), F.array_repeat(F.lit(None).cast("int"), F.lit(QA_POS - QA_Q) - n_text))
     return offs, seq
 
 
