@@ -33,24 +33,22 @@ result; further columns are ignored; a doc_id that is no integer fails with a me
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from poolpick.llm import bytekit as B
 from poolpick.llm.common import has, write_out
+from poolpick.llm.families import LINKS, linked, sets_of, streamed
 from poolpick.llm.graph import components
 
 K, PERCENT = 3, 90
 COUNTERS, SLICES = 1 << 20, 64
 CELL = 1024                         # rows of one block of a column
 FAMILY, GRAMS = 128, 2_000_000      # rows and n-grams of one product
-PIVOTS, LEFT = 4, 64
-MARKS = 1 << 25                     # bits that tell which texts the products may need
+LEFT = 64
 LEAST_BITS, MOST_BITS = 64, 8192    # parity bits of a set: about half its size
 
 
@@ -103,21 +101,13 @@ def column_levels(docs: DataFrame, k: int, seed: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([level.tobytes()], pa.binary())], ["slice", "levels"])
 
     parts = docs.select("text").mapInArrow(count, "slice int, counts binary")
-    rows = parts.groupBy("slice").applyInArrow(_streamed(add), "slice int, levels binary").collect()
+    rows = parts.groupBy("slice").applyInArrow(streamed(add), "slice int, levels binary").collect()
     out = np.zeros(COUNTERS, np.uint8)
     for r in rows:
         out[r["slice"] * step:(r["slice"] + 1) * step] = np.frombuffer(r["levels"], np.uint8)
     return out
 
 
-def _streamed(add):
-    """A grouped function over the group's batches, one held at a time."""
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from add(key, batches)
-
-    return run
-
-
 # ------------------------------------------------------------------ rows and their candidate entries
 
 
@@ -403,115 +393,22 @@ def product(grams: np.ndarray, at: np.ndarray, percent: int, columns: int = 16_3
     return np.nonzero(open_ & (over >= least))
 
 
-def _marks(wanted: DataFrame) -> bytes:
-    """A bit for the hash of every wanted rep: ``MARKS`` bits, however many there are."""
-    step = MARKS // SLICES
-
-    def mark(batches):
-        bits = np.zeros(MARKS, bool)
-        for b in batches:
-            bits[np.asarray(b.column(0)) & (MARKS - 1)] = True
-        if bits.any():
-            packed = [zlib.compress(np.packbits(bits[i * step:(i + 1) * step]).tobytes(), 1) for i in range(SLICES)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array(packed, pa.binary())], ["slice", "bits"])
-
-    def unite(key, tables):
-        total = np.zeros(step // 8, np.uint8)
-        for t in tables:
-            for packed in t.column(1).to_pylist():
-                total |= np.frombuffer(zlib.decompress(packed), np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())], ["slice", "bits"])
-
-    parts = wanted.select(F.xxhash64("rep").alias("h")).mapInArrow(mark, "slice int, bits binary")
-    rows = parts.groupBy("slice").applyInArrow(_streamed(unite), "slice int, bits binary").collect()
-    return b"".join(zlib.decompress(r["bits"]) for r in sorted(rows))
-
+def _multiply(k: int, percent: int, seed: int):
+    """Spanning forest of the linked pairs of a chunk of a family."""
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """rep, text of the documents whose id may be wanted: others stay out of the join's shuffle."""
-    shared = docs.sparkSession.sparkContext.broadcast(_marks(wanted))  # MARKS / 8 bytes
-
-    @F.pandas_udf("boolean")
-    def marked(h: pd.Series) -> pd.Series:
-        at = h.to_numpy() & (MARKS - 1)
-        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1)
-
-    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("rep"), "text")
-    return named.where(marked(F.xxhash64("rep")))
-
-
-def _members(texts: DataFrame, members: DataFrame, keys: list[str]) -> DataFrame:
-    """``members`` (rep, sig, keys, ...) with the whole text of each; rows of the id with another text drop out in the product."""
-    return members.hint("merge").join(texts, "rep").select(*keys, "rep", "sig", "text")
-
-
-def _multiply(k: int, percent: int, seed: int, keys: int):
-    """Grouped task: spanning forest of the linked pairs of a chunk."""
-
-    def run(t: pa.Table) -> pa.Table:
-        out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-        rep, sig = np.asarray(t.column(keys).combine_chunks()), t.column(keys + 1).to_pylist()
-        data, offs = B.column_bytes(t.column(keys + 2))
-        grams, at = [], [0]
-        seen, who = set(), []
-        for lo, hi, d, o in B.blocks(data, offs):
-            g, a = sets(d, o, k, seed)
-            for x, s in enumerate(signatures(g, a)):
-                if s == sig[lo + x] and (rep[lo + x], s) not in seen:
-                    seen.add((rep[lo + x], s))
-                    who.append(rep[lo + x])
-                    grams.append(g[a[x]:a[x + 1]])
-                    at.append(at[-1] + len(grams[-1]))
+    def run(t: pa.Table, keys: int) -> pa.Table:
+        who, grams, at = sets_of(t, keys, lambda d, o: sets(d, o, k, seed), signatures)
         if len(who) < 2:
-            return out.empty_table()
-        i, j = product(np.concatenate(grams), np.array(at), percent)
-        names, at = np.unique(np.array(who, np.int64), return_inverse=True)
-        root = forest(len(names), at[i], at[j])
+            return LINKS.empty_table()
+        i, j = product(grams, at, percent)
+        names, place = np.unique(who, return_inverse=True)
+        root = forest(len(names), place[i], place[j])
         tied = np.flatnonzero(root != np.arange(len(names)))
-        return pa.table([pa.array(names[tied]), pa.array(names[root[tied]])], schema=out)
+        return pa.table([pa.array(names[tied]), pa.array(names[root[tied]])], schema=LINKS)
 
     return run
 
 
-def _products(texts: DataFrame, cells: DataFrame, keys: list[str], k: int, percent: int, seed: int) -> DataFrame:
-    return _members(texts, cells, keys).groupBy(*keys).applyInArrow(_multiply(k, percent, seed, len(keys)), "u long, v long")
-
-
-def linked(docs: DataFrame, members: DataFrame, k: int, percent: int, seed: int, family: int = FAMILY, grams: int = GRAMS) -> DataFrame | None:
-    """u, v: links that join what is linked inside families (``members``: fam, rep, sig, n); None without links."""
-    least = [F.min(F.struct(F.xxhash64("sig", F.lit(i)), F.col("rep"), F.col("sig"))).alias(f"p{i}") for i in range(PIVOTS)]
-    sizes = members.groupBy("fam").agg(F.count("*").alias("c"), F.sum("n").alias("w"), *least)
-    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("c") / family), F.ceil(F.col("w") / grams)))
-    sizes = write_out(sizes, "family_sizes")
-    chunk = F.pmod(F.xxhash64("sig"), F.col("chunks"))
-    placed = write_out(members.join(sizes.select("fam", "chunks"), "fam").withColumn("chunk", chunk), "family_members")
-    big = sizes.where("chunks > 1")
-    texts = _texts(docs, placed)
-    cells, some_big = placed.select("fam", "chunk", "rep", "sig"), has(big)
-    if some_big:
-        heads = big.select("fam", "chunks", F.explode(F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))).alias("p"))
-        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk")
-        cells = cells.unionByName(heads.select("fam", every, F.col("p.rep").alias("rep"), F.col("p.sig").alias("sig"))).distinct()
-    links = write_out(_products(texts, cells, ["fam", "chunk"], k, percent, seed), "links")
-    if not some_big:
-        return links if has(links) else None
-    found = write_out(components(links), "parts")
-    parts = found.select(F.col("node").alias("rep"), F.col("component").alias("part"))
-    mine = write_out(placed.where("chunks > 1").join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "family_parts")
-    count = mine.groupBy("fam", "part").agg(F.count("*").alias("c"))
-    main = (count.groupBy("fam").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"))
-            .where("most < all").withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / LEFT)))
-    main = write_out(main.select("fam", "main", "blocks"), "family_main")
-    if not has(main):
-        return links
-    some = mine.join(main, "fam")
-    outside = (some.where("part <> main").withColumn("block", F.pmod(F.xxhash64("sig", F.lit("left")), F.col("blocks")))
-               .select("fam", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"), "rep", "sig"))
-    all_ = some.select("fam", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk", "rep", "sig")
-    more = write_out(_products(texts, outside.unionByName(all_).distinct(), ["fam", "block", "chunk"], k, percent, seed), "links_left")
-    return links.unionByName(more)
-
-
 def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame | None:
     """u, v: ties between the sets of a doc_id that comes with several texts."""
     again = rows.where("n > 0 AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("sig").alias("a"), F.max("sig").alias("b")).where("a <> b")
@@ -537,7 +434,7 @@ def join(docs: DataFrame, k: int = K, percent: int = PERCENT, cell: int = CELL,
     if has(edges):
         families = write_out(components(edges), "families")
         members = reps.join(families.select(F.col("node").alias("key"), F.col("component").alias("fam")), "key").select("fam", "rep", "sig", "n")
-        links = linked(docs, members, k, percent, seed, family)
+        links = linked(docs, members, _multiply(k, percent, seed), family, GRAMS, LEFT)
         found = links if found is None else found if links is None else found.unionByName(links)
     comp = reps.select("sig", F.col("rep").alias("component"))
     if found is not None:
