@@ -14,7 +14,7 @@ ordinary samples from about ``SAMPLE_DOCS`` documents chosen by id hash (a docum
 bound for fitting; scanning always covers all).
 
 Positions count code points, end exclusive. A regular expression's matches are placed
-by the lengths of the pieces between them. Cases: a null or empty text has no
+by the lengths of the pieces between them, at a cost that grows with their number (not its square). Cases: a null or empty text has no
 spans; a null doc_id is scanned alike; repeated rows are scanned
 each; without samples of both kinds there is no markov span; an empty table
 gives an empty result. Further columns are ignored.
@@ -24,10 +24,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolpick.llm.common import text_of, write_out
+from poolpick.llm.common import has, text_of, write_out
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]+", r"[0-9a-f]{32,}"
@@ -38,33 +38,54 @@ SIZE = len(ALPHABET) + 1
 KINDS = ("assign", "access", "hex", "markov")
 SAMPLE_DOCS = 20_000
 MIN_MEAN, MIN_SUM = 0.8, 16.0
+GROUP = 256  # matches that are placed together
 NONE = "cast(array() as array<struct<s:int,e:int,v:string>>)"
 
 
 def _placed(text: str, pattern: str, value_group: int, fits: str, when: str) -> str:
-    """SQL for the matches of ``pattern`` that fit, as array<struct<s, e, v>>."""
+    """SQL for the matches of ``pattern`` that fit, as array<struct<s, e, v>>.
+
+    Places are running sums of lengths. A list that grows inside an ``aggregate`` is copied at every step, so
+    matches are placed in groups of ``GROUP``: the groups' own lengths first, then each group from its offset.
+    """
     p = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
     pairs = f"arrays_zip(regexp_extract_all({text}, {p}, 0), regexp_extract_all({text}, {p}, {value_group}), split({text}, {p}, -1))"
-    # arrays_zip pads: the last piece between has no match
-    return f"""case when {when} then filter(aggregate(filter({pairs}, m -> m['0'] is not null),
-        struct(0 as at, {NONE} as found),
+    groups = f"transform(sequence(0, (size(ps) - 1) div {GROUP}), g -> slice(ps, g * {GROUP} + 1, {GROUP}))"
+    offsets = """aggregate(gs, struct(0 as at, cast(array() as array<int>) as all),
+        (acc, g) -> struct(acc.at + aggregate(g, 0, (n, m) -> n + length(m['2']) + length(m['0'])) as at, concat(acc.all, array(acc.at)) as all)).all"""
+    inside = f"""aggregate(g, struct(o as at, {NONE} as found),
         (acc, m) -> struct(acc.at + length(m['2']) + length(m['0']) as at,
-                           concat(acc.found, array(struct(acc.at + length(m['2']) as s, acc.at + length(m['2']) + length(m['0']) as e, m['1'] as v))) as found)).found,
-        x -> {fits}) else {NONE} end"""
+                           concat(acc.found, array(struct(acc.at + length(m['2']) as s, acc.at + length(m['2']) + length(m['0']) as e, m['1'] as v))) as found)).found"""
+    # a lambda over one element binds its value: mentioned below, an expression would be evaluated at every step
+    grouped = f"element_at(transform(array({groups}), gs -> flatten(zip_with(gs, {offsets}, (g, o) -> {inside}))), 1)"
+    # arrays_zip pads: the last piece between has no match
+    matches = f"element_at(transform(array(filter({pairs}, m -> m['0'] is not null)), ps -> if(size(ps) = 0, {NONE}, {grouped})), 1)"
+    return f"case when {when} then filter({matches}, x -> {fits}) else {NONE} end"
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, the three base kinds and the other runs of key characters, each array<struct<s, e, v>>."""
+    """doc_id, the three base kinds and the runs of key characters that touch none of them, each array<struct<s, e, v>>."""
     t = docs.select("doc_id", text_of(docs).alias("text"))
     low = "lower(text)"
     named = " or ".join(f"contains({low}, '{w}')" for w in ("password", "passwd", "secret", "token", "apikey", "api_key"))
-    found = t.selectExpr(
-        "doc_id", _placed("text", ASSIGN, 2, "length(x.v) >= 8", named) + " as assign",
+    found = write_out(t.selectExpr(
+        "monotonically_increasing_id() as row", "doc_id", _placed("text", ASSIGN, 2, "length(x.v) >= 8", named) + " as assign",
         _placed("text", ACCESS, 0, "length(x.v) >= 16", "contains(text, 'AKIA')") + " as access",
         _placed("text", HEX, 0, "true", f"text rlike '{HEX}'") + " as hex",
-        _placed("text", RUN, 0, "true", f"text rlike '{RUN}'") + " as runs")
-    clear = "not exists(concat(assign, access, hex), b -> b.s < r.e and r.s < b.e)"
-    return found.selectExpr("doc_id", "assign", "access", "hex", f"filter(runs, r -> {clear}) as runs")
+        _placed("text", RUN, 0, "true", f"text rlike '{RUN}'") + " as runs"), "secret_matches")  # texts are searched once
+    both = (F.size("runs") > 0) & (F.size("assign") + F.size("access") + F.size("hex") > 0)
+    if not has(found.where(both)):
+        return found.drop("row")
+    part = lambda kinds, k: F.transform(kinds, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), F.lit(k).alias("k")))
+    m = found.where(both).select("row", F.explode(F.concat(part(F.concat("assign", "access", "hex"), 0), part(F.col("runs"), 1))).alias("m")).select("row", "m.*")
+    # spans in order, both ways: the furthest base end before a run, and the nearest base start behind it
+    ahead = Window.partitionBy("row").orderBy("s", "k").rowsBetween(Window.unboundedPreceding, -1)
+    back = Window.partitionBy("row").orderBy(F.desc("s"), F.desc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    m = m.withColumn("ended", F.max(F.when(F.col("k") == 0, F.col("e"))).over(ahead)).withColumn("starts", F.min(F.when(F.col("k") == 0, F.col("s"))).over(back))
+    clear = m.where("k = 1 and coalesce(ended <= s, true) and coalesce(starts >= e, true)")
+    clear = clear.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("s", "e", "v"))).alias("clear"))
+    runs = F.when(both, F.coalesce("clear", F.expr(NONE))).otherwise(F.col("runs"))
+    return found.join(clear, "row", "left").select("doc_id", "assign", "access", "hex", runs.alias("runs"))
 
 
 def random_samples(spans: DataFrame) -> DataFrame:
@@ -120,7 +141,7 @@ def _with_ratio(spans: DataFrame, ratios: list[float]) -> DataFrame:
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the base kinds, base_sha256, spans of every row of ``docs``."""
-    spans = write_out(base_spans(docs), "secret_spans")  # texts are searched once
+    spans = write_out(base_spans(docs), "secret_spans")
     samples = random_samples(spans).unionByName(ordinary_samples(docs, spans.count()))
     ratios = train(samples)
     spans = _with_ratio(spans, ratios) if ratios else spans.withColumn("markov", F.expr(NONE))

@@ -1,8 +1,11 @@
 """License and secret scans against plain Python, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
+import time
+from collections import Counter
 
 import pytest
 
@@ -101,3 +104,75 @@ def test_further_licence_families(spark):
     assert got == {i: (want, int(want != "")) for i, (_, want) in enumerate(cases)}
     codes = list(license_scan.SENTENCES)
     assert all(len(c) == 2 for c in codes)
+
+
+BASE = {"assign": (secret_scan.ASSIGN, 2, 8), "access": (secret_scan.ACCESS, 0, 16), "hex": (secret_scan.HEX, 0, 0)}
+
+
+def plain_scan(rows):
+    """The whole scan in plain Python: base spans, runs that touch none, both character models and the ratio."""
+    found, samples = {}, {0: [], 1: []}
+    for i, t in rows:
+        t = t or ""
+        spans = sorted((m.start(), list(BASE).index(k), m.end(), m.group(g)) for k, (p, g, least) in BASE.items() for m in re.finditer(p, t) if len(m.group(g)) >= least)
+        runs = [(m.start(), m.end(), m.group()) for m in re.finditer(secret_scan.RUN, t)]
+        found[i] = spans, [r for r in runs if not any(s < r[1] and r[0] < e for s, _, e, _ in spans)]
+        samples[1] += [v for *_, v in spans]
+        if not re.search(secret_scan.ASSIGN, t) and "AKIA" not in t and not re.search(secret_scan.HEX, t):
+            samples[0] += re.findall(secret_scan.WORDLIKE, t)
+    code = lambda c: secret_scan.ALPHABET.find(c) % secret_scan.SIZE
+    counts = {k: Counter((code(a), code(b)) for v in vs for a, b in zip(v, v[1:])) for k, vs in samples.items()}
+    trained = counts[0] and counts[1]
+    row = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (a, _), n in c.items():
+            row[k][a] += n
+    step = lambda k, a, b: math.log((counts[k][a, b] + 0.5) / (row[k][a] + 0.5 * secret_scan.SIZE))
+    out = {}
+    for i, (spans, runs) in found.items():
+        markov = []
+        for s, e, v in runs if trained else []:
+            score = sum(step(1, code(a), code(b)) - step(0, code(a), code(b)) for a, b in zip(v, v[1:]))
+            if score >= secret_scan.MIN_SUM and score >= secret_scan.MIN_MEAN * (len(v) - 1):
+                markov.append((s, 3, e))
+        text = lambda xs: ",".join(f"{secret_scan.KINDS[k]}:{s}:{e}" for s, k, e in sorted(xs))
+        base = [x[:3] for x in spans]
+        out[i] = tuple(sum(k == n for _, n, _ in base) for k in range(3)) + (hashlib.sha256(text(base).encode()).hexdigest(), text(base + markov))
+    return out
+
+
+def scanned(spark, rows):
+    df = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    return {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in secret_scan.scan(df.repartition(3)).collect()}
+
+
+def test_scan_equals_plain_python(spark):
+    rng = random.Random(6)
+    key = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    hexes, every = "0123456789abcdef", secret_scan.ALPHABET.rstrip("_=")
+
+    def part():
+        return rng.choice([lambda: f"token = '{key(every, rng.randrange(4, 40))}'", lambda: "AKIA" + key("ABCDEF0123", rng.randrange(8, 30)), lambda: key(hexes, rng.randrange(20, 60)),
+                           lambda: key(every, rng.randrange(16, 50)), lambda: "characteristicallyinternational", lambda: "é password:" + key(hexes, 50) + "_tail" * 6,
+                           lambda: key(every, 25) + "/" + key(hexes, 40), lambda: "ordinary_identifier words", lambda: "中" * 3])()
+
+    rows = [(i, " ".join(part() for _ in range(rng.randrange(12)))) for i in range(120)]
+    rows += [(200 + i, " ".join(rng.choice(["getElementByIdentifier", "compute_average", "plain", "characteristically"]) for _ in range(20))) for i in range(40)]
+    rows += [(900, None), (901, ""), (902, " ".join(f"secret: {key(every, 12)}" for _ in range(700)) + " " + key(every, 45))]
+    got = scanned(spark, rows)
+    assert got == plain_scan(rows)
+    assert sum("markov" in x[4] for x in got.values()) > 10 and got[902][0] == 700
+
+
+def test_a_text_of_many_matches_takes_linear_time(spark):
+    def run(n):
+        rng = random.Random(n)
+        text = " ".join(f"token={rng.getrandbits(64):016x} {rng.getrandbits(128):032x}" for _ in range(n))
+        began = time.time()
+        got = scanned(spark, [(1, text), (2, "plain words here and there")])[1]
+        assert (got[0], got[2]) == (n, n)
+        return time.time() - began
+
+    run(500)
+    small, large = run(4_000), run(32_000)
+    assert large < 8 * small + 20
