@@ -6,7 +6,11 @@ labelled text and carry a guarantee: in every stratum (language), the
 share of good documents that the rules reject is at most ``risk``, with
 confidence ``1 - delta`` over all strata together.
 
-1. Design half of the labelled good documents: for each rung of a ladder from
+Copies of a text would tie the two halves and count as evidence many times. So a labelled text counts
+once in a stratum (by a digest of the text in lower case with single blanks), and that digest
+decides its half. Near copies with other words still count each.
+
+1. Design half of the labelled good texts: for each rung of a ladder from
    lenient to strict, a rule's cutoff is a tail quantile in the stratum, moved
    outward by a slack. One rung fixes the cutoffs of all rules.
 2. Holdout half (never used in 1): for every rung, count the good documents
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from poolpick.llm.common import write_out
+from poolpick.llm.common import text_of, write_out
 from poolpick.llm.features import COUNTS, STATS, column_features
 
 RISK, DELTA = 0.01, 0.05
@@ -126,13 +130,15 @@ def calibrate(good: DataFrame, risk: float = RISK, delta: float = DELTA, ladder=
 
 def judge(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """doc_id, base counts, base_failed, kept for every row of ``docs``."""
-    stats = write_out(statistics(docs, ["doc_id", "lang"]), "quality_rules")  # texts are read once
-    stats = stats.withColumnsRenamed({"k0": "doc_id", "k1": "lang"})
+    plain = F.lower(F.trim(F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", " ")))
+    texts = docs.select("text", "doc_id", "lang", F.md5(plain).alias("digest"))
+    stats = write_out(statistics(texts, ["doc_id", "lang", "digest"]), "quality_rules")  # texts are read once
+    stats = stats.withColumnsRenamed({"k0": "doc_id", "k1": "lang", "k2": "digest"})
     stratum = F.coalesce(F.concat(F.lit("lang:"), F.col("lang")), F.lit("none"))
     lab = labels.where("quality = 1").select("doc_id")
     # what the base rule rejects is not for the calibrated rules to answer for
-    good = (stats.where(~base_failed()).join(lab, "doc_id")
-            .select(stratum.alias("stratum"), (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0).alias("design"), *RULES))
+    good = (stats.where(~base_failed()).join(lab, "doc_id").groupBy(stratum.alias("stratum"), "digest").agg(F.min_by(F.struct(*RULES), "doc_id").alias("first"))
+            .select("stratum", (F.crc32(F.col("digest").cast("binary")) % 2 == 0).alias("design"), "first.*"))
     cuts = calibrate(good, risk, delta)
     verdict = F.coalesce(_violates(_ladder_map(cuts)[stratum]), F.lit(False)) if cuts else F.lit(False)
     return stats.select("doc_id", *COUNTS, base_failed().alias("base_failed"), (~(base_failed() | verdict)).alias("kept"))

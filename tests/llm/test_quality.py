@@ -1,14 +1,18 @@
 """Quality classifier and calibrated rules: held-out accuracy, brute-force restatements, edge tables."""
 
+import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from poolpick.llm import quality_classifier as Q
 from poolpick.llm import quality_rules as R
+from poolpick.llm import features as X
 from poolpick.llm.features import STATS
 from .conftest import DOCS, LABELS, words
 
@@ -106,3 +110,59 @@ def test_rules_edges(spark, edge_docs, no_docs, no_labels):
         assert len(got) == edge_docs.count() and all(r.kept != r.base_failed for r in got)
     assert R.judge(no_docs, no_labels).count() == 0
     assert len(STATS) == Q.D
+
+
+def plain_cutoffs(rows, good, level):
+    """Cutoffs and verdicts in plain Python: halves by the digest of a text, each text once, quantiles by rank, exact tails."""
+    counts, stats = X.column_features(pa.array([t for _, t, _ in rows], pa.string()))
+    value = {i: [stats[j][STATS.index(r)] for r in R.RULES] for j, (i, _, _) in enumerate(rows)}
+    failed = {i: counts[j][0] < R.MIN_WORDS or 100 * counts[j][4] > R.MAX_REPEAT * counts[j][0] for j, (i, _, _) in enumerate(rows)}
+    texts = {}
+    for i, t, lang in sorted(rows):
+        if i in good and not failed[i]:
+            texts.setdefault((lang, hashlib.md5(re.sub(r"[\x20\x09-\x0D]+", " ", t).strip(" ").lower().encode()).hexdigest()), i)
+    halves = {}
+    for (lang, digest), i in texts.items():
+        halves.setdefault(lang, ([], []))[zlib.crc32(digest.encode()) % 2].append(value[i])
+    beyond = lambda v, cut: any(x > c if side == "high" else x < c for x, c, side in zip(v, cut, R.RULES.values()))
+    cuts = {}
+    for lang, (design, held) in halves.items():
+        at = lambda j, p: sorted(v[j] for v in design)[max(math.ceil(p * len(design)) - 1, 0)]
+        ladder = []
+        for share, slack in R.LADDER:
+            q = [at(j, 1 - share if side == "high" else share) for j, side in enumerate(R.RULES.values())]
+            ladder.append([x + slack * (x - at(j, 0.5)) for j, x in enumerate(q)])
+        best = None
+        for cut in ladder:
+            k, n = sum(beyond(v, cut) for v in held), len(held)
+            if sum(math.comb(n, i) * R.RISK ** i * (1 - R.RISK) ** (n - i) for i in range(k + 1)) > level / len(halves):
+                break
+            best = cut
+        if best:
+            cuts[lang] = best
+    return cuts, {i: not failed[i] and not (lang in cuts and beyond(value[i], cuts[lang])) for i, _, lang in rows}
+
+
+def test_cutoffs_and_verdicts_equal_plain_python(spark):
+    rng = random.Random(12)
+
+    def text():
+        return "\n".join(words(rng, rng.randrange(8, 14)) + rng.choice([".", "!", " #", "|"]) for _ in range(rng.randrange(3, 9)))
+
+    rows = [(i, text(), "en" if i % 3 else "de") for i in range(2400)]
+    rows += [(5000 + i, rows[i % 7][1].upper().lower() + " \n", "en") for i in range(1500)]  # copies of few texts are no evidence
+    rows += [(9000 + i, text() + " %%% $$ ## !!" * rng.randrange(9), "en") for i in range(60)]
+    good = {i for i, _, _ in rows if i < 9000}
+    cuts, kept = plain_cutoffs(rows, good, R.DELTA)
+    docs = spark.createDataFrame([(i, t, lang, None, None) for i, t, lang in rows], DOCS).repartition(5)
+    got = {r.doc_id: r.kept for r in R.judge(docs, spark.createDataFrame([(i, int(i in good), 0) for i, _, _ in rows], LABELS)).collect()}
+    assert "en" in cuts and got == kept and not all(kept.values())
+
+
+def test_copies_are_no_evidence(spark):
+    """Five texts in 800 copies each: too few texts to certify any cutoff."""
+    rng = random.Random(13)
+    base = [" ".join(words(rng, 40).split()) for _ in range(5)]
+    docs = spark.createDataFrame([(i, base[i % 5], "en", None, None) for i in range(4000)] + [(9000, base[0] + "".join(f" %%%{j}" for j in range(30)), "en", None, None)], DOCS)
+    got = R.judge(docs, spark.createDataFrame([(i, 1, 0) for i in range(4000)], LABELS)).where("doc_id = 9000").first()
+    assert got.kept and not got.base_failed
