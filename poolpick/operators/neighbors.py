@@ -264,11 +264,17 @@ class Neighbours:
             count[r["cell"]], radius[r["cell"]] = r["n"], r["r"]
         full = count > 0
         self.parts = np.maximum(1, -(-count // self.rows)).tolist()
-        parts = F.get(F.array(*[F.lit(int(x)) for x in self.parts]), F.col("cell"))  # one number for each pivot
-        self.pool = dealt.select("id", "v", "cell", F.pmod(F.xxhash64("id"), parts).cast("int").alias("part"))
+        self.pool = self._per_cell(dealt.select("id", "v", "cell"), "parts", dict(enumerate(self.parts))) \
+            .withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
         # empty cells (pivots whose rows all went to an equal one) bound nothing
         self.cells = Cells(pivots, np.where(full, radius, -np.inf), count, self.metric)
 
+    def _per_cell(self, rows: DataFrame, column: str, values: dict[int, int]) -> DataFrame:
+        """``rows`` of the cells in ``values`` with their value; at most one row for each pivot is broadcast."""
+        if len(self.parts) == 1:
+            return rows.withColumn(column, F.lit(values[0]))
+        return rows.join(F.broadcast(self.spark.createDataFrame([(c, int(x)) for c, x in values.items()], f"cell int, {column} int")), "cell")
+
     def _visits(self, targets: DataFrame, k: int, home: bool, narrow: bool = False) -> DataFrame:
         """cell, part, and the target's columns, for every cell that may hold one of its next rows up to rank k.
 
@@ -327,10 +333,9 @@ class Neighbours:
             streamed = targets.withColumn("cell", F.lit(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(self.parts[0] - 1))))
         else:
             streamed = self._visits(targets, k, home)
-        chunks = F.get(F.array(*[F.lit(max(1, -(-of.get(c, 0) // self.per_task))) for c in range(len(self.parts))]), F.col("cell"))
-        streamed = streamed.withColumn("chunk", F.pmod(F.xxhash64("id"), chunks).cast("int"))
-        used = F.get(F.array(*[F.lit(c in of) for c in range(len(self.parts))]), F.col("cell"))
-        resident = self.pool.where(used).withColumn("chunk", F.explode(F.sequence(F.lit(0), (chunks - 1).cast("int"))))
+        chunks = {c: max(1, -(-n // self.per_task)) for c, n in of.items()}  # cells that nobody visits have none
+        streamed = self._per_cell(streamed, "chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        resident = self._per_cell(self.pool, "chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
         return _stream(resident, streamed, _nearest(k - self.listed, self.metric), _EDGES)
 
     def _next(self, k: int) -> DataFrame:
