@@ -1,4 +1,8 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table, by alternating stars.
+
+Cases: edges with a null end, loops and repeated edges tie nothing; a node without an edge to another
+node has no row; an empty table gives an empty result; further columns are ignored.
+"""
 
 from __future__ import annotations
 

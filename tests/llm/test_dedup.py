@@ -177,3 +177,10 @@ def test_patterned_words_are_no_near_copies(spark):
     rows = [(2 * j + i, f"{w} one two") for j, n in enumerate((1024, 2048, 16384)) for i, w in enumerate(thue_morse(n))]
     got = N.link(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS), 2).collect()
     assert all(r.kept and r.component_id == r.doc_id and r.n_shingles == 2 for r in got)
+
+
+def test_components_of_odd_edges(spark):
+    none = spark.createDataFrame([], "u long, v long")
+    assert components(none).count() == 0
+    odd = spark.createDataFrame([(1, None, "x"), (None, 2, "x"), (None, None, "x"), (3, 3, "x"), (5, 4, "x"), (4, 5, "y")], "u long, v long, m string")
+    assert sorted(map(tuple, components(odd).collect())) == [(4, 4), (5, 4)]

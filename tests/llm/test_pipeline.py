@@ -81,3 +81,17 @@ def test_tokens_equal_the_library(stages):
 def test_run_gives_the_rows_of_the_last_stage(spark, stages):
     assert Counter(r.doc_id for r in P.run(spark, SF).collect()) == Counter(r.doc_id for r in stages[5].collect())
     assert P.ORACLE_SQL is None
+
+
+def test_run_on_empty_and_on_clashing_tables(spark, tmp_path, edge_docs, no_docs):
+    """The pipeline as registered, over whole folders: no documents, and nulls, repeats and columns that operators use inside."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    for name, docs in (("none", no_docs), ("edge", edge_docs)):
+        docs.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.write.parquet(str(tmp_path / name / "labels.parquet"))
+    none = P.run(spark, str(tmp_path / "none"))
+    assert none.count() == 0 and set(none.columns) == set(no_docs.columns) - {"text"} | {"ids"}
+    edge = P.run(spark, str(tmp_path / "edge"))
+    assert set(edge.columns) == set(edge_docs.columns) - {"text"} | {"ids"}
+    kept = Counter(r.doc_id for r in edge.collect())
+    assert 5 not in kept and set(kept) <= {r.doc_id for r in edge_docs.collect()}  # 5 repeats 4
