@@ -10,8 +10,9 @@
    six trees with 1 - 5e-8. Nodes of up to ``LEAF`` documents are leaves; larger ones
    branch on, down to ``DEPTH``. A large node whose documents share most minwise tokens
    (or at that depth) holds near copies, which a further branch would not part: it is cut into hash
-   chunks that all hold the same pivots. Each node has its own chunks and pivots, so the up to 48 nodes that
-   hold the same group give a pair as many chances to meet.
+   chunks that all hold the same pivots. What the chunks leave apart is looked up exactly: rows outside the
+   largest part of a cut node meet all its rows of other parts, block by block, so a cut node
+   compares every pair that is not tied already.
 3. A leaf compares all its pairs on the sketches, and returns a spanning forest of the
    pairs that may reach the similarity (4 standard errors below it), never
    the pairs. The forests' components are families.
@@ -43,6 +44,7 @@ from poolpick.llm.graph import components
 TREES, BRANCH, DEPTH, ROOT = 6, 2, 6, 3
 SKETCH = TREES * DEPTH * BRANCH
 LEAF, PIVOTS, FAMILY, LEFT, GRAMS = 48, 8, 200, 100, 4_000_000
+WIDE, PAIRS = 1024, 20_000_000  # rows of a block of a cut node's rest, pairs of one task there
 PERCENT = 80
 SIGNS, ALIKE = 16, 0.4  # hash functions of the test for near copies, share of equal tokens that passes it
 ERRORS = 4.2  # standard errors of the sketch below the similarity that still count as possible
@@ -153,8 +155,8 @@ def _alike_nodes(rows: DataFrame, reps: DataFrame) -> DataFrame:
     return sums.select("node", (pairs >= ALIKE * F.col("c") * F.col("c")).alias("alike"))
 
 
-def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """cell, rep: members of all leaf nodes of two documents or more."""
+def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """(cell, rep: members of all leaf nodes of two documents or more; node, rep, c: members of the nodes cut into chunks, None without)."""
     rows, level, out, hot = _root_nodes(reps), ROOT, [], []
     while True:
         sizes = rows.groupBy("node").agg(F.count("*").alias("c")).where("c > 1")
@@ -172,13 +174,15 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
         rows = _next_nodes(big.where("NOT alike").select("node", "tree", "rep"), reps, level)
         level += 1
     if not hot:
-        return _all(out)
-    hot, chunks = _all(hot), F.ceil(F.col("c") / leaf)
+        return _all(out), None
+    hot, chunks = write_out(_all(hot), "cut_nodes"), F.ceil(F.col("c") / leaf)
+    if not has(hot):
+        return _all(out), None
     out.append(hot.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), chunks)).alias("cell"), "rep"))
     nodes = hot.groupBy("node", "c").agg(*_least("rep")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
     heads = F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))
     out.append(nodes.select("node", "i", F.explode(heads).alias("rep")).select(F.xxhash64("node", "i").alias("cell"), "rep"))
-    return _all(out)
+    return _all(out), hot
 
 
 def _all(parts):
@@ -205,14 +209,23 @@ def _forest(size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def _compare_leaves(percent: int):
+def _near(sk: np.ndarray, i: np.ndarray, j: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) whose sketches may reach the similarity."""
     floor = percent / 100 - ERRORS * math.sqrt(percent / 100 * (1 - percent / 100) / SKETCH)
+    ok = np.concatenate([(sk[i[lo:lo + 20_000]] == sk[j[lo:lo + 20_000]]).mean(1) >= floor for lo in range(0, len(i), 20_000)] or [np.zeros(0, bool)])
+    return i[ok], j[ok]
+
+
+def _heads(cell: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
 
-    def links(cell, rep, n, sk):
-        """Spanning forest over the possible links of whole cells (sorted by cell)."""
-        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+
+def _compare_leaves(percent: int):
+    """(i, j) of the possible links inside whole cells (sorted by cell)."""
+
+    def pairs(cell, rep, n, sk):
+        first = _heads(cell)
         size = np.diff(np.append(first, len(cell)))
-        us, vs = [], []
         gap = 1
         place = np.arange(len(cell)) - np.repeat(first, size)
         left = np.repeat(size, size) - place  # members from here to the cell's end
@@ -222,22 +235,44 @@ def _compare_leaves(percent: int):
                 break
             b = a + gap
             a, b = (x[np.minimum(n[a], n[b]) * 100 >= percent * np.maximum(n[a], n[b])] for x in (a, b))
-            for lo in range(0, len(a), 20_000):
-                i, j = a[lo:lo + 20_000], b[lo:lo + 20_000]
-                near = (sk[i] == sk[j]).mean(1) >= floor
-                us.append(i[near])
-                vs.append(j[near])
+            yield _near(sk, a, b, percent)
             gap += 1
-        us, vs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (us, vs))
-        root = _forest(len(cell), us, vs)
-        tied = np.flatnonzero(root != np.arange(len(cell)))
-        return rep[tied], rep[root[tied]]
+
+    return pairs
+
+
+def _compare_rest(percent: int):
+    """(i, j) of the possible links of rows of side 0 with rows of other parts. Side 1: the largest part, 2: others, which
+    come on side 0 too."""
+
+    def pairs(cell, rep, n, side, part, sk):
+        for lo, hi in zip(first := _heads(cell), np.append(first[1:], len(cell))):
+            a, b = lo + np.flatnonzero(side[lo:hi] == 0), lo + np.flatnonzero(side[lo:hi] > 0)
+            step = max(1, 500_000 // max(1, len(b)))
+            for s in range(0, len(a), step):
+                x = a[s:s + step, None]
+                open_ = (part[x] != part[b]) & ((side[b] == 1) | (rep[x] < rep[b]))
+                open_ &= np.minimum(n[x], n[b]) * 100 >= percent * np.maximum(n[x], n[b])
+                i, j = np.nonzero(open_)
+                yield _near(sk, x[i, 0], b[j], percent)
+
+    return pairs
+
+
+def _forests(pairs, width: int):
+    """Spanning forests over ``pairs`` of whole cells (rows: cell, rep, further columns, sk; ``width`` of them before sk)."""
+
+    def links(cols):
+        found = list(pairs(*cols))
+        us, vs = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in ([f[0] for f in found], [f[1] for f in found]))
+        root = _forest(len(cols[0]), us, vs)
+        tied = np.flatnonzero(root != np.arange(len(root)))
+        return _edges(cols[1][tied], cols[1][root[tied]])
 
     def run(batches):
         held = None
         for b in batches:
-            cols = [np.asarray(b.column(0)), np.asarray(b.column(1)), np.asarray(b.column(2)),
-                    np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint16).reshape(-1, SKETCH)]
+            cols = [*[np.asarray(b.column(i)) for i in range(width)], np.frombuffer(b"".join(b.column(width).to_pylist()), np.uint16).reshape(-1, SKETCH)]
             if held is not None:
                 cols = [np.concatenate([h, c]) for h, c in zip(held, cols)]
             if not len(cols[0]):
@@ -245,9 +280,9 @@ def _compare_leaves(percent: int):
             cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last cell may go on in the next batch
             held = [c[cut:] for c in cols]
             if cut:
-                yield _edges(*links(*[c[:cut] for c in cols]))
+                yield links([c[:cut] for c in cols])
         if held is not None:
-            yield _edges(*links(*held))
+            yield links(held)
 
     return run
 
@@ -259,7 +294,34 @@ def _edges(u, v) -> pa.RecordBatch:
 def possible_links(cells: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """u, v: spanning forests over the pairs of each cell whose sketches may reach the similarity."""
     full = cells.join(reps.select("rep", "n", "sk"), "rep").select("cell", "rep", "n", "sk")
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_compare_leaves(percent), "u long, v long")
+    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(_compare_leaves(percent), 3), "u long, v long")
+
+
+def rest_links(hot: DataFrame, tied: DataFrame, reps: DataFrame, percent: int = PERCENT, wide: int = WIDE) -> DataFrame | None:
+    """u, v: spanning forests over the possible pairs of cut nodes (``hot``) that ``tied`` leaves apart; None without rows for them.
+
+    Parts are the components of ``tied``. Rows outside a node's largest part are dealt in blocks, all its rows in
+    chunks, and every block meets every chunk. Nodes of the same rows are one.
+    """
+    parts = components(tied).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    mine = write_out(hot.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "cut_parts")
+    count = mine.groupBy("node", "part").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("rows"))
+    nodes = (count.groupBy("node").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.bit_xor("rows").alias("rows"))
+             .where("most < all").groupBy("all", "rows").agg(F.min(F.struct("node", "main", "most")).alias("x")).select("x.*", "all"))
+    nodes = write_out(nodes.withColumn("blocks", F.ceil((F.col("all") - F.col("most")) / wide)).withColumn("chunks", F.ceil(F.col("all") / wide)), "cut_main")
+    work = nodes.agg(F.sum((F.col("all") - F.col("most")) * F.col("all")).cast("double")).first()[0]
+    if not work:
+        return None
+    some = mine.join(nodes.drop("all", "most"), "node")
+    every = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+    outer = some.where("part <> main").select("node", F.pmod(F.xxhash64("rep", "node", F.lit("rest")), "blocks").alias("block"), every("chunks").alias("chunk"),
+                                              "rep", F.lit(0).alias("side"), "part")
+    whole = some.select("node", every("blocks").alias("block"), F.pmod(F.xxhash64("rep", "node"), "chunks").alias("chunk"),
+                        "rep", F.when(F.col("part") == F.col("main"), 1).otherwise(2).alias("side"), "part")
+    cells = outer.unionByName(whole).select(F.xxhash64("node", "block", "chunk").alias("cell"), "rep", "side", "part")
+    full = cells.join(reps.select("rep", "n", "sk"), "rep").select("cell", "rep", "n", "side", "part", "sk")
+    tasks = min(10_000, math.ceil(work / PAIRS))
+    return full.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_forests(_compare_rest(percent), 5), "u long, v long")
 
 
 class _Sets:
@@ -305,12 +367,16 @@ def _confirm(k: int, percent: int, seed: int):
     return run
 
 
-def link(docs: DataFrame, k: int, percent: int = PERCENT, leaf: int = LEAF, family: int = FAMILY, depth: int = DEPTH) -> DataFrame:
+def link(docs: DataFrame, k: int, percent: int = PERCENT, leaf: int = LEAF, family: int = FAMILY, depth: int = DEPTH, wide: int = WIDE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs``."""
     seed = B.new_seed()
     rows = write_out(sketches(docs, k, seed), "sketches")
     reps = write_out(representatives(rows), "representatives")
-    tied = write_out(possible_links(leaves(reps, leaf, depth), reps, percent), "possible_links")
+    cells, hot = leaves(reps, leaf, depth)
+    tied = write_out(possible_links(cells, reps, percent), "possible_links")
+    rest = None if hot is None else rest_links(hot, tied, reps, percent, wide)
+    if rest is not None:
+        tied = tied.unionByName(write_out(rest, "possible_links_rest"))
     comp = reps.select("sig", F.col("rep").alias("component"))
     if has(tied):
         families = write_out(components(tied), "families")

@@ -116,6 +116,61 @@ def test_near_copies_match_brute_force(spark):
         assert got == plain_near(rows, k)
 
 
+def test_cut_nodes_lose_no_possible_link(spark, monkeypatch):
+    monkeypatch.setattr(N, "TREES", 1)  # fewer nodes: a pair has few chances to meet in a chunk
+    monkeypatch.setattr(N, "PIVOTS", 1)
+    rng = random.Random(17)
+    base, rows = words(rng, 100, 5000).split(), []
+    for i in range(500):  # alike, but mostly below the similarity: nodes are cut, and pivots tie little
+        t = list(base)
+        for at in rng.sample(range(0, 100, 2), 12):
+            t[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+        if i % 2 == 0:  # a near copy of this one
+            t[99 - 2 * rng.randrange(50)] = "other"
+            rows.append((1000 + i, " ".join(t)))
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    reps = N.representatives(N.sketches(df.repartition(3), 2, 5)).localCheckpoint()
+    cells, hot = N.leaves(reps, 6, N.ROOT)
+    tied = N.possible_links(cells, reps).localCheckpoint()
+    members = {}
+    for r in hot.collect():
+        members.setdefault(r.node, set()).add(r.rep)
+    size = {r.rep: (r.n, N.np.frombuffer(r.sk, N.np.uint16)) for r in reps.collect()}
+    possible = {(a, b) for m in members.values() for a in m for b in m if a < b and b == a + 1000}
+    possible = {(a, b) for a, b in possible if len(N._near(N.np.stack([size[a][1], size[b][1]]), N.np.array([0]), N.np.array([1]), 80)[0])}
+    part = lambda edges: dict(map(tuple, components(edges).collect()))
+    before = part(tied)
+    assert any(before.get(a, a) != before.get(b, b) for a, b in possible)  # chunks and pivots alone lose some
+    after = part(tied.unionByName(N.rest_links(hot, tied, reps, wide=64)))
+    assert possible and all(after.get(a, a) == after.get(b, b) for a, b in possible)
+    got = {r.doc_id: r.component_id for r in N.link(df, 2, leaf=6, depth=N.ROOT, wide=64).collect()}
+    assert all(got[a] == got[b] for a, b in possible)
+
+
+def test_pipeline_near_is_the_same_with_cut_and_whole_nodes(spark, monkeypatch):
+    import functools
+
+    import corpus_pipeline as P
+
+    for name, value in (("TREES", 1), ("PIVOTS", 1)):
+        monkeypatch.setattr(N, name, value)
+    monkeypatch.setattr(N.B, "new_seed", lambda: 5)
+    rng = random.Random(23)
+    base, rows = words(rng, 150, 5000).split(), []
+    for i in range(300):
+        t = list(base)
+        for at in rng.sample(range(0, 150, 2), 10):
+            t[at] = f"x{rng.randrange(10**6)}"
+        rows += [(i, " ".join(t)), (1000 + i, " ".join([*t, "more", "words"]))]
+    df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+    whole, kept = N.link, []
+    for leaf, wide in ((10**6, 64), (6, 64)):
+        monkeypatch.setattr(N, "link", functools.partial(whole, leaf=leaf, depth=N.ROOT, wide=wide))
+        kept.append(sorted(r.doc_id for r in P.near(spark, df, None).collect()))
+    assert kept[0] == kept[1] and len(kept[0]) < len(rows)
+
+
 def test_near_edges(edge_docs, no_docs):
     got = N.link(edge_docs, 2).collect()
     assert len(got) == edge_docs.count()
