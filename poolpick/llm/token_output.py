@@ -35,19 +35,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from poolpick.llm import bytekit as B
-from poolpick.llm.common import arrow_batch_bytes
+from poolpick.llm.common import arrow_batch_bytes, write_out
 from poolpick.llm.piece_memo import PieceMemo
 
 END_ID = 0
 BATCH_BYTES = "4m"  # of an Arrow batch: a task also holds sort pages and a stripe
 STRIPE_BYTES = str(16 << 20)
 CALL_TEXTS = 64  # texts in one call of the library, whose results are large objects
+JOINED = 256  # pieces joined to one of these texts
 OUT = "doc_id {kind}, first long, ids array<int>"
 _state: dict = {}
 
 # character classes of the pre-tokenizer
 OTHER, LETTER, NUMBER, WHITE = 0, 1, 2, 3
 #: fixed values: the contractions that the byte-level pre-tokenizer cuts off
+_WHITE = frozenset(map(chr, [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 
 
@@ -58,8 +60,7 @@ def _classes() -> np.ndarray:
         for cp in range(sys.maxunicode + 1):
             cat = unicodedata.category(chr(cp))[0]
             kinds[cp] = LETTER if cat == "L" else NUMBER if cat == "N" else OTHER
-        white = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-        kinds[white] = WHITE
+        kinds[[ord(c) for c in _WHITE]] = WHITE
         _state["classes"] = kinds
     return _state["classes"]
 
@@ -159,32 +160,34 @@ class PieceEncoder:
     def encode_new(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id counts) of distinct pieces.
 
-        Pieces that begin with a blank and a letter, and hold letters only, are
-        joined: the pre-tokenizer cuts before each blank. All others go alone.
+        Pieces of a run (letters, numbers or other marks) are joined: the pre-tokenizer cuts before the blank that a piece
+        begins with, and around a line end, which stands before the pieces that begin with none. White space goes alone.
         """
-        plain = [len(s) > 1 and s[:1] == b" " and s[1:].isalpha() for s in spans]
-        joined = [i for i, p in enumerate(plain) if p]
-        alone = [i for i, p in enumerate(plain) if not p]
-        texts, groups = [], []
-        for lo in range(0, len(joined), 256):
-            groups.append(joined[lo:lo + 256])
-            texts.append(b"".join(spans[i] for i in groups[-1]).decode())
-        for i in alone:
-            groups.append([i])
-            texts.append(spans[i].decode("utf-8", "replace"))
-        counts = np.zeros(len(spans), np.int64)
-        found: list = [None] * len(spans)
-        for lo in range(0, len(texts), CALL_TEXTS):
-            some = groups[lo:lo + CALL_TEXTS]
-            for group, enc in zip(some, self.lib.encode_batch_fast(texts[lo:lo + CALL_TEXTS], add_special_tokens=False)):
-                ids = np.array(enc.ids, np.int32)
-                if len(group) == 1:
-                    found[group[0]], counts[group[0]] = ids, len(ids)
-                    continue
-                cuts = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(spans[i]) for i in group])) + 1
-                for i, part in zip(group, np.split(ids, cuts[:-1])):
-                    found[i], counts[i] = part, len(part)
-        return (np.concatenate(found) if found else np.zeros(0, np.int32)), counts
+        texts = [s.decode("utf-8", "replace") for s in spans]
+        blank = [t[0] == " " and len(t) > 1 for t in texts]
+        joins = [t[b] not in _WHITE and "\ufffd" not in t for t, b in zip(texts, blank)]
+        joined = [i for i, j in enumerate(joins) if j]
+        lines = [texts[i] if blank[i] else "\n" + texts[i] for i in joined]
+        ids = self._ids(["".join(lines[lo:lo + JOINED]) for lo in range(0, len(lines), JOINED)])[0]
+        ends = np.cumsum(self.width[ids])
+        size = np.array([len(spans[i]) for i in joined], np.int64)
+        stop = np.cumsum(size + ~np.array([blank[i] for i in joined], bool))
+        upto, since = np.searchsorted(ends, stop, "right"), np.searchsorted(ends, stop - size, "right")
+        if not (np.array_equal(ends[upto - 1], stop) and np.array_equal(np.where(since, ends[since - 1], 0), stop - size)):
+            raise ValueError("the vocabulary's pre-tokenizer does not cut before blanks and around line ends")
+        alone = [i for i, j in enumerate(joins) if not j]
+        own, counts_own = self._ids([texts[i] for i in alone])
+        first, counts = np.zeros(len(spans), np.int64), np.zeros(len(spans), np.int64)
+        first[joined], counts[joined] = since, upto - since
+        first[alone], counts[alone] = len(ids) + np.cumsum(counts_own) - counts_own, counts_own
+        done = np.cumsum(counts) - counts
+        return np.concatenate([ids, own])[np.repeat(first - done, counts) + np.arange(counts.sum())], counts
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, id counts) of texts by the library, ``CALL_TEXTS`` in a call."""
+        found = [np.array(e.ids, np.int32) for lo in range(0, len(texts), CALL_TEXTS)
+                 for e in self.lib.encode_batch_fast(texts[lo:lo + CALL_TEXTS], add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.int32), *found]), np.array([len(x) for x in found], np.int64)
 
     def encode(self, data: np.ndarray, offs: np.ndarray, added: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids, id offsets per document) of a block, without end ids. ``added``: whether added tokens are ids or plain text."""
@@ -212,7 +215,7 @@ class PieceEncoder:
         sp = pieces(data, offs, place, chars)
         names = B.span_hashes(data, sp.starts, sp.ends)
         raw = data.tobytes()
-        ids, upto = self.memo.lay_out(names, lambda at: self.encode_new([raw[sp.starts[w]:sp.ends[w]] for w in at]))
+        ids, upto = self.memo.lay_out(names, lambda at: self.encode_new([raw[lo:hi] for lo, hi in zip(sp.starts[at].tolist(), sp.ends[at].tolist())]))
         return ids, upto[sp.offs]
 
 
@@ -282,13 +285,12 @@ def document_digests(stored: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every stored document, from the files.
 
     ``start`` is the document's place in its file plus the ids of all earlier
-    files; one total per file is summed in file order.
+    files; one total per file is summed in file order. The files are read once: what is made of them is written out, narrow.
     """
-    spark = stored.sparkSession
     kind = stored.schema["doc_id"].dataType.simpleString()
     rows = stored.select("doc_id", "first", "ids", F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"))
-    rows = rows.mapInArrow(_digests, f"doc_id {kind}, first long, n_tokens long, ids_crc32 long, file long")
-    totals = stored.select(F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long").alias("file"), F.size("ids").alias("n")).groupBy("file").agg(F.sum("n").alias("n"))
+    rows = write_out(rows.mapInArrow(_digests, f"doc_id {kind}, first long, n_tokens long, ids_crc32 long, file long"), "token_digests")
+    totals = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     before = totals.withColumn("before", F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)))
     return (rows.join(before.select("file", "before"), "file")
             .select("doc_id", (F.col("first") + F.coalesce("before", F.lit(0))).alias("start"), "n_tokens", "ids_crc32"))

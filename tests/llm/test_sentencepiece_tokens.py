@@ -165,3 +165,14 @@ def test_patterned_words_keep_their_own_ids():
     model = vocabulary("piece_bpe_32k.model")
     ids, back = encode(S.Vocabulary(open(model, "rb").read()), ts)
     assert back == ts and ids == sp.SentencePieceProcessor(model_file=model).encode(ts)
+
+
+def test_new_pieces_reach_the_library_joined():
+    enc = TO.PieceEncoder(vocabulary("byte_bpe_50k.json"))
+    text = "".join(f"{gap}{word}{i}" for i in range(300) for gap, word in ((" ", "wörd"), ("\n", "line"), (" ", "42,"), ("\t", "'s")))
+    sent, call = [], enc._ids
+    enc._ids = lambda texts: sent.append(len(texts)) or call(texts)
+    data = TO.np.frombuffer(text.encode(), TO.np.uint8)
+    ids, _ = enc.encode(data, TO.np.array([0, len(data)]))
+    assert ids.tolist() == enc.lib.encode(text, add_special_tokens=False).ids
+    assert sum(sent) < 10  # pieces without a blank, and those of other letters, went alone before
