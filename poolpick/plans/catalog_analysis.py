@@ -17,7 +17,7 @@ from poolpick.operators import chunking as ch
 from poolpick.plans.catalog_eval import CH, QA_Q, QA_STRIDE, qa_window_offsets
 from poolpick.plans.catalog_selection import _DIST_CTE, _RANKED_CTE, _knn_sql, flagship
 from poolpick.plans.registry import r6, register
-from poolpick.session import dealt, scratch_path
+from poolpick.session import dealt, materialise, scratch_path, tasks_for
 from poolpick.sources import sinks as sk
 
 KS = [1, 2, 4, 8, 16]
@@ -123,6 +123,7 @@ def q_feature_to_example(spark, sf_dir):
 
 
 N_BEST, MAX_ANS = 20, 1000
+TASK_WINDOWS = 50_000  # windows that one task of the search takes
 # every window of every whole document is a feature; its logits are the embedding with the key below
 _KEY = "(example_id * 7 + win) % (SELECT count(*) FROM embeddings)"
 _SPAN_CTES = [
@@ -155,14 +156,19 @@ def q_qa_best_span(spark, sf_dir):
     per example, answer cut from the text by character offsets."""
     docs = fx.docs_df(spark, sf_dir).select(F.col("row_id").alias("example_id"), F.col("text").alias("context"))
     e = fx.table(spark, sf_dir, "embeddings")
-    n_tok = F.ceil(F.col("len") / CH).cast("int")
-    w = docs.select("example_id", F.length("context").alias("len"))
-    w = w.select("example_id", "len", F.posexplode(ch.window_starts(n_tok, 2 * QA_STRIDE, QA_STRIDE)).alias("win", "ws"))
-    # narrow rows are dealt before the search, some thousand windows of an example together, so a long text is many tasks
-    w = dealt(w, "example_id", F.col("win").bitwiseAND(~0xFFF))
+    starts = ch.window_starts(F.ceil(F.col("len") / CH).cast("int"), 2 * QA_STRIDE, QA_STRIDE)
+    w = materialise(docs.select("example_id", F.length("context").alias("len")), "qa_lengths")
+    # the search is dealt by windows, not by bytes: their rows are narrow and their work is not
+    n_win = w.agg(F.sum(F.size(starts))).first()[0] or 0
+    tasks, n_vec = tasks_for(spark, n_win, TASK_WINDOWS), e.count()
+    w = w.repartition(tasks, "example_id").select("example_id", "len", F.posexplode(starts).alias("win", "ws"))
     logits = e.select("vec_id", F.transform(F.slice("embedding", 1, 32), lambda x: x.cast("double")).alias("zs"),
                       F.transform(F.slice("embedding", 33, 32), lambda x: x.cast("double")).alias("ze"))
-    f = w.withColumn("vec_id", (F.col("example_id") * 7 + F.col("win")) % e.count()).join(logits, "vec_id")
+    copies = max(1, -(-4 * tasks // max(1, n_vec)))  # few vectors serve all tasks
+    logits = logits.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).repartition(tasks, "vec_id", "copy")
+    w = w.withColumn("vec_id", (F.col("example_id") * 7 + F.col("win")) % n_vec) \
+        .withColumn("copy", F.pmod(F.xxhash64("example_id", "win"), F.lit(copies)).cast("int"))
+    f = w.repartition(tasks, "vec_id", "copy").join(logits, ["vec_id", "copy"])
     offs, seq = qa_window_offsets(F.col("ws"), F.col("len"))
     f = f.withColumn("offsets", ch.mask_offsets(offs, seq))
     b = qa.best_spans(f, docs, N_BEST, MAX_ANS, feature_col="win")

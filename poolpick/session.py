@@ -111,6 +111,12 @@ def dealt(df, *keys):
     return df.repartition(n, *keys)
 
 
+def tasks_for(spark: SparkSession, items: int, per_task: int) -> int:
+    """Tasks for ``items`` pieces of work of ``per_task`` each; as many as ``dealt`` takes at least."""
+    least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return max(least, -(-items // per_task))
+
+
 def dealt_if_few(df, *keys):
     """``dealt`` for a scan with fewer splits than the cluster has cores (a file of one row group); a large scan stays as it is."""
     few = df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism

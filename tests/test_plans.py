@@ -99,3 +99,17 @@ def test_large_selections_are_ranked_without_a_single_task(spark, monkeypatch):
     p = plan(st.select_random(pool, st.empty_prev(spark), 900))
     assert "row_number() windowspecdefinition(_pid" in p  # rows are numbered inside range partitions
     assert "row_number() windowspecdefinition(row_id" not in p
+
+
+def test_span_search_is_dealt_by_windows(spark, monkeypatch):
+    from poolpick.plans import catalog_analysis as ca
+
+    monkeypatch.setattr(ca, "TASK_WINDOWS", 40)
+    searched = []
+    best = ca.qa.best_spans
+    monkeypatch.setattr(ca.qa, "best_spans", lambda f, *a, **k: searched.append(f) or best(f, *a, **k))
+    out = Q["qa_best_span"](spark, SF_SMALL)
+    rows = searched[0].count()
+    assert rows > 40 * 8  # more than the session's tasks would take
+    assert searched[0].rdd.getNumPartitions() >= rows // 40
+    assert out.count() == fx.docs_df(spark, SF_SMALL).count()
