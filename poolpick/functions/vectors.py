@@ -40,13 +40,24 @@ def sq_dists(p: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, float]:
     origin lose no digits to cancellation.
     """
     mean = t.mean(axis=0)
-    p, t = p - mean, t - mean
-    p_sq, t_sq = np.einsum("ij,ij->i", p, p), np.einsum("ij,ij->i", t, t)
-    d2 = p_sq[:, None] + t_sq[None, :] - 2.0 * (p @ t.T)
+    return shifted_sq_dists(p - mean, t - mean)
+
+
+def shifted_sq_dists(p: np.ndarray, t: np.ndarray, t_sq: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """``sq_dists`` of sides that are shifted already; one array of [len(p), len(t)] and no temporaries of that size."""
+    p_sq, t_sq = sq_norms(p), sq_norms(t) if t_sq is None else t_sq
+    d2 = p @ t.T
+    d2 *= -2.0
+    d2 += p_sq[:, None]
+    d2 += t_sq
     np.maximum(d2, 0.0, out=d2)
     return d2, 1e-13 * max(1, p.shape[1]) * (p_sq.max(initial=0.0) + t_sq.max(initial=0.0))
 
 
+def sq_norms(x: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", x, x)
+
+
 def pair_dists(p: np.ndarray, t: np.ndarray) -> np.ndarray:
     """L2 distance of row i of ``p`` to row i of ``t`` by direct differences: the same for a pair in any block."""
     diff = p - t

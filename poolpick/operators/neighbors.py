@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from poolpick.functions.vectors import BLOCK_CELLS, arrow_matrix, block_rows, pair_dists, sq_dists, unit_rows
+from poolpick.functions.vectors import BLOCK_CELLS, arrow_matrix, block_rows, pair_dists, shifted_sq_dists, sq_dists, sq_norms, unit_rows
 from poolpick.session import materialise, scratch_path
 
 BLOCK_BYTES = 32 << 20   # vectors of one cell or block
@@ -179,6 +179,12 @@ def _stream(resident: DataFrame, streamed: DataFrame, kernel, schema: str) -> Da
     return dealt.mapInArrow(run, schema)
 
 
+def _kth(score: np.ndarray, place: int) -> np.ndarray:
+    """The value at ``place`` of every sorted column, some columns at a time."""
+    step = max(1, BLOCK_CELLS // 16 // max(1, len(score)))
+    return np.concatenate([np.partition(score[:, lo:lo + step], place, axis=0)[place] for lo in range(0, score.shape[1], step)] or [np.empty(0)])
+
+
 def _nearest(k: int, metric: str):
     """The k nearest rows of a cell for every target of a batch: beyond the target's last listed row, none beyond its bound."""
     names = ["tgt_id", "src_id", "dist"]
@@ -208,7 +214,7 @@ def _nearest(k: int, metric: str):
             score[score < (low - room)[None]] = np.inf  # surely not beyond the last listed row
             unsure = int((score <= (low + room)[None]).sum(0).max(initial=0))
             place = k + unsure - 1
-            kth = np.partition(score, place, axis=0)[place] if place < len(p) else np.full(len(t), np.inf)
+            kth = _kth(score, place) if place < len(p) else np.full(len(t), np.inf)
             # everything that may be among the next k, all ties with the k-th included
             rows, cols = np.nonzero((score <= np.minimum(kth, np.where(np.isinf(top), top, top + 1e-12 * np.abs(top)))[None] + 2 * err) & (score < np.inf))
             d = measure(p, t, rows, cols)
@@ -438,10 +444,19 @@ def _sums(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
     """Sum, least and largest distance of every row of x to the rows of y."""
     out = np.empty((3, len(x)))
     if metric == "cosine":
-        x, y = unit_rows(x), unit_rows(y)
+        y = unit_rows(y)
+    else:  # shifted once for all batches
+        mean = y.mean(axis=0)
+        y = y - mean
+        y_sq = sq_norms(y)
     for lo, hi in _batches_of(len(x), len(y)):
-        d = x[lo:hi] @ y.T if metric == "cosine" else np.sqrt(sq_dists(x[lo:hi], y)[0])
+        if metric == "cosine":
+            d = unit_rows(x[lo:hi]) @ y.T
+        else:
+            d = shifted_sq_dists(x[lo:hi] - mean, y, y_sq)[0]
+            np.sqrt(d, out=d)
         out[:, lo:hi] = d.sum(axis=1), d.min(axis=1), d.max(axis=1)
+        del d  # before the next one
     return out
 
 
@@ -453,10 +468,12 @@ def _row_means(rows: DataFrame, blocks: Blocks, metric: str) -> DataFrame:
 
     def flush(ids, held):
         x = np.concatenate(held)
+        held.clear()
         if x.shape[1] != dim:
             raise ValueError(f"pool and target vectors differ in length ({x.shape[1]}, {dim})")
         total = None
         for uri in files:
+            y = None  # one block at a time
             y = _block(uri)
             if len(y):
                 now = _sums(x, y, metric)

@@ -149,3 +149,18 @@ def test_rows_without_a_vector(spark):
     for f in (nb.mean_similarity_per_source, nb.mean_distance_per_source, nb.knn_edges):
         with pytest.raises(Exception, match="length"):
             f(p, spark.createDataFrame([(1, [1.0])], "row_id long, emb array<double>"), *([2] if f is nb.knn_edges else [])).collect()
+
+
+def test_distances_of_a_block_take_one_array(monkeypatch):
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((400, 8)), rng.standard_normal((20_000, 8))
+    d = np.sqrt(((x[:5, None] - y[None]) ** 2).sum(2))
+    cells = 8 * nb.BLOCK_CELLS
+    tracemalloc.start()
+    got = nb._sums(x, y, "l2")
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert np.allclose(got[:, :5], [d.sum(1), d.min(1), d.max(1)])
+    assert most < 1.5 * cells  # more than two before
