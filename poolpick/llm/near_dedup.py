@@ -179,8 +179,9 @@ def leaves(reps: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataF
     if not has(hot):
         return _all(out), None
     out.append(hot.select(F.xxhash64("node", F.pmod(F.xxhash64("rep", "node"), chunks)).alias("cell"), "rep"))
-    nodes = hot.groupBy("node", "c").agg(*_least("rep")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    heads = F.array_distinct(F.array(*[f"p{i}" for i in range(PIVOTS)]))
+    # the least member is a pivot too: chunks of one group, in all its nodes and trees, then tie their rows to the same one
+    nodes = hot.groupBy("node", "c").agg(F.min("rep").alias("p"), *_least("rep")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
+    heads = F.array_distinct(F.array("p", *[f"p{i}" for i in range(PIVOTS)]))
     out.append(nodes.select("node", "i", F.explode(heads).alias("rep")).select(F.xxhash64("node", "i").alias("cell"), "rep"))
     return _all(out), hot
 
@@ -260,7 +261,11 @@ def _compare_rest(percent: int):
 
 
 def _forests(pairs, width: int):
-    """Spanning forests over ``pairs`` of whole cells (rows: cell, rep, further columns, sk; ``width`` of them before sk)."""
+    """Spanning forests over ``pairs`` of whole cells (rows: cell, rep, further columns, sk; ``width`` of them before sk).
+
+    Rows come by cell and rep, so each row is tied to the least rep it reaches in its cell, and
+    cells that hold the same group return the same links.
+    """
 
     def links(cols):
         found = list(pairs(*cols))
@@ -294,16 +299,16 @@ def _edges(u, v) -> pa.RecordBatch:
 def possible_links(cells: DataFrame, reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """u, v: spanning forests over the pairs of each cell whose sketches may reach the similarity."""
     full = cells.join(reps.select("rep", "n", "sk"), "rep").select("cell", "rep", "n", "sk")
-    return full.repartition("cell").sortWithinPartitions("cell").mapInArrow(_forests(_compare_leaves(percent), 3), "u long, v long")
+    return full.repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_forests(_compare_leaves(percent), 3), "u long, v long")
 
 
-def rest_links(hot: DataFrame, tied: DataFrame, reps: DataFrame, percent: int = PERCENT, wide: int = WIDE) -> DataFrame | None:
+def rest_links(hot: DataFrame, tied: DataFrame, reps: DataFrame, percent: int = PERCENT, wide: int = WIDE, parts: DataFrame | None = None) -> DataFrame | None:
     """u, v: spanning forests over the possible pairs of cut nodes (``hot``) that ``tied`` leaves apart; None without rows for them.
 
-    Parts are the components of ``tied``. Rows outside a node's largest part are dealt in blocks, all its rows in
+    Parts are the components of ``tied`` (``parts`` has them if they are known). Rows outside a node's largest part are dealt in blocks, all its rows in
     chunks, and every block meets every chunk. Nodes of the same rows are one.
     """
-    parts = components(tied).select(F.col("node").alias("rep"), F.col("component").alias("part"))
+    parts = (components(tied) if parts is None else parts).select(F.col("node").alias("rep"), F.col("component").alias("part"))
     mine = write_out(hot.join(parts, "rep", "left").withColumn("part", F.coalesce("part", "rep")), "cut_parts")
     count = mine.groupBy("node", "part").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("rep")).alias("rows"))
     nodes = (count.groupBy("node").agg(F.max(F.struct("c", "part"))["part"].alias("main"), F.sum("c").alias("all"), F.max("c").alias("most"), F.bit_xor("rows").alias("rows"))
@@ -321,7 +326,7 @@ def rest_links(hot: DataFrame, tied: DataFrame, reps: DataFrame, percent: int =
     cells = outer.unionByName(whole).select(F.xxhash64("node", "block", "chunk").alias("cell"), "rep", "side", "part")
     full = cells.join(reps.select("rep", "n", "sk"), "rep").select("cell", "rep", "n", "side", "part", "sk")
     tasks = min(10_000, math.ceil(work / PAIRS))
-    return full.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(_forests(_compare_rest(percent), 5), "u long, v long")
+    return full.repartition(tasks, "cell").sortWithinPartitions("cell", "rep").mapInArrow(_forests(_compare_rest(percent), 5), "u long, v long")
 
 
 class _Sets:
@@ -374,12 +379,13 @@ def link(docs: DataFrame, k: int, percent: int = PERCENT, leaf: int = LEAF, fami
     reps = write_out(representatives(rows), "representatives")
     cells, hot = leaves(reps, leaf, depth)
     tied = write_out(possible_links(cells, reps, percent), "possible_links")
-    rest = None if hot is None else rest_links(hot, tied, reps, percent, wide)
-    if rest is not None:
-        tied = tied.unionByName(write_out(rest, "possible_links_rest"))
+    families = write_out(components(tied), "families")
+    rest = None if hot is None else rest_links(hot, tied, reps, percent, wide, families)
+    if rest is not None and has(rest := write_out(rest, "possible_links_rest")):  # what is tied already is one edge a row here
+        stars = families.select(F.col("node").alias("u"), F.col("component").alias("v"))
+        families = write_out(components(stars.unionByName(rest)), "families_rest")
     comp = reps.select("sig", F.col("rep").alias("component"))
-    if has(tied):
-        families = write_out(components(tied), "families")
+    if has(families):
         members = reps.join(families.select(F.col("node").alias("rep"), F.col("component").alias("fam")), "rep").select("fam", "rep", "sig", "n")
         links = linked(docs, members, _confirm(k, percent, seed), family, GRAMS, LEFT)
         if links is not None:

@@ -148,6 +148,24 @@ def test_cut_nodes_lose_no_possible_link(spark, monkeypatch):
     assert all(got[a] == got[b] for a, b in possible)
 
 
+def test_links_of_a_large_group_are_few_a_row(spark):
+    rng = random.Random(29)
+    base = words(rng, 80, 5000).split()
+    for size in (400, 1600):  # one group of near copies, in cut nodes of all trees
+        rows = []
+        for i in range(size):
+            t = list(base)
+            t[rng.randrange(80)] = f"x{i}"
+            rows.append((i, " ".join(t)))
+        df = spark.createDataFrame([(i, t, "en", "a", 0) for i, t in rows], DOCS)
+        reps = N.representatives(N.sketches(df.repartition(3), 2, 5)).localCheckpoint()
+        cells, hot = N.leaves(reps)
+        assert hot is not None
+        tied = N.possible_links(cells, reps).localCheckpoint()
+        assert tied.where("u <> v").distinct().count() <= 4 * size
+        assert {r.component for r in components(tied).collect()} == {0}
+
+
 def test_pipeline_near_is_the_same_with_cut_and_whole_nodes(spark, monkeypatch):
     import functools
 
